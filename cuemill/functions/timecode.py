@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 # Blanks that str.strip() removes: Unicode white space plus the four separators.
 _STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 _LENIENT = r"(?U)^\d{1,2}:\d{2}:\d{2}[,.]\d{1,3}\z"
-_STRICT = r"^\d{2}:\d{2}:\d{2},\d{3}\z"
+_COMMON = r"^[0-9]{2}:[0-9]{2}:[0-9]{2}[,.][0-9]{3}\z"
+_STRICT = r"^[0-9]{2}:[0-9]{2}:[0-9]{2},[0-9]{3}\z"
 
 
 def _decimal_digits() -> tuple[str, str]:
@@ -35,16 +36,25 @@ def _to_ms(text: Column) -> Column:
     )
 
 
+def _fixed_ms(col: Column) -> Column:
+    """HH:MM:SS,mmm at fixed places."""
+    part = lambda at, n: F.substring(col, at, n).cast("bigint")
+    return ((part(1, 2) * 60 + part(4, 2)) * 60 + part(7, 2)) * 1000 + part(10, 3)
+
+
 def lenient_ms(col: Column) -> Column:
-    """1-2 digit hours, comma or point, 1-3 digit fraction padded right; null when unreadable."""
+    """1-2 digit hours, comma or point, 1-3 digit fraction padded right; null when unreadable.
+
+    The common spelling takes a short way, without stripping or splitting.
+    """
     text = strip(col)
     ascii_text = F.when(text.rlike(r"^\p{ASCII}*\z"), text).otherwise(F.translate(text, _DIGITS, _VALUES))
-    return F.when(text.rlike(_LENIENT), _to_ms(ascii_text))
+    return F.when(col.rlike(_COMMON), _fixed_ms(col)).when(text.rlike(_LENIENT), _to_ms(ascii_text))
 
 
 def strict_ms(col: Column) -> Column:
     """Exactly HH:MM:SS,mmm; null otherwise."""
-    return F.when(col.rlike(_STRICT), _to_ms(col))
+    return F.when(col.rlike(_STRICT), _fixed_ms(col))
 
 
 def format_ms(ms: Column) -> Column:

@@ -163,8 +163,8 @@ def periods_and_gaps(
     lo, hi = F.col("s"), F.col("e")
     cut = (
         df.select(F.col(entity).cast("string").alias("entity"), F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e"))
-        .where(lo.isNotNull() & hi.isNotNull() & (hi > lo))
-        .withColumn("block", F.explode(F.sequence(F.floor(lo / block_ms), F.floor((hi - 1) / block_ms))))
+        .where(hi > lo)
+        .withColumn("block", F.explode(F.expr(f"sequence((s - pmod(s, {block_ms})) div {block_ms}, (e - 1 - pmod(e - 1, {block_ms})) div {block_ms})")))
         .select(
             "entity",
             "block",

@@ -59,3 +59,8 @@ def test_lenient_times(spark):
     }
     df = spark.createDataFrame([(k, v) for k, v in texts.items()], "t string, v bigint")
     assert df.where(~lenient_ms(F.col("t")).eqNullSafe(F.col("v"))).count() == 0
+
+
+def test_negative_times(spark):
+    rows = [("a", None, -250, -120), ("a", None, -130, 5), ("a", None, 50, 60)]
+    assert run(spark, rows, block_ms=100) == brute([(r[0], r[2], r[3]) for r in rows])
