@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cuemill.llm import consensus_queries, garbled_queries, packing_queries, pairs_queries, quality_queries, split_queries
+from cuemill.llm import consensus_queries, garbled_queries, mixing_queries, packing_queries, pairs_queries, quality_queries, split_queries
 
-_MODULES = (consensus_queries, garbled_queries, split_queries, packing_queries, pairs_queries, quality_queries)
+_MODULES = (consensus_queries, garbled_queries, mixing_queries, split_queries, packing_queries, pairs_queries, quality_queries)
 
 
 def queries() -> dict:
