@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cuemill.plans import cue_queries, interval_queries, response_queries
+from cuemill.plans import cue_queries, interval_queries, response_queries, tqa_queries
 
-_MODULES = (interval_queries, cue_queries, response_queries)
-FLAGSHIP = "p2_found"
+_MODULES = (interval_queries, cue_queries, response_queries, tqa_queries)
+FLAGSHIP = "model_report"
 
 
 def queries() -> dict:
