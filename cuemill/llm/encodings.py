@@ -83,14 +83,18 @@ def script(word: str) -> str | None:
     return "sign" if not kinds else None
 
 
-def forms(word: str, kind: str) -> dict[str, str]:
-    """{wrong form: chain} of a clean word; the first chain that makes a form names it."""
+def forms(word: str, kind: str, pairs: bool = False) -> dict[str, str]:
+    """{wrong form: chain} of a clean word; the first chain that makes a form names it.
+
+    Of a pair of characters only UTF-8 read by twos is asked, where the forms of
+    single characters straddle.
+    """
     out: dict[str, str] = {}
-    for right in _WRITTEN[kind]:
+    for right in ("utf-8",) if pairs else _WRITTEN[kind]:
         data = write_as(word, right)
         if data is None:
             continue
-        for wrong in (*SINGLE, *DOUBLE, "utf-8"):
+        for wrong in DOUBLE if pairs else (*SINGLE, *DOUBLE, "utf-8"):
             if wrong == right:
                 continue
             form = read_as(data, wrong)

@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.encodings import RUN, forms, residues, script
+from cuemill.llm.encodings import DOUBLE, RUN, forms, residues, script
 from cuemill.session import materialize
 
 _WORD = r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+"
@@ -38,6 +39,12 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda w: w.rlike(r"[^\x00-\x7f]")))
 
 
+def _chunked(rows: Iterator[tuple], fields: dict[str, pa.DataType], size: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Record batches of bounded size, so that a worker never holds all rows a batch expands to."""
+    while part := list(itertools.islice(rows, size)):
+        yield pa.RecordBatch.from_pydict({name: pa.array([r[i] for r in part], kind) for i, (name, kind) in enumerate(fields.items())})
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Clean words and parts of words that garbled forms are made of: (unit, kind, script, n)."""
     for batch in batches:
@@ -62,60 +69,89 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         add(run, "r", "sign" if script(run) == "sign" else writing, n)
                 if writing == "sign":
                     add(word, "r", writing, n)
-        rows = list(seen.items())
-        yield pa.RecordBatch.from_pydict(
-            {"unit": pa.array([r[0][0] for r in rows], pa.string()), "kind": pa.array([r[0][1] for r in rows], pa.string()),
-             "script": pa.array([r[0][2] for r in rows], pa.string()), "n": pa.array([r[1] for r in rows], pa.int64())}
-        )
+        fields = {"unit": pa.string(), "kind": pa.string(), "script": pa.string(), "n": pa.int64()}
+        yield from _chunked(((*key, n) for key, n in seen.items()), fields)
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(form, kind of piece, chain, unit, n) for every chain."""
-    for batch in batches:
-        rows = []
-        for unit, kind, writing, n in zip(*(c.to_pylist() for c in batch.columns)):
-            for form, chain in forms(unit, writing).items():
-                from_utf8, double = chain.startswith("utf-8"), any(d in chain.split(">")[1] for d in ("gb", "big5", "cp932", "cp949", "euc_jp"))
-                if kind == "w" and "�" not in form:
-                    rows.append((form, "w", chain, unit, n))
-                elif kind == "r" and from_utf8 and len(form) > len(unit) and "�" not in form:
-                    rows.append((form, "r", chain, unit, n))
-                elif "�" in form:
-                    continue
-                elif kind == "c" and not double and len(form) in (2, 3) and (len(form) == 3) == from_utf8:
-                    rows.append((form, f"c{len(form)}", chain, unit, n))
-                elif kind == "c" and double and not from_utf8 and len(form) == 1:
-                    rows.append((form, "c1", chain, unit, n))
-                elif kind == "b" and double and from_utf8 and len(form) == 3:
-                    rows.append((form, "b3", chain, unit, n))
-        names = ("form", "kind", "chain", "unit")
-        yield pa.RecordBatch.from_pydict({name: pa.array([r[i] for r in rows], pa.string()) for i, name in enumerate(names)} | {"n": pa.array([r[4] for r in rows], pa.int64())})
-
-
-def _ascii_pairs() -> list[tuple[str, str, str, str, int]]:
+    """(key, chain, unit, n) for every chain; a key is the kind of piece and the form."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for unit, kind, writing, n in zip(*(c.to_pylist() for c in batch.columns)):
+                for form, chain in forms(unit, writing, kind == "b").items():
+                    from_utf8, double = chain.startswith("utf-8"), chain.split(">")[1] in DOUBLE
+                    if "�" in form:
+                        continue
+                    if kind == "w":
+                        yield "w_" + form, chain, unit, n
+                    elif kind == "r" and from_utf8 and len(form) > len(unit):
+                        yield "r_" + form, chain, unit, n
+                    elif kind == "c" and not double and len(form) in (2, 3) and (len(form) == 3) == from_utf8:
+                        yield f"c{len(form)}{form}", chain, unit, n
+                    elif kind == "c" and double and not from_utf8 and len(form) == 1:
+                        yield "c1" + form, chain, unit, n
+                    elif kind == "b" and double and from_utf8 and len(form) == 3:
+                        yield "b3" + form, chain, unit, n
+
+    yield from _chunked(rows(), {"key": pa.string(), "chain": pa.string(), "unit": pa.string(), "n": pa.int64()})
+
+
+def _ascii_pairs() -> list[tuple[str, str, str, int]]:
     """Pairs of ASCII characters read as UTF-16: a bounded part of the table that holds for any corpus."""
     signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 '\n,.!?-"
-    return [((a + b).encode().decode(code), "c1", f"ascii>{code}", a + b, 1 << 40) for a in signs for b in signs for code in ("utf-16-le", "utf-16-be")]
+    return [("c1" + (a + b).encode().decode(code), f"ascii>{code}", a + b, 1 << 40) for a in signs for b in signs for code in ("utf-16-le", "utf-16-be")]
+
+
+def _parts(word: str) -> Iterator[tuple[str, int, int]]:
+    """(key, place, wide or narrow characters): every way a word may consist of forms."""
+    runs = [(m.start(), m.group()) for m in RUN.finditer(word)]
+    if len(word) <= 4 * _LONGEST:
+        yield "w_" + word, 0, sum(len(r) for _, r in runs)
+        for at, run in runs:
+            if 1 < len(run) <= 24:
+                yield "r_" + run, at, len(run)
+    for at, run in runs:
+        wide = [ch >= "\u2e80" for ch in run]
+        for kind, width in _WIDTHS.items():
+            if not (any(wide) if kind in ("c1", "b3") else not all(wide)):
+                continue  # wide characters come from double-byte readings only, narrow ones from the others
+            for i in range(0, len(run) - width + 1, width):
+                yield kind + run[i : i + width], at + i, width
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n_word, kind, at, piece, chars, total, clean): every way a word may consist of forms."""
+    """(wid, key, place): place holds the piece's start and its non-ASCII characters."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for wid, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for key, at, chars in _parts(word):
+                    yield wid, key, at << 24 | chars
+
+    yield from _chunked(rows(), {"wid": pa.int64(), "key": pa.string(), "place": pa.int64()})
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
+        seen: dict[str, int] = {}
         for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            runs = [(m.start(), m.group()) for m in RUN.finditer(word)]
-            total = sum(len(r) for _, r in runs)
-            clean = script(word) in ("latin", "cyrillic", "hangul")
-            if len(word) <= 4 * _LONGEST:
-                rows.append((word, n, "w", 0, word, total, total, clean))
-                rows += [(word, n, "r", at, run, len(run), total, clean) for at, run in runs if 1 < len(run) <= 24]
-            for kind, width in _WIDTHS.items():
-                for at, run in runs:
-                    if len(run) >= width:
-                        rows += [(word, n, kind, at + i, run[i : i + width], width, total, clean) for i in range(0, len(run) - width + 1, width)]
-        types = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_())
-        names = ("word", "n_word", "kind", "at", "piece", "chars", "total", "clean")
-        yield pa.RecordBatch.from_pydict({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(zip(names, types))})
+            for key, _, _ in _parts(word):
+                seen[key] = seen.get(key, 0) + n
+        yield from _chunked(iter(seen.items()), {"key": pa.string(), "n_piece": pa.int64()})
+
+
+def _about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(wid, word, n_word, total, letters, clean) of each word."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for wid, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                total = len("".join(RUN.findall(word)))
+                yield wid, word, n, total, len(word) - total, script(word) in ("latin", "cyrillic", "hangul")
+
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+    yield from _chunked(rows(), dict(zip(("wid", "word", "n_word", "total", "letters", "clean"), kinds)))
 
 
 def _residual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,69 +161,79 @@ def _residual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, restored): the word with its matched pieces replaced; null if a piece is left over."""
+    """(word, chain, restored): the word with its matched pieces replaced; null if a piece is left over."""
     for batch in batches:
         out = []
-        for word, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for word, parts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
             made, at = [], 0
             for p in sorted(parts, key=lambda p: p["at"]):
                 made += [word[at : p["at"]], p["unit"]]
                 at = p["at"] + len(p["piece"])
-            text = "".join([*made, word[at:]])
             left = len("".join(RUN.findall(word))) - sum(len("".join(RUN.findall(p["piece"]))) for p in parts)
-            out.append(text if not left else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["word", "restored"])
+            out.append(None if left else "".join([*made, word[at:]]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.string())], names=["word", "chain", "restored"])
 
 
-def garbled_words(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+def garbled_words(words: DataFrame, restore: bool) -> tuple[DataFrame, DataFrame | None]:
     """(word, chain, restored) of the garbled ones among the counted words (word, n).
 
-    The second table has whole words that match too but are too short or too
-    frequent to tell alone; they count where their text has the same chain.
+    The second table, made with ``restore``, has whole words that match too but
+    are too short or too frequent to tell alone; they count where their text
+    has the same chain.
     """
-    units = words.mapInArrow(_units, "unit string, kind string, script string, n bigint").groupBy("unit", "kind", "script").agg(F.sum("n").alias("n"))
-    units = materialize(units)
-    table = units.mapInArrow(_forms, "form string, kind string, chain string, unit string, n bigint")
-    pairs = words.sparkSession.createDataFrame(_ascii_pairs(), "form string, kind string, chain string, unit string, n bigint")
-    table = table.unionByName(pairs).groupBy("form", "kind", "chain").agg(F.max(F.struct("n", "unit")).alias("best"))
-    pieces = words.mapInArrow(_pieces, "word string, n_word bigint, kind string, at int, piece string, chars int, total int, clean boolean")
-    single = pieces.where("kind = 'c1'").groupBy("piece").agg(F.sum("n_word").alias("n_piece"))
-    hits = (
-        pieces.join(table.select(F.col("form").alias("piece"), "kind", "chain", "best"), ["piece", "kind"])
-        .join(single, "piece", "left")
-        .withColumn("gain", F.log(F.col("best.n").cast("double")) - F.log(F.coalesce("n_piece", F.lit(1)).cast("double")))
-    )
-    ascii_letters = F.length(F.regexp_replace("word", r"[^A-Za-z]", ""))
-    by_chain = hits.groupBy("word", "kind", "chain").agg(
-        F.first("n_word").alias("n_word"),
-        F.first("total").alias("total"),
-        F.sum("chars").alias("chars"),
-        F.count("*").alias("matched"),
-        F.first("clean").alias("clean"),
-        F.max("best.n").alias("n"),
-        F.min("best.n").alias("least"),
-        F.avg("gain").alias("gain"),
-        F.collect_list(F.struct("at", "piece", F.col("best.unit").alias("unit"))).alias("parts"),
+    spark = words.sparkSession
+    units = words.mapInArrow(_units, "unit string, kind string, script string, n bigint").groupBy("unit", "kind").agg(F.sum("n").alias("n"), F.max("script").alias("script"))
+    table = units.select("unit", "kind", "script", "n").mapInArrow(_forms, "key string, chain string, unit string, n bigint")
+    table = table.unionByName(spark.createDataFrame(_ascii_pairs(), "key string, chain string, unit string, n bigint"))
+    asked = words.mapInArrow(_asked, "key string, n_piece bigint").groupBy("key").agg(F.sum("n_piece").alias("n_piece"))
+    numbered = words.select(F.xxhash64("word").alias("wid"), "word", "n")
+    pieces = numbered.select("wid", "word").mapInArrow(_pieces, "wid bigint, key string, place bigint")
+    about = numbered.mapInArrow(_about, "wid bigint, word string, n_word bigint, total int, letters int, clean boolean")
+    matched = materialize(
+        table.join(asked, "key")
+        .where(~F.col("key").startswith("c1") | (F.col("n") >= F.col("n_piece")))
+        .select("key", "chain", "unit", "n", (F.log(F.col("n").cast("double")) - F.log(F.col("n_piece").cast("double"))).alias("gain"))
     )
-    utf8 = F.col("chain").startswith("utf-8")
+    kind = F.substring("key", 1, 2).alias("kind")
+    by_chain = (
+        pieces.join(matched.select("key", "chain", "n", "gain"), "key")
+        .groupBy("wid", kind, "chain")
+        .agg(
+            F.sum(F.col("place").bitwiseAND(F.lit((1 << 24) - 1))).alias("chars"), F.count("*").alias("matched"), F.max("n").alias("n"), F.min("n").alias("least"),
+            F.avg("gain").alias("gain"), F.max(F.substring("key", 3, 1).between("\u2020", "\u207f")).alias("spaced"),  # a space is the other half
+        )
+        .join(about, "wid")
+    )
     share = F.col("chars") / F.col("total")
-    telling = (F.col("total") > 1) | (ascii_letters > 1) | ((ascii_letters > 0) & ~F.col("clean"))
-    spaced = F.exists("parts", lambda p: p["piece"].between("\u2020", "\u207f"))  # a space is the other half
+    telling = (F.col("total") > 1) | (F.col("letters") > 1) | ((F.col("letters") > 0) & ~F.col("clean"))
+    least = lambda clean, other: F.when(F.col("clean"), clean).otherwise(other)
     verified = (
-        F.when(F.col("kind") == "w", F.when(utf8, telling & (F.col("n") >= 1) & ((F.col("total") > 1) | (F.col("n") >= 2 * F.col("n_word")))).otherwise(telling & (F.col("n") >= 3 * F.col("n_word"))))
-        .when(F.col("kind") == "r", share == 1)
-        .when(F.col("chain").startswith("ascii"), (share >= 0.7) & (F.col("matched") >= 3) & spaced)
+        F.when(F.col("kind") == "w_", telling & (F.col("n") >= F.when(F.col("chain").startswith("utf-8"), F.when(F.col("total") > 1, 1).otherwise(2 * F.col("n_word"))).otherwise(3 * F.col("n_word"))))
+        .when(F.col("kind") == "r_", share == 1)
+        .when(F.col("chain").startswith("ascii"), (share >= 0.7) & (F.col("matched") >= 3) & F.col("spaced"))
         .when(F.col("kind") == "c1", (share >= 0.9) & (F.col("matched") >= 3) & (F.col("gain") > math.log(3)))
-        .otherwise((share >= F.when(F.col("clean"), 1.0).otherwise(0.7)) & (F.col("matched") >= 2) & (F.col("least") >= F.when(F.col("clean"), 10).otherwise(2) * F.col("n_word")))
+        .otherwise((share >= least(1.0, 0.7)) & (F.col("matched") >= 2) & (F.col("least") >= least(10, 2) * F.col("n_word")))
     )
-    order = F.struct((F.col("kind") == "w").cast("int"), share, F.col("gain"), F.col("chain"))
-    chosen = by_chain.where(verified).groupBy("word").agg(F.max_by(F.struct("chain", "parts"), order).alias("best"))
-    rebuilt = chosen.select("word", F.col("best.parts").alias("parts")).mapInArrow(_rebuild, "word string, restored string")
-    chains = chosen.select("word", F.col("best.chain").alias("chain"))
-    lost = words.mapInArrow(_residual, "word string").distinct()
-    known = chains.join(rebuilt, "word")
-    weak = by_chain.where((F.col("kind") == "w") & ~verified).select("word", "chain", F.col("parts")[0]["unit"].alias("restored"))
-    return known.unionByName(lost.join(known, "word", "left_anti").select("word", F.lit("lost").alias("chain"), F.lit(None).cast("string").alias("restored"))), weak
+    order = F.struct((F.col("kind") == "w_").cast("int"), share, F.col("gain"), F.col("chain"))
+    chosen = by_chain.where(verified).groupBy("wid").agg(F.max_by(F.struct("word", "chain", "kind"), order).alias("b")).select("wid", "b.*")
+    weak = None
+    if restore:
+        chosen = materialize(chosen)
+        units_of = matched.select("key", "chain", "unit")
+        parts = (
+            pieces.join(chosen.select("wid", "chain", F.col("kind").alias("__kind")), "wid")
+            .where(F.substring("key", 1, 2) == F.col("__kind"))
+            .join(units_of, ["key", "chain"])
+            .groupBy("wid")
+            .agg(F.collect_list(F.struct((F.col("place") / (1 << 24)).cast("int").alias("at"), F.substring("key", 3, 1 << 20).alias("piece"), "unit")).alias("parts"))
+        )
+        rebuilt = chosen.join(parts, "wid").select("word", "chain", "parts").mapInArrow(_rebuild, "word string, chain string, restored string")
+        weak = by_chain.where((F.col("kind") == "w_") & ~verified).select("word", "chain", F.concat(F.lit("w_"), "word").alias("key")).join(units_of, ["key", "chain"]).select("word", "chain", F.col("unit").alias("restored"))
+    else:
+        rebuilt = chosen.select("word", "chain", F.lit(None).cast("string").alias("restored"))
+    lost = words.mapInArrow(_residual, "word string").select("word", F.lit("lost").alias("chain"), F.lit(None).cast("string").alias("restored"))
+    known = rebuilt.unionByName(lost).groupBy("word").agg(F.max_by(F.struct("chain", "restored"), F.col("chain") != "lost").alias("b")).select("word", "b.*")
+    return known, weak
 
 
 def find_garbled(df: DataFrame, keys: list[str], text: str, restore: bool = True) -> DataFrame:
@@ -201,7 +247,7 @@ def find_garbled(df: DataFrame, keys: list[str], text: str, restore: bool = True
     texts = df.select(*keys, F.col(text).alias("__text")).where(F.col("__text").rlike(r"[^\x00-\x7f]"))
     each = texts.select(*keys, *["__text"] * restore, F.explode(_words(F.col("__text"))).alias("word"))
     words = materialize(each.groupBy("word").agg(F.count("*").alias("n")))
-    bad, weak = garbled_words(words)
+    bad, weak = garbled_words(words, restore)
     bad = materialize(bad)
     chains = F.array_sort(F.collect_set("chain")).alias("chains")
     if not restore:
