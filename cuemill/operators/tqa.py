@@ -45,6 +45,11 @@ def dimension_means(scores: DataFrame) -> DataFrame:
     return scores.groupBy("candidate_id", "dimension").agg(F.round(F.avg("median"), 4).alias("mean"), F.count("*").alias("n"))
 
 
+def round4(x: Column) -> Column:
+    """Four places, ties up, whatever the binary form of the tie."""
+    return F.floor(F.round(x * 10000, 5) + 0.5) / 10000
+
+
 def severity(score: Column) -> Column:
     out = F.lit("none")
     for bound, name in reversed(SEVERITY):
@@ -64,7 +69,7 @@ def episodes(scores: DataFrame, weights: DataFrame) -> DataFrame:
     hard = scores.select("candidate_id", "sample_id", F.explode("hard").alias("kind")).distinct().groupBy("candidate_id").agg(F.count("*").alias("hard_count"))
     samples = scores.groupBy("candidate_id").agg(F.countDistinct("sample_id").alias("sample_count"), F.countDistinct(F.when(F.col("refused"), F.col("sample_id"))).alias("refusal_count"))
     joined = base.join(samples, "candidate_id").join(hard, "candidate_id", "left").na.fill(0, ["hard_count"])
-    return joined.select("candidate_id", F.round("raw", 4).alias("score"), "failed", "hard_count", "sample_count", "refusal_count", status(F.col("raw"), F.col("failed"), F.col("hard_count")).alias("status"))
+    return joined.select("candidate_id", round4(F.col("raw")).alias("score"), "failed", "hard_count", "sample_count", "refusal_count", status(F.col("raw"), F.col("failed"), F.col("hard_count")).alias("status"))
 
 
 def sample_display(scores: DataFrame, weights: DataFrame) -> DataFrame:
@@ -74,7 +79,7 @@ def sample_display(scores: DataFrame, weights: DataFrame) -> DataFrame:
         F.round(F.try_divide(F.sum(F.col("weight") * F.col("median")), F.sum("weight")), 9).alias("w"), F.min("median").alias("lowest"),
         F.when(F.min("median") == 0, 0.0).otherwise(F.try_divide(F.count("*"), F.sum(F.try_divide(F.lit(1.0), F.col("median"))))).alias("h"),
     )
-    return out.select("candidate_id", "sample_id", F.round("w", 4).alias("weighted"), "lowest", F.round("h", 4).alias("harmonic"), severity(F.col("w")).alias("severity"))
+    return out.select("candidate_id", "sample_id", round4(F.col("w")).alias("weighted"), "lowest", round4(F.col("h")).alias("harmonic"), severity(F.col("w")).alias("severity"))
 
 
 def models(episode_rows: DataFrame) -> DataFrame:
@@ -82,7 +87,7 @@ def models(episode_rows: DataFrame) -> DataFrame:
     worst = F.max_by("status", F.coalesce(*[F.when(F.col("status") == s, F.lit(p)) for s, p in PRIORITY.items()]))
     out = episode_rows.groupBy("model", "lane").agg(F.round(F.try_divide(F.sum(F.col("score") * F.col("sample_count")), F.sum("sample_count")), 9).alias("raw"), worst.alias("worst"), F.sum("sample_count").alias("sample_count"), F.count("*").alias("episodes"))
     gated = F.when(F.col("worst").isin("PASS", "CONDITIONAL_PASS") & (F.col("raw") < MODEL_PASS), "FAIL").otherwise(F.col("worst"))
-    scored = out.select("model", "lane", F.round("raw", 4).alias("score"), gated.alias("status"), "sample_count", "episodes")
+    scored = out.select("model", "lane", round4(F.col("raw")).alias("score"), gated.alias("status"), "sample_count", "episodes")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("lane").orderBy(F.desc("score"), "model")))
 
 

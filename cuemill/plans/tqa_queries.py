@@ -120,12 +120,12 @@ b AS (SELECT candidate_id, round(coalesce(sum(weight * mean) / nullif(sum(weight
 h AS (SELECT candidate_id, count(*) AS hard_count FROM (SELECT DISTINCT candidate_id, sample_id, unnest(hard) AS kind FROM fin) GROUP BY candidate_id),
 s AS (SELECT candidate_id, count(DISTINCT sample_id) AS sample_count, count(DISTINCT CASE WHEN refused THEN sample_id END) AS refusal_count FROM fin GROUP BY candidate_id),
 e0 AS (SELECT b.*, s.sample_count, s.refusal_count, coalesce(hard_count, 0) AS hard_count FROM b JOIN s USING (candidate_id) LEFT JOIN h USING (candidate_id)),
-ep AS (SELECT candidate_id, round(raw, 4) AS score, failed, hard_count, sample_count, refusal_count, CASE WHEN hard_count > 3 THEN 'VETO' WHEN raw < 6.5 OR failed > 2 OR hard_count > 3 THEN 'FAIL'
+ep AS (SELECT candidate_id, floor(round(raw * 10000, 5) + 0.5) / 10000 AS score, failed, hard_count, sample_count, refusal_count, CASE WHEN hard_count > 3 THEN 'VETO' WHEN raw < 6.5 OR failed > 2 OR hard_count > 3 THEN 'FAIL'
   WHEN failed > 0 OR hard_count > 0 THEN 'CONDITIONAL_PASS' ELSE 'PASS' END AS status FROM e0),
 lab AS (SELECT *, 'model-' || CAST(CAST(substr(candidate_id, 6) AS BIGINT) % 6 AS VARCHAR) AS model, CASE WHEN CAST(substr(candidate_id, 6) AS BIGINT) % 7 = 0 THEN 'rescue' ELSE 'primary' END AS lane FROM ep),
 m0 AS (SELECT model, lane, round(sum(score * sample_count) / sum(sample_count), 9) AS raw, max(CASE status WHEN 'VETO' THEN 3 WHEN 'FAIL' THEN 2 WHEN 'CONDITIONAL_PASS' THEN 1 ELSE 0 END) AS p, CAST(sum(sample_count) AS BIGINT) AS sample_count, count(*) AS episodes FROM lab GROUP BY model, lane),
-m AS (SELECT model, lane, round(raw, 4) AS score, CASE WHEN p < 2 AND raw < 6.5 THEN 'FAIL' WHEN p = 3 THEN 'VETO' WHEN p = 2 THEN 'FAIL' WHEN p = 1 THEN 'CONDITIONAL_PASS' ELSE 'PASS' END AS status, sample_count, episodes,
-  row_number() OVER (PARTITION BY lane ORDER BY round(raw, 4) DESC, model) AS rank FROM m0)
+m AS (SELECT model, lane, floor(round(raw * 10000, 5) + 0.5) / 10000 AS score, CASE WHEN p < 2 AND raw < 6.5 THEN 'FAIL' WHEN p = 3 THEN 'VETO' WHEN p = 2 THEN 'FAIL' WHEN p = 1 THEN 'CONDITIONAL_PASS' ELSE 'PASS' END AS status, sample_count, episodes,
+  row_number() OVER (PARTITION BY lane ORDER BY floor(round(raw * 10000, 5) + 0.5) / 10000 DESC, model) AS rank FROM m0)
 """
 
 SQL = {
@@ -135,7 +135,7 @@ SQL = {
     "episode_score": _A + "SELECT * FROM ep",
     "sample_display": _A + """, d AS (SELECT candidate_id, sample_id, round(sum(weight * median) / nullif(sum(weight), 0), 9) AS w, min(median) AS lowest,
   CASE WHEN min(median) = 0 THEN 0.0 ELSE count(*) / sum(1.0 / nullif(median, 0)) END AS h FROM fin JOIN dimension_weights USING (dimension) GROUP BY candidate_id, sample_id)
-SELECT candidate_id, sample_id, round(w, 4) AS weighted, lowest, round(h, 4) AS harmonic, CASE WHEN w <= 3 THEN 'critical' WHEN w <= 5 THEN 'major' WHEN w <= 7 THEN 'minor' ELSE 'none' END AS severity FROM d""",
+SELECT candidate_id, sample_id, floor(round(w * 10000, 5) + 0.5) / 10000 AS weighted, lowest, floor(round(h * 10000, 5) + 0.5) / 10000 AS harmonic, CASE WHEN w <= 3 THEN 'critical' WHEN w <= 5 THEN 'major' WHEN w <= 7 THEN 'minor' ELSE 'none' END AS severity FROM d""",
     "model_report": _A + "SELECT model, score, status, sample_count, episodes, rank FROM m WHERE lane = 'primary'",
     "rescue_lane": _A + "SELECT model, score, sample_count, episodes FROM m WHERE lane = 'rescue'",
     "progress_counts": "SELECT scored_by, valid, count(*) AS n, count(*) FILTER (WHERE refusal_detected) AS refusals FROM (SELECT DISTINCT evaluator_run_id, retry_index, scored_by, valid, refusal_detected FROM assessments) GROUP BY scored_by, valid",
