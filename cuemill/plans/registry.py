@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cuemill.plans import cue_queries, interval_queries, response_queries, tqa_queries, wrap_queries
+from cuemill.plans import cue_queries, interval_queries, response_queries, run_queries, tqa_queries, wrap_queries
 
-_MODULES = (interval_queries, cue_queries, response_queries, tqa_queries, wrap_queries)
+_MODULES = (interval_queries, cue_queries, response_queries, run_queries, tqa_queries, wrap_queries)
 FLAGSHIP = "model_report"
 
 
