@@ -28,20 +28,25 @@ from cuemill.session import materialize
 KINDS = ("prose", "list", "table", "junk")
 COMMON_WORDS = 5000
 MIN_DOCUMENTS = 3
+SILENCE = 0.5
 
 _CJK = r"぀-ヿ㐀-鿿豈-﫿々"
 _HANGUL = r"가-힣"
 _NOT_WORD = re.compile(rf"[\W\d_{_CJK}]+")
+_ASCII_WORD = re.compile(r"[A-Za-z]+")
+_OTHER_WORD = re.compile(rf"[^\W\d_{_CJK}{_HANGUL}]+")
+_SPACES = re.compile(r"\s{2,}")
 _CJK_CHAR = re.compile(f"[{_CJK}]")
 _HANGUL_CHAR = re.compile(f"[{_HANGUL}]")
 _BLOCKS = re.compile(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)\s*")
 _LINES = re.compile(r"\r\n|\n|\r")
 _END = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
 _SENTENCE = re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+|\r\n|\n|\r")
-_BULLET = re.compile(r"^\s*(?:[-–—*•·+]|\d{1,4}[.)]|[A-Za-z][.)]|\[[ xX]?\])\s+")
-_PAIR = re.compile(r"^\s*[^,:.!?;–]{1,40}(?:, | – | - |: )[^,:.!?]{1,40}$")
+_BULLET = re.compile(r"^\s*(?:[-–—*•·+]|\d{1,4}[.)]|[A-Za-z][.)]|\[[ xX]?\])\s+(?:\[[ xX]?\]\s+)?")
+_PAIR = re.compile(r"^\s*[^\s,:.!?;–]+(?: [^\s,:.!?;–]+){0,3}(?:, | – | - |: )[^\s,:.!?;–]+(?: [^\s,:.!?;–]+){0,3}\s*$")
 _INLINE_BULLET = re.compile(r"[,;]\s+[•·*]\s")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|&[a-z]+;|\b[a-z-]+\s*\{|[{};]\s*$")
+_ALIGNED = re.compile(r"\S {3,}\S")
 _HEX = re.compile(r"^(?:[0-9a-fA-F]{2}\s*)+$")
 _BROKEN = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f�■-◿─-▟]")
 _MOJIBAKE = re.compile(r"[\xc3\xc2\xd0\xd1\xe2-\xef][\x80-\xbfŒœŠšŸŽžƒˆ˜–-›€™]")
@@ -56,67 +61,81 @@ def words(text: str) -> list[str]:
 
 def _units(text: str) -> float:
     """Length in words; two syllables or ideographs count about as a word."""
-    cjk, hangul = len(_CJK_CHAR.findall(text)), len(_HANGUL_CHAR.findall(text))
-    latin = sum(bool(w) and not _HANGUL_CHAR.match(w) for w in _NOT_WORD.split(text))
-    return latin + 0.55 * cjk + 0.5 * hangul
+    if text.isascii():
+        return len(_ASCII_WORD.findall(text))
+    return len(_OTHER_WORD.findall(text)) + 0.55 * len(_CJK_CHAR.findall(text)) + 0.5 * len(_HANGUL_CHAR.findall(text))
 
 
-def _fields(lines: list[str]) -> tuple[int, float]:
+def _fields(lines: list[str], text: str) -> tuple[int, float]:
     """Most plausible number of fields per record, and the share of lines that have it."""
     best = (1, 0.0)
-    for pattern in (r"\t", r"\s*\|\s*", r"\s{2,}", r";(?! )", r",(?! )"):
-        counts = Counter(len(re.split(pattern, line.strip(" |") if "|" in pattern else line.strip())) for line in lines)
+    counters = {
+        "\t": lambda x: x.count("\t") + 1,
+        "|": lambda x: x.strip(" |").count("|") + 1,
+        "  ": lambda x: len(_SPACES.findall(x)) + 1,
+        ";": lambda x: x.count(";") - x.count("; ") + 1,
+        ",": lambda x: x.count(",") - x.count(", ") + 1,
+    }
+    for mark, count in counters.items():
+        if mark not in text:
+            continue
+        counts = Counter(count(line.strip()) for line in lines)
         width, n = max(counts.items(), key=lambda x: (x[0] > 1) * x[1])
-        if pattern[1] in "ts":  # an empty last field may be left out
+        if mark in "\t  ":  # an empty last field may be left out
             n = sum(c for w, c in counts.items() if w > 1 and abs(w - width) < 2)
         if width > 1 and (n / len(lines), width) > (best[1], best[0]):
             best = (width, n / len(lines))
     return best
 
 
-def statistics(text: str, common: frozenset[str]) -> dict[str, float]:
-    """The statistics of one text; shares of nothing are 0."""
+def statistics(text: str, common: frozenset[str], shape: bool = True) -> dict[str, float]:
+    """The statistics of one text; shares of nothing are 0. Without ``shape`` only those of words and marks."""
     lines = [x for x in _LINES.split(text) if x.strip()]
-    dense = re.sub(r"\s+", "", text)
+    dense = "".join(text.split())
     found = words(text)
     n_lines, n_dense, n_found = max(len(lines), 1), max(len(dense), 1), max(len(found), 1)
     letters = sum(map(str.isalpha, dense))
     digits = sum(map(str.isdigit, dense))
     tokens = text.split()
-    sentences = [s for s in _SENTENCE.split(text) if s and s.strip()]
-    grams = [dense[i : i + 8] for i in range(0, len(dense) - 7)]
-    width, regular = _fields(lines) if lines else (1, 0.0)
+    grams = len(dense) - 7
+    width, regular = _fields(lines, text) if lines else (1, 0.0)
     if len(lines) < 2 or regular < 0.6 or (letters + digits) < 0.1 * n_dense:
         width = 1
-    bare = [_BULLET.sub("", x) for x in lines]
-    per_line = [_units(x) for x in bare]
-    return {
+    out = {
         "n_chars": len(text),
         "n_words": len(tokens),
         "n_lines": len(lines),
         "mean_word_length": sum(map(len, tokens)) / max(len(tokens), 1),
         "symbol_ratio": 1 - (letters + digits) / n_dense if dense else 0.0,
         "digit_ratio": digits / n_dense,
-        "end_punctuation": sum(bool(_END.search(x)) for x in lines) / n_lines,
+        "end_punctuation": sum(bool(_END.search(x[-12:])) for x in lines) / n_lines,
         "common_words": sum(w in common for w in found) / n_found,
         "letters_in_words": min(1.0, sum(map(len, found)) / n_dense),
-        "bullets": sum(bool(_BULLET.match(x)) for x in lines) / n_lines,
-        "pairs": sum(bool(_PAIR.match(x)) for x in bare) / n_lines,
-        "inline_bullets": len(_INLINE_BULLET.findall(text)),
-        "units_per_line": float(np.mean(per_line)) if per_line else 0.0,
-        "longest_line": max(per_line, default=0.0),
-        "units_per_sentence": _units(text) / max(len(sentences), 1),
         "fields": width,
         "regular_fields": regular,
-        "pipes": sum(x.count("|") > 1 or x.strip().startswith("+-") for x in lines) / n_lines,
-        "tabs": sum("\t" in x.strip() for x in lines) / n_lines,
-        "aligned": sum(bool(re.search(r"\S {3,}\S", x)) for x in lines) / n_lines,
-        "markup": sum(bool(_TAG.search(x)) and len(_TAG.sub("", x).split()) < 3 for x in lines) / n_lines,
-        "hex": sum(bool(_HEX.match(x)) and " " in x for x in lines) / n_lines,
+        "distinct_grams": len({dense[i : i + 8] for i in range(grams)}) / grams if grams > 16 else 1.0,
+    }
+    if not shape:
+        return out
+    bare = [_BULLET.sub("", x) for x in lines]
+    per_line = [_units(x) for x in bare]
+    sentences = sum(bool(s) and not s.isspace() for s in _SENTENCE.split(text))
+    plain = text.isascii() and "\x00" not in text
+    return out | {
+        "bullets": sum(len(b) != len(x) for b, x in zip(bare, lines)) / n_lines,
+        "inline_bullets": len(_INLINE_BULLET.findall(text)),
+        "pairs": sum(bool(_PAIR.match(x)) for x in bare) / n_lines if len(bare) > 1 else 0.0,
+        "units_per_line": sum(per_line) / max(len(per_line), 1),
+        "longest_line": max(per_line, default=0.0),
+        "units_per_sentence": sum(per_line) / max(sentences, 1),
+        "pipes": sum(x.count("|") > 1 or x.strip().startswith("+-") for x in lines) / n_lines if "|" in text or "+-" in text else 0.0,
+        "tabs": sum("\t" in x.strip() for x in lines) / n_lines if "\t" in text else 0.0,
+        "aligned": sum(bool(_ALIGNED.search(x)) for x in lines) / n_lines if "   " in text else 0.0,
+        "markup": sum(bool(_TAG.search(x)) and len(_TAG.sub("", x).split()) < 3 for x in lines) / n_lines if _TAG.search(text) else 0.0,
+        "hex": sum(" " in x and bool(_HEX.match(x)) for x in lines) / n_lines,
         "broken": len(_BROKEN.findall(dense)) / n_dense,
-        "mojibake": 2 * len(_MOJIBAKE.findall(dense)) / n_dense,
+        "mojibake": 0.0 if plain else 2 * len(_MOJIBAKE.findall(dense)) / n_dense,
         "blob": sum(map(len, _BLOB.findall(text))) / n_dense,
-        "distinct_grams": len(set(grams)) / len(grams) if len(grams) > 16 else 1.0,
     }
 
 
@@ -126,19 +145,20 @@ _readable: Callable[[S], bool] = lambda s: s["common_words"] >= 0.5 and s["lette
 
 # (name, kind it votes for, does it fire)
 FUNCTIONS: tuple[tuple[str, str, Callable[[S], bool]], ...] = (
-    ("long_lines", "prose", lambda s: _readable(s) and s["units_per_line"] >= 6.5),
-    ("long_sentences", "prose", lambda s: _readable(s) and s["units_per_sentence"] >= 5 and s["fields"] < 3),
-    ("full_stops", "prose", lambda s: s["end_punctuation"] >= 0.6 and s["units_per_line"] >= 3.4 and s["common_words"] > 0.4),
-    ("fluent", "prose", lambda s: s["common_words"] >= 0.7 and s["symbol_ratio"] < 0.12 and s["units_per_line"] >= 5.6 and s["digit_ratio"] < 0.1),
-    ("a_long_line", "prose", lambda s: _readable(s) and s["longest_line"] >= 8.5 and s["fields"] < 3),
+    ("long_lines", "prose", lambda s: _readable(s) and s["units_per_line"] >= 6.5 and s["pairs"] < 0.6),
+    ("long_sentences", "prose", lambda s: _readable(s) and s["units_per_sentence"] >= 5 and s["fields"] < 3 and s["pairs"] < 0.6),
+    ("full_stops", "prose", lambda s: s["end_punctuation"] >= 0.6 and s["units_per_line"] >= 3.4 and s["common_words"] > 0.4 and s["pairs"] < 0.6 and _flat(s)),
+    ("fluent", "prose", lambda s: s["common_words"] >= 0.7 and s["symbol_ratio"] < 0.12 and s["units_per_line"] >= 5.6 and s["digit_ratio"] < 0.1 and s["pairs"] < 0.6),
+    ("a_long_line", "prose", lambda s: _readable(s) and s["longest_line"] >= 8.5 and s["fields"] < 3 and s["pairs"] < 0.6),
     ("bullets", "list", lambda s: s["bullets"] >= 0.6 and s["units_per_line"] < 5.6 and s["end_punctuation"] < 0.6),
     ("short_items", "list", lambda s: s["n_lines"] >= 2 and s["units_per_line"] < 5.2 and s["longest_line"] < 8 and _flat(s) and s["common_words"] > 0.3),
     ("pairs", "list", lambda s: s["n_lines"] >= 2 and s["pairs"] >= 0.7 and s["units_per_line"] < 7.5 and _flat(s)),
+    ("bulleted_pairs", "list", lambda s: s["bullets"] >= 0.6 and s["pairs"] >= 0.6),
     ("tiny_items", "list", lambda s: s["n_lines"] >= 2 and s["units_per_line"] < 3.4 and _flat(s) and s["letters_in_words"] > 0.35),
     ("inline_items", "list", lambda s: s["inline_bullets"] >= 2),
-    ("pipes", "table", lambda s: s["pipes"] >= 0.7 and s["symbol_ratio"] < 0.9),
-    ("tabs", "table", lambda s: s["tabs"] >= 0.7 and s["broken"] < 0.2 and s["mojibake"] < 0.2 and s["symbol_ratio"] < 0.9),
-    ("aligned", "table", lambda s: s["aligned"] >= 0.6 and s["broken"] < 0.2 and s["mojibake"] < 0.2 and s["symbol_ratio"] < 0.9),
+    ("pipes", "table", lambda s: s["n_lines"] >= 2 and s["pipes"] >= 0.7 and s["symbol_ratio"] < 0.9),
+    ("tabs", "table", lambda s: s["n_lines"] >= 2 and s["tabs"] >= 0.7 and s["broken"] < 0.2 and s["mojibake"] < 0.2 and s["symbol_ratio"] < 0.9),
+    ("aligned", "table", lambda s: s["n_lines"] >= 2 and s["aligned"] >= 0.6 and s["broken"] < 0.2 and s["mojibake"] < 0.2 and s["symbol_ratio"] < 0.9),
     ("records", "table", lambda s: s["fields"] >= 3 and s["regular_fields"] >= 0.7 and s["n_lines"] >= 2 and s["broken"] < 0.2 and s["mojibake"] < 0.2 and s["symbol_ratio"] < 0.9),
     ("wide_records", "table", lambda s: s["fields"] >= 4 and s["regular_fields"] >= 0.6 and s["n_lines"] >= 2 and s["broken"] < 0.2 and s["mojibake"] < 0.2 and s["symbol_ratio"] < 0.9),
     ("unknown_words", "junk", lambda s: s["common_words"] < 0.35 and s["fields"] < 3),
@@ -157,7 +177,9 @@ def learn(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[n
     """EM over vote patterns: (posterior per pattern and kind, firing rate per function and kind).
 
     It starts from the votes themselves and keeps a weak prior that a function
-    fires most for the kind it votes for.
+    fires most for the kind it votes for. Functions of one kind measure related
+    things, so one that stays silent says less than one that fires: silence
+    counts SILENCE of its likelihood, and rates are bounded.
     """
     if not len(patterns):
         return np.zeros((0, len(KINDS))), np.zeros((len(FUNCTIONS), len(KINDS)))
@@ -170,8 +192,8 @@ def learn(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[n
     for _ in range(rounds):
         mass = posterior * weight
         prior = (mass.sum(0) + 0.01 * counts.sum()) / (mass.sum() + 0.04 * counts.sum())
-        rate = (fires.T @ mass + prior_fire * prior_n) / (mass.sum(0) + prior_n)
-        log = np.log(prior) + fires @ np.log(rate) + (1 - fires) @ np.log(1 - rate)
+        rate = np.clip((fires.T @ mass + prior_fire * prior_n) / (mass.sum(0) + prior_n), 0.002, np.where(own > 0, 0.9, 0.1))
+        log = np.log(prior) + fires @ np.log(rate) + SILENCE * ((1 - fires) @ np.log(1 - rate))
         log -= log.max(1, keepdims=True)
         posterior = np.exp(log)
         posterior /= posterior.sum(1, keepdims=True)
@@ -227,9 +249,9 @@ def text_kinds(df: DataFrame, key: str, text: str, top: int = COMMON_WORDS) -> D
             rows = []
             for value in batch.column(1).to_pylist():
                 value = value or ""
-                whole = statistics(value, common)
                 blocks = []
                 parts = [b for b in _BLOCKS.split(value) if b.strip()]
+                whole = statistics(value, common, shape=len(parts) < 2)
                 for block in parts:
                     s = statistics(block, common) if len(parts) > 1 else whole
                     pattern = sum(1 << i for i, (_, _, fires) in enumerate(FUNCTIONS) if fires(s))
