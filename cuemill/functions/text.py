@@ -82,6 +82,10 @@ def dialogue(text: Column) -> Column:
     return F.exists(lines(text), lambda x: x.startswith("-"))
 
 
+_MARKED = r"[♪🎵🎶\[(（【《［〔〈「]"
+_DASHES = r"(?m)^\s*-\s*$"
+
+
 def sdh_only(text: Column) -> Column:
     """Nothing but sound descriptions and music signs."""
     whole = trimmed(text)
@@ -89,14 +93,14 @@ def sdh_only(text: Column) -> Column:
     for pattern in SDH_WHOLE:
         hit = hit | whole.rlike(pattern)
     bare = lambda x: trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "♪+|🎵+|🎶+", ""), r"\[.*?\]|\(.*?\)|【.*?】|《.*?》", ""), r"^-\s*", ""))
-    return (whole != "") & (hit | F.forall(lines(text), lambda x: bare(x) == ""))
+    return (text.rlike(_MARKED) | text.rlike(_DASHES)) & (whole != "") & (hit | F.forall(lines(text), lambda x: bare(x) == ""))
 
 
 def sdh_strip(line: Column) -> Column:
     out = line
     for pattern in SDH_INLINE:
         out = F.regexp_replace(out, pattern, "")
-    out = F.regexp_replace(out, r"\s+", " ")
+    out = F.regexp_replace(F.when(line.rlike(_MARKED), out).otherwise(line), r"\s+", " ")
     out = F.regexp_replace(F.regexp_replace(out, r"^-\s*", "- "), r"^-\s*-\s*", "- ")
     out = trimmed(out)
     return F.when(out == "-", "").otherwise(out)
@@ -142,6 +146,10 @@ REPEATS = ((r"\b(\w)-\s+(?:\w+-\s+)*", ""), (r"(?i)\b(\w+)(\s+\1){2,}\b", "$1"),
 LEFTOVERS = ((r"\s*,\s*,\s*", ", "), (r"^\s*,\s*", ""), (r",\s*\.", "."), (r"\s{2,}", " "))
 
 
+# A line without any of these is fluent as it is; one look spares it the replacements.
+_SUSPECT = r"(?i)\b(?:uh|um|you know|i mean|like)\b|(?U)\w-\s|\s{2}|,\s*,|^\s*,|,\s*\.|\b(\w+(?:\s+\w+)?)\s+\1\b"
+
+
 def fluent(line: Column) -> Column:
     """English without fillers and stutters; lines that are mostly ideographs stay."""
     out = line
@@ -152,4 +160,4 @@ def fluent(line: Column) -> Column:
     lost = first.rlike(r"^\p{Ll}$") & was.rlike(r"^\p{Lu}$")
     out = F.when(lost, F.concat(F.upper(first), F.substring(out, 2, 1 << 30))).otherwise(out)
     wide = F.regexp_count(line, F.lit("[一-鿿぀-ゟ゠-ヿ가-힯]"))
-    return F.when(wide > F.length(line) * 0.3, line).otherwise(out)
+    return F.when(wide > F.length(line) * 0.3, line).when(line.rlike(_SUSPECT), out).otherwise(trimmed(line))
