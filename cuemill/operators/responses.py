@@ -70,13 +70,18 @@ def repair_json(raw: str | None) -> tuple[object | None, list[str]]:
     return None, [*notes, "unrecoverable"]
 
 
+def _canonical(value: dict) -> str:
+    """Canonical text; half a surrogate pair, as a cut leaves it, becomes a question mark."""
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode("utf-8", "replace").decode()
+
+
 def repaired(results: DataFrame) -> DataFrame:
     """(result_id, body, notes): body is the mended JSON object as canonical text, null if there is none."""
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [repair_json(raw) for raw in batch.column(1).to_pylist()]
-            body = [json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":")) if isinstance(v, dict) else None for v, _ in done]
+            body = [_canonical(v) if isinstance(v, dict) else None for v, _ in done]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.string()), pa.array([", ".join(n) for _, n in done], pa.string())], names=["result_id", "body", "notes"])
 
     return results.select("result_id", "raw_text").mapInArrow(mend, "result_id bigint, body string, notes string")

@@ -14,9 +14,9 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
     return op.latest(read(spark, d, "translate_results"))
 
 
-def _strict(spark: SparkSession, d: str) -> DataFrame:
-    """Entries of the responses that are JSON objects once a fence is stripped."""
-    return op.entries(_results(spark, d).select("result_id", op.strip_fence(F.col("raw_text")).alias("body")).where("body LIKE '{%}'"))
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of all responses, mended where that is possible."""
+    return op.entries(op.repaired(_results(spark, d)))
 
 
 def json_repair(spark, d):
@@ -24,17 +24,18 @@ def json_repair(spark, d):
 
 
 def response_rows(spark, d):
-    return _strict(spark, d)
+    return _entries(spark, d)
 
 
 def missing_extra(spark, d):
-    got = _strict(spark, d)
-    want = op.asked(_results(spark, d)).join(got.select("result_id").distinct(), "result_id", "left_semi")
-    return op.key_check(want, got)
+    """Keys of every response; one that is empty or beyond repair lacks all that was asked."""
+    results = _results(spark, d)
+    checked = op.key_check(op.asked(results), op.entries(op.repaired(results)))
+    return results.select("result_id").join(checked, "result_id", "left").na.fill("", ["missing", "extra"]).na.fill(0, ["more_missing", "more_extra"])
 
 
 def src_alignment(spark, d):
-    return op.alignment(op.asked(_results(spark, d)), _strict(spark, d)).select("result_id", "key", "kind", "other_key")
+    return op.alignment(op.asked(_results(spark, d)), _entries(spark, d)).select("result_id", "key", "kind", "other_key")
 
 
 def src_drift(spark, d):
@@ -43,14 +44,14 @@ def src_drift(spark, d):
 
 
 def style_warnings(spark, d):
-    return op.style(_strict(spark, d))
+    return op.style(_entries(spark, d))
 
 
 def validate_summary(spark, d):
-    """What was asked, answered and translated, and whether the response holds."""
-    got = _strict(spark, d)
-    want = op.asked(_results(spark, d)).join(got.select("result_id").distinct(), "result_id", "left_semi")
-    rows = want.join(got.withColumn("g", F.lit(True)), ["result_id", "key"], "full")
+    """What was asked, answered and translated, and whether the response holds, for every response."""
+    results = _results(spark, d)
+    got = op.entries(op.repaired(results))
+    rows = op.asked(results).join(got.withColumn("g", F.lit(True)), ["result_id", "key"], "full")
     told = op.told(F.col("tr")) & F.col("pos").isNotNull()
     out = rows.groupBy("result_id").agg(F.count_if(F.col("pos").isNotNull()).alias("n_in"), F.count_if("g").alias("n_out"), F.count_if(told).alias("n_tr_ok"))
     return out.withColumn("ok", (F.col("n_in") == F.col("n_out")) & (F.col("n_tr_ok") == F.col("n_in")))
@@ -92,12 +93,12 @@ def failed_batches(spark, d):
 
 
 def merge_batches(spark, d):
-    return op.merged(_strict(spark, d), _results(spark, d)).select("episode_id", "key", "tr", "n_versions")
+    return op.merged(_entries(spark, d), _results(spark, d)).select("episode_id", "key", "tr", "n_versions")
 
 
 def bilingual_srt(spark, d):
     """Per episode, the cues with times and a translation: number, times, translation above source."""
-    tr = op.merged(_strict(spark, d), _results(spark, d)).select("episode_id", F.expr("try_cast(key AS int)").alias("id"), F.regexp_replace("tr", r"^\s+|\s+$", "").alias("tr"))
+    tr = op.merged(_entries(spark, d), _results(spark, d)).select("episode_id", F.expr("try_cast(key AS int)").alias("id"), F.regexp_replace("tr", r"^\s+|\s+$", "").alias("tr"))
     cues = cue_op.distinct_cues(read(spark, d, "cues")).where("start_ms IS NOT NULL AND end_ms IS NOT NULL").join(tr, ["episode_id", "id"])
     n = F.row_number().over(Window.partitionBy("episode_id").orderBy("id"))
     from cuemill.functions.timecode import format_ms
@@ -111,7 +112,7 @@ def bilingual_srt(spark, d):
 def missing_translations(spark, d):
     """Asked cues that no try of the episode translated."""
     want = op.asked(_results(spark, d)).join(_results(spark, d).select("result_id", "episode_id"), "result_id").select("episode_id", "key").distinct()
-    return want.join(op.merged(_strict(spark, d), _results(spark, d)), ["episode_id", "key"], "left_anti")
+    return want.join(op.merged(_entries(spark, d), _results(spark, d)), ["episode_id", "key"], "left_anti")
 
 
 QUERIES = {

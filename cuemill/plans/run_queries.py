@@ -9,7 +9,7 @@ from cuemill.operators import cues as cue_op
 from cuemill.operators import responses
 from cuemill.operators import runs as op
 from cuemill.plans.cue_queries import _C, _W
-from cuemill.plans.response_queries import _M, _results, _strict
+from cuemill.plans.response_queries import _M, _entries, _results
 from cuemill.session import read
 
 
@@ -37,7 +37,7 @@ def window_match(spark, d):
 def upsert_repair(spark, d):
     """First tries overlaid with what later tries brought."""
     r = _results(spark, d).select("result_id", "episode_id", "attempt")
-    rows = _strict(spark, d).where(responses.told(F.col("tr"))).join(r, "result_id")
+    rows = _entries(spark, d).where(responses.told(F.col("tr"))).join(r, "result_id")
     by = Window.partitionBy("episode_id", "key").orderBy(F.desc("attempt"), F.desc("result_id"))
     best = lambda part: part.withColumn("n", F.row_number().over(by)).where("n = 1").select("episode_id", "key", "tr")
     return op.overlay(best(rows.where("attempt = 1")), best(rows.where("attempt > 1")), ["episode_id", "key"])
@@ -45,7 +45,7 @@ def upsert_repair(spark, d):
 
 def anon_inputs(spark, d):
     """Source, translation and context of each translated cue, without a trace of who made it."""
-    tr = responses.merged(_strict(spark, d), _results(spark, d)).select("episode_id", F.expr("try_cast(key AS int)").alias("id"), F.col("tr").alias("target_text"))
+    tr = responses.merged(_entries(spark, d), _results(spark, d)).select("episode_id", F.expr("try_cast(key AS int)").alias("id"), F.col("tr").alias("target_text"))
     cues = _cues(spark, d)
     rows = cues.select("episode_id", "id", F.col("text").alias("source_text")).join(cue_op.context(cues, 2), ["episode_id", "id"]).join(tr, ["episode_id", "id"])
     return op.blinded(rows, "20260811")
