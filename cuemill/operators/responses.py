@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Marks that don't count when an echo is compared, and words that tell refusals and technical failures.
 ECHO_MARKS = "!\"'(),\\-.:;?[]`{}…‘’“”—–，。！？；：（）【】《》、"
@@ -140,6 +141,47 @@ def drift(aligned: DataFrame) -> DataFrame:
     return rows.select("result_id", "key", F.round("ratio", 4).alias("ratio"), F.when(F.col("ratio") >= DRIFT, "drift").otherwise("mismatch").alias("kind"))
 
 
+def _right_echo(key: str, src: object, asked: dict[str, str | None]) -> bool:
+    """Neither another entry's text nor unlike this one's; no echo at all is let pass."""
+    echo, text = "" if src is None else str(src), asked[key] or ""
+    if echo == text or not echo.strip():
+        return True
+    a, b = normalize_src(text), normalize_src(echo)
+    if a == b:
+        return True
+    return all(normalize_src(t) != b for k, t in asked.items() if k != key) and difflib.SequenceMatcher(None, a, b).ratio() >= DRIFT
+
+
+def validate(raw: str | None, asked: dict[str, str | None]) -> tuple[int, int, bool]:
+    """Number of entries and of translated asked entries, and whether the mended response holds: an object of just the
+    asked keys, each an object with a translation that isn't blank and the echo of its own text."""
+    value, _ = repair_json(raw)
+    if not isinstance(value, dict):
+        return 0, 0, False
+    told = [k for k in asked if isinstance(v := value.get(k), dict) and isinstance(v.get("tr"), str) and v["tr"].strip()]
+    return len(value), len(told), len(told) == len(asked) == len(value) and all(_right_echo(k, value[k].get("src"), asked) for k in told)
+
+
+def validated(results: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns of each response with n_in, n_out, n_tr_ok and valid."""
+    found = [T.StructField("n_in", T.LongType(), False), T.StructField("n_out", T.LongType(), False), T.StructField("n_tr_ok", T.LongType(), False), T.StructField("valid", T.BooleanType(), False)]
+    schema = T.StructType([*(results.schema[c] for c in keep), *found])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = [dict(m or ()) for m in batch.column(1).to_pylist()]
+            done = [validate(raw, m) for raw, m in zip(batch.column(0).to_pylist(), asked)]
+            counts = [pa.array(x, pa.int64()) for x in ([len(m) for m in asked], [d[0] for d in done], [d[1] for d in done])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *counts, pa.array([d[2] for d in done], pa.bool_())], names=schema.names)
+
+    return results.select("raw_text", "input_map", *keep).mapInArrow(check, schema)
+
+
+def fine() -> Column:
+    """A call that was completed, is not incomplete and whose response is valid."""
+    return F.coalesce((F.col("status") == "completed") & (F.coalesce("incomplete_reason", F.lit("")) == "") & F.col("valid"), F.lit(False))
+
+
 def style(got: DataFrame) -> DataFrame:
     """Style warnings of each translation."""
     latin, han = F.regexp_count("tr", F.lit("[A-Za-z]")), F.regexp_count("tr", F.lit("[一-鿿]"))
@@ -173,10 +215,11 @@ def outcome(results: DataFrame) -> DataFrame:
 
 
 def retry(results: DataFrame) -> DataFrame:
-    """Why a call is to be repeated, in the order error, status, incomplete, or null."""
+    """Why a call is to be repeated, in the order error, status, incomplete, invalid, or null."""
+    results = validated(results, "result_id", "status", "incomplete_reason")
     low = F.lower("status")
     error = _any(F.col("status"), RETRY_NAMES) | _any(low, RETRY_NEEDLES)
-    reason = F.when(F.col("status").startswith("error") & error, "error").when(F.col("status") != "completed", "status").when(F.coalesce("incomplete_reason", F.lit("")) != "", "incomplete")
+    reason = F.when(F.col("status").startswith("error") & error, "error").when(F.col("status") != "completed", "status").when(F.coalesce("incomplete_reason", F.lit("")) != "", "incomplete").when(~F.col("valid"), "invalid")
     return results.select("result_id", reason.alias("reason"))
 
 

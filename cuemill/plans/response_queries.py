@@ -49,12 +49,7 @@ def style_warnings(spark, d):
 
 def validate_summary(spark, d):
     """What was asked, answered and translated, and whether the response holds, for every response."""
-    results = _results(spark, d)
-    got = op.entries(op.repaired(results))
-    rows = op.asked(results).join(got.withColumn("g", F.lit(True)), ["result_id", "key"], "full")
-    told = op.told(F.col("tr")) & F.col("pos").isNotNull()
-    out = rows.groupBy("result_id").agg(F.count_if(F.col("pos").isNotNull()).alias("n_in"), F.count_if("g").alias("n_out"), F.count_if(told).alias("n_tr_ok"))
-    return out.withColumn("ok", (F.col("n_in") == F.col("n_out")) & (F.col("n_tr_ok") == F.col("n_in")))
+    return op.validated(_results(spark, d), "result_id").withColumnRenamed("valid", "ok")
 
 
 def refusal_classify(spark, d):
@@ -71,25 +66,23 @@ def usage_sum(spark, d):
 
 
 def model_summary(spark, d):
-    r = _results(spark, d)
+    r = op.validated(_results(spark, d), "model_alias", "episode_id", "attempt", "status", "incomplete_reason", "elapsed_sec", "usage")
     return r.groupBy("model_alias").agg(
-        F.count("*").alias("n"), F.count_if((F.col("status") == "completed") & F.col("incomplete_reason").isNull()).alias("n_ok"), F.countDistinct("episode_id").alias("n_episodes"),
+        F.count("*").alias("n"), F.count_if(op.fine()).alias("n_ok"), F.countDistinct("episode_id").alias("n_episodes"),
         F.round(F.sum("elapsed_sec"), 3).alias("elapsed_sec"), F.coalesce(F.sum("usage.total_tokens"), F.lit(0)).alias("tokens"), F.max("attempt").alias("most_attempts"),
     )
 
 
 def run_ok(spark, d):
-    """A run holds if every batch of the episode has a completed try."""
-    r = _results(spark, d)
-    ok = (F.col("status") == "completed") & F.col("incomplete_reason").isNull() & (F.trim(F.coalesce("raw_text", F.lit(""))) != "")
-    batch = r.groupBy("episode_id", "batch_index").agg(F.bool_or(ok).alias("ok"), F.count("*").alias("tries"))
+    """A run holds if every batch of the episode has a completed and valid try."""
+    r = op.validated(_results(spark, d), "episode_id", "batch_index", "status", "incomplete_reason")
+    batch = r.groupBy("episode_id", "batch_index").agg(F.bool_or(op.fine()).alias("ok"), F.count("*").alias("tries"))
     return batch.groupBy("episode_id").agg(F.count("*").alias("n_batches"), F.count_if("ok").alias("n_batches_ok"), F.bool_and("ok").alias("ok"), F.sum("tries").alias("tries"))
 
 
 def failed_batches(spark, d):
-    r = _results(spark, d)
-    ok = (F.col("status") == "completed") & F.col("incomplete_reason").isNull() & (F.trim(F.coalesce("raw_text", F.lit(""))) != "")
-    return r.groupBy("episode_id", "batch_index").agg(F.bool_or(ok).alias("ok")).where("NOT ok").select("episode_id", "batch_index")
+    r = op.validated(_results(spark, d), "episode_id", "batch_index", "status", "incomplete_reason")
+    return r.groupBy("episode_id", "batch_index").agg(F.bool_or(op.fine()).alias("ok")).where("NOT ok").select("episode_id", "batch_index")
 
 
 def merge_batches(spark, d):

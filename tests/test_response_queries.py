@@ -63,3 +63,25 @@ def test_checks_count_every_response(run):
 
 def test_half_a_surrogate_pair(run):
     assert len(run("response_rows", [result(1, '{"0": {"src": "Hello there", "tr": "\\ud83d"}}')])) == 1
+
+
+def reply(**tr):
+    return json.dumps({k[1:]: {"src": ASKED.get(k[1:], "x"), "tr": v} for k, v in tr.items()})
+
+
+SWAPPED = json.dumps({"0": {"src": ASKED["1"], "tr": "a"}, "1": {"src": ASKED["1"], "tr": "b"}})
+INVALID = [reply(k0="a"), reply(k0="a", k1="b", k2="c"), reply(k0="a", k1=" "), reply(k0="a", k1=5), '{"0": "a", "1": "b"}', "No.", SWAPPED, SWAPPED.replace(ASKED["1"], "Something else", 1)]
+VALID = [WHOLE, WHOLE[:-1], WHOLE.replace("Hello there", "hello, there!"), WHOLE.replace("Hello there", "Hello thera"), WHOLE.replace('"src": "Hello there", ', "")]
+
+
+def test_only_valid_responses_are_ok(run):
+    made = [result(n, raw) for n, raw in enumerate(INVALID)] + [result(n, raw) for n, raw in enumerate(VALID, 100)]
+    made += [result(200, WHOLE, incomplete="length"), result(201, WHOLE, status="failed"), result(202, WHOLE, incomplete="")]
+    bad = {f"e{n}" for n in (*range(len(INVALID)), 200, 201)}
+    assert {r.result_id for r in run("validate_summary", made) if not r.ok} == set(range(len(INVALID)))
+    assert {r.episode_id for r in run("failed_batches", made)} == bad
+    assert {r.episode_id for r in run("run_ok", made) if not r.ok} == bad
+    assert {r.result_id: r.reason for r in run("retry_classify", made) if r.reason} == dict.fromkeys(range(len(INVALID)), "invalid") | {200: "incomplete", 201: "status"}
+    (model,) = run("model_summary", made)
+    assert (model.n, model.n_ok) == (len(made), len(made) - len(bad))
+    assert not run("failed_batches", [result(1, INVALID[0], "e"), result(2, WHOLE, "e", attempt=2)])
