@@ -90,9 +90,9 @@ def merge_batches(spark, d):
 
 
 def bilingual_srt(spark, d):
-    """Per episode, the cues with times and a translation: number, times, translation above source."""
+    """Per episode, all cues with times: number, times, translation (empty if there is none) above source."""
     tr = op.merged(_entries(spark, d), _results(spark, d)).select("episode_id", F.expr("try_cast(key AS int)").alias("id"), F.regexp_replace("tr", r"^\s+|\s+$", "").alias("tr"))
-    cues = cue_op.distinct_cues(read(spark, d, "cues")).where("start_ms IS NOT NULL AND end_ms IS NOT NULL").join(tr, ["episode_id", "id"])
+    cues = cue_op.distinct_cues(read(spark, d, "cues")).where("start_ms IS NOT NULL AND end_ms IS NOT NULL").join(tr, ["episode_id", "id"], "left").na.fill("", ["tr"])
     n = F.row_number().over(Window.partitionBy("episode_id").orderBy("id"))
     from cuemill.functions.timecode import format_ms
 

@@ -85,3 +85,12 @@ def test_only_valid_responses_are_ok(run):
     (model,) = run("model_summary", made)
     assert (model.n, model.n_ok) == (len(made), len(made) - len(bad))
     assert not run("failed_batches", [result(1, INVALID[0], "e"), result(2, WHOLE, "e", attempt=2)])
+
+
+def test_srt_has_every_cue(run):
+    cues = [(e, i, i + 1, f"00:00:0{i},000", f"00:00:0{i},900", t) for e in ("e1", "e2") for i, t in enumerate(("Hello there", "Good night", "", "So long"))]
+    cues += [cues[0], ("e1", 9, 10, "no time", "00:00:09,000", "x")]
+    got = {r.episode_id: r.srt for r in run("bilingual_srt", [result(1, reply(k1="b"))], cues)}
+    at = lambda n: f"{n}\n00:00:0{n - 1},000 --> 00:00:0{n - 1},900\n"
+    blocks = lambda *tr: "\n".join(f"{at(n)}{t}" + (f"\n{s}" if s else "") + "\n" for n, (t, s) in enumerate(zip(tr, ("Hello there", "Good night", "", "So long")), 1))
+    assert got == {"e1": blocks("", "b", "", ""), "e2": blocks("", "", "", "")}
