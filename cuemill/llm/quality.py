@@ -13,6 +13,7 @@ grow with the documents but with the functions (at most 2 ** len(FUNCTIONS)).
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -28,6 +29,7 @@ from cuemill.session import materialize
 KINDS = ("prose", "list", "table", "junk")
 COMMON_WORDS = 5000
 MIN_DOCUMENTS = 3
+MIN_SHARE = 0.003
 SILENCE = 0.5
 
 _CJK = r"぀-ヿ㐀-鿿豈-﫿々"
@@ -200,12 +202,15 @@ def learn(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[n
     return posterior, rate
 
 
-def common_words(df: DataFrame, text: str, top: int = COMMON_WORDS, least: int = MIN_DOCUMENTS) -> frozenset[str]:
+def common_words(df: DataFrame, text: str, top: int = COMMON_WORDS, least: int = MIN_DOCUMENTS, share: float = MIN_SHARE) -> frozenset[str]:
     """The ``top`` words by number of documents, over all documents; at most ``top`` rows reach the driver.
 
-    A word must be in ``least`` documents and in two different texts, so that
-    copies of one text don't make its words common.
+    A word must be in ``share`` of the documents that aren't blank, so that
+    rare noise doesn't become common as documents are added, in ``least`` of
+    them however few there are, and in two different texts, so that copies of
+    one text don't make its words common.
     """
+    least = max(least, math.ceil(share * df.where(F.col(text).rlike(r"\S")).count()))
     schema = "word string, text_hash bigint"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

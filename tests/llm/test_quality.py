@@ -1,6 +1,6 @@
 import numpy as np
 
-from cuemill.llm.quality import FUNCTIONS, KINDS, learn, statistics, text_kinds, words
+from cuemill.llm.quality import FUNCTIONS, KINDS, common_words, learn, statistics, text_kinds, words
 
 PROSE = "The old house stood near the river, and nobody had lived there for many years. We walked there every evening."
 TEXTS = {
@@ -40,3 +40,10 @@ def test_table(spark):
     right = sum(got[i * 100 + j] == k for i, k in enumerate(KINDS) for j in range(8))
     assert right >= 30, wrong
     assert text_kinds(df.limit(0), "doc", "text").count() == 0
+
+
+def test_common_words_are_alike_at_every_size(spark):
+    """Rare noise grows with the documents, but is no larger share of them."""
+    texts = [f"the old house river{i % 7} noise{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(4000)]
+    found = [common_words(spark.createDataFrame([(t,) for t in [*texts[:n], None, " "]], "text string"), "text") for n in (400, 1200, 4000)]
+    assert all(f == {"the", "old", "house", "river"} for f in found)
