@@ -64,7 +64,7 @@ def status(score: Column, failed: Column, hard: Column) -> Column:
 
 def episodes(scores: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted score, counts and status of each candidate; hard failures count once per sample and kind."""
-    means = dimension_means(scores).join(F.broadcast(weights.limit(1000)), "dimension")  # a profile has few dimensions
+    means = dimension_means(scores).join(weights, "dimension")
     base = means.groupBy("candidate_id").agg(F.round(F.coalesce(F.try_divide(F.sum(F.col("weight") * F.col("mean")), F.sum("weight")), F.lit(0.0)), 9).alias("raw"), F.count_if(F.col("mean") < FLOOR).alias("failed"))
     hard = scores.select("candidate_id", "sample_id", F.explode("hard").alias("kind")).distinct().groupBy("candidate_id").agg(F.count("*").alias("hard_count"))
     samples = scores.groupBy("candidate_id").agg(F.countDistinct("sample_id").alias("sample_count"), F.countDistinct(F.when(F.col("refused"), F.col("sample_id"))).alias("refusal_count"))
@@ -74,7 +74,7 @@ def episodes(scores: DataFrame, weights: DataFrame) -> DataFrame:
 
 def sample_display(scores: DataFrame, weights: DataFrame) -> DataFrame:
     """Report-only score of a sample over its dimensions, three ways, and the severity of the weighted one."""
-    s = scores.join(F.broadcast(weights.limit(1000)), "dimension")
+    s = scores.join(weights, "dimension")
     out = s.groupBy("candidate_id", "sample_id").agg(
         F.round(F.try_divide(F.sum(F.col("weight") * F.col("median")), F.sum("weight")), 9).alias("w"), F.min("median").alias("lowest"),
         F.when(F.min("median") == 0, 0.0).otherwise(F.try_divide(F.count("*"), F.sum(F.try_divide(F.lit(1.0), F.col("median"))))).alias("h"),

@@ -92,13 +92,13 @@ def shuffled_items(spark, d):
 
 def case_grid(spark, d):
     """Every model and sampling arm for every episode, numbered in that order, with its slug."""
-    r = read(spark, d, "translate_results").select("model_alias").distinct()
-    models = sorted(x.model_alias for x in r.limit(1000).collect() if x.model_alias)  # aliases of a profile
+    models = read(spark, d, "translate_results").select(F.col("model_alias").alias("model")).where("model <> ''").distinct()
+    models = models.withColumn("model_pos", F.row_number().over(Window.orderBy("model")) - 1)  # aliases of a profile
     arms = [("omit", "omit"), ("0.3", "omit"), ("0.7", "0.9")]
-    grid = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(i).alias("model_pos"), F.lit(t).alias("temperature"), F.lit(p).alias("top_p"), F.lit(j).alias("arm_pos")) for i, m in enumerate(models) for j, (t, p) in enumerate(arms)])
+    grid = F.array(*[F.struct(F.lit(t).alias("temperature"), F.lit(p).alias("top_p"), F.lit(j).alias("arm_pos")) for j, (t, p) in enumerate(arms)])
     eps = read(spark, d, "episodes").select("episode_id").distinct()
     eps = eps.withColumn("ep_pos", F.row_number().over(Window.orderBy("episode_id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(1))))
-    cases = eps.select("episode_id", "ep_pos", "n", F.inline(grid))
+    cases = eps.crossJoin(F.broadcast(models.select("model", "model_pos", F.inline(grid))))
     number = (F.col("model_pos") * len(arms) + F.col("arm_pos")) * F.col("n") + F.col("ep_pos") + 1
     return cases.select(number.alias("case_number"), "model", "temperature", "top_p", "episode_id", F.format_string("%03d__%s__%s__temperature-%s__topP-%s", number, "episode_id", "model", "temperature", "top_p").alias("slug"))
 
