@@ -42,7 +42,8 @@ _CJK_CHAR = re.compile(f"[{_CJK}]")
 _HANGUL_CHAR = re.compile(f"[{_HANGUL}]")
 _BLOCKS = re.compile(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)\s*")
 _LINES = re.compile(r"\r\n|\n|\r")
-_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
+_MARKS = (".", "!", "?", "…", "。", "！", "？")
+_CLOSERS = "\"'”’»)]"
 _SENTENCE = re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+|\r\n|\n|\r")
 _BULLET = re.compile(r"^\s*(?:[-–—*•·+]|\d{1,4}[.)]|[A-Za-z][.)]|\[[ xX]?\])\s+(?:\[[ xX]?\]\s+)?")
 _PAIR = re.compile(r"^\s*[^\s,:.!?;–]+(?: [^\s,:.!?;–]+){0,3}(?:, | – | - |: )[^\s,:.!?;–]+(?: [^\s,:.!?;–]+){0,3}\s*$")
@@ -110,7 +111,7 @@ def statistics(text: str, common: frozenset[str], shape: bool = True) -> dict[st
         "mean_word_length": sum(map(len, tokens)) / max(len(tokens), 1),
         "symbol_ratio": 1 - (letters + digits) / n_dense if dense else 0.0,
         "digit_ratio": digits / n_dense,
-        "end_punctuation": sum(bool(_END.search(x[-12:])) for x in lines) / n_lines,
+        "end_punctuation": sum(x.rstrip().rstrip(_CLOSERS).endswith(_MARKS) for x in lines) / n_lines,
         "common_words": sum(w in common for w in found) / n_found,
         "letters_in_words": min(1.0, sum(map(len, found)) / n_dense),
         "fields": width,

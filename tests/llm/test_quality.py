@@ -18,6 +18,11 @@ def test_statistics_of_nothing():
     assert words("Ab cde 中文 한국 12") == ["cde", "한국", "中", "文"]
 
 
+def test_marks_before_blanks_and_closers():
+    for end in ("", " " * 40, "\u3000\t" * 9, ")" * 20, "”) " + " " * 20):
+        assert statistics(f"It was late.{end}\nNo mark here{end}", frozenset())["end_punctuation"] == 0.5, end
+
+
 def test_em_separates_planted_kinds():
     rnd = np.random.default_rng(0)
     kinds = rnd.integers(0, 4, 4000)
