@@ -58,11 +58,6 @@ def strict_ms(col: Column) -> Column:
 
 
 def format_ms(ms: Column) -> Column:
-    """BIGINT milliseconds to HH:MM:SS,mmm, truncating."""
-    return F.format_string(
-        "%02d:%02d:%02d,%03d",
-        F.floor(ms / 3600000),
-        F.floor(ms / 60000) % 60,
-        F.floor(ms / 1000) % 60,
-        ms % 1000,
-    )
+    """BIGINT milliseconds to HH:MM:SS,mmm, truncating; null stays null."""
+    text = F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
+    return F.when(ms.isNotNull(), text)

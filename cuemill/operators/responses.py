@@ -1,4 +1,9 @@
-"""Model responses: repair of their JSON, checks against what was asked, and what follows from them."""
+"""Model responses: checks against what was asked, and what follows from them.
+
+A response and what it was asked for are one row, so mending, key check, echo
+check and type check are one narrow pass over the rows, without a shuffle; the
+tables of entries, keys and warnings are projections of its result.
+"""
 
 from __future__ import annotations
 
@@ -13,173 +18,170 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cuemill.operators.mending import mend
+
 # Marks that don't count when an echo is compared, and words that tell refusals and technical failures.
 ECHO_MARKS = "!\"'(),\\-.:;?[]`{}…‘’“”—–，。！？；：（）【】《》、"
 REFUSAL_MARKERS = ("refusal", "safety", "content policy", "content_filter", "content filter", "blocked")
 TECHNICAL_MARKERS = ("connection", "timeout", "timed out", "rate limit", "ratelimit", "network")
 RETRY_NAMES = ("APIConnectionError", "APITimeoutError", "RateLimitError", "InternalServerError", "APIStatusError", "TimeoutError", "RemoteProtocolError", "ConnectError", "ReadTimeout")
 RETRY_NEEDLES = ("429", "500", "502", "503", "504", "timeout", "rate limit", "overloaded")
+RETRY_CODES = (408, 409, 429, 500, 502, 503, 504)
 DRIFT = 0.85
+SHOWN = 20  # keys named in a report; further ones are counted
 
 
-def strip_fence(text: Column) -> Column:
-    """The text without a code fence around it."""
-    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
-    opened = F.regexp_replace(bare, r"^```(json|JSON)?\s*\n?", "")
-    return F.when(bare.startswith("```"), F.regexp_replace(F.regexp_replace(opened, r"\n?```\s*$", ""), r"^\s+|\s+$", "")).otherwise(bare)
-
-
-def _parse(text: str) -> object | None:
-    try:
-        return json.loads(text)
-    except ValueError:
-        return None
-
-
-def _closed(text: str) -> str:
-    return text + "}" * max(0, text.count("{") - text.count("}"))
-
-
-def repair_json(raw: str | None) -> tuple[object | None, list[str]]:
-    """The parsed value and what was mended; every step goes on from the one before."""
-    if not raw or not raw.strip():
-        return None, ["empty"]
-    body = raw.strip()
-    if body.startswith("```"):
-        body = re.sub(r"\n?```\s*$", "", re.sub(r"^```(?:json|JSON)?\s*\n?", "", body)).strip()
-    notes: list[str] = []
-    quoted = lambda t: re.sub(r'(?<=[,{])(\s*)(\d+)":', lambda m: f'"{m.group(2)}":', t)
-    value = _parse(body)
-    if value is not None:
-        return value, notes
-    for note, step in (("quoted keys", quoted), ("closed braces", _closed)):
-        changed = step(body)
-        if changed != body:
-            body = changed
-            notes.append(note)
-            value = _parse(body)
-            if value is not None:
-                return value, notes
-    end = body.rfind('"},')
-    end = body.rfind('"}') if end < 0 else end
-    comma = body.rfind(',"')
-    for note, cut in (("cut after the last whole entry", body[: end + 2] if end > 0 else None), ("dropped the last entry", _closed(body[:comma] + "}") if comma > 0 else None)):
-        if cut is not None:
-            value = _parse(re.sub(r",(\s*})", r"\1", _closed(cut)))
-            if value is not None:
-                return value, [*notes, note]
-    return None, [*notes, "unrecoverable"]
+_ENTRY = pa.struct([(n, pa.string()) for n in ("key", "src", "tr", "fault", "echo", "other")] + [("ratio", pa.float64())])
+_ENTRY_SQL = "array<struct<key: string, src: string, tr: string, fault: string, echo: string, other: string, ratio: double>>"
 
 
 def _canonical(value: dict) -> str:
     """Canonical text; half a surrogate pair, as a cut leaves it, becomes a question mark."""
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode("utf-8", "replace").decode()
+    return _clean(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+
+
+def _clean(text: str) -> str:
+    return text.encode("utf-8", "replace").decode()
 
 
 def repaired(results: DataFrame) -> DataFrame:
     """(result_id, body, notes): body is the mended JSON object as canonical text, null if there is none."""
 
-    def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [repair_json(raw) for raw in batch.column(1).to_pylist()]
+            done = [mend(raw) for raw in batch.column(1).to_pylist()]
             body = [_canonical(v) if isinstance(v, dict) else None for v, _ in done]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.string()), pa.array([", ".join(n) for _, n in done], pa.string())], names=["result_id", "body", "notes"])
 
-    return results.select("result_id", "raw_text").mapInArrow(mend, "result_id bigint, body string, notes string")
-
-
-def entries(bodies: DataFrame) -> DataFrame:
-    """(result_id, key, src, tr) of JSON objects {key: {src, tr}}; a value of another shape has neither."""
-    whole = F.from_json("body", "map<string,string>")
-    rows = bodies.select("result_id", F.explode(whole).alias("key", "value"))
-    value = F.from_json("value", "src string, tr string")
-    return rows.select("result_id", "key", value["src"].alias("src"), value["tr"].alias("tr"))
-
-
-def asked(results: DataFrame) -> DataFrame:
-    return results.select("result_id", F.posexplode("input_map").alias("pos", "key", "text"))
-
-
-def key_check(want: DataFrame, got: DataFrame) -> DataFrame:
-    """Keys missing from and added to each response: first 20 in numeric order, and how many more."""
-    both = want.select("result_id", "key", F.lit(True).alias("w")).join(got.select("result_id", "key", F.lit(True).alias("g")), ["result_id", "key"], "full")
-    side = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct(F.expr("try_cast(key AS int)").alias("n"), F.col("key"))))), lambda x: x["key"])
-    out = both.groupBy("result_id").agg(side(F.col("g").isNull()).alias("m"), side(F.col("w").isNull()).alias("e"))
-    show = lambda c: F.array_join(F.slice(c, 1, 20), ",")
-    return out.select("result_id", show(F.col("m")).alias("missing"), show(F.col("e")).alias("extra"), F.greatest(F.size("m") - 20, F.lit(0)).alias("more_missing"), F.greatest(F.size("e") - 20, F.lit(0)).alias("more_extra"))
-
-
-def echo_form(text: Column) -> Column:
-    """Case and marks levelled with built-in functions; compatibility forms are left to normalize_src."""
-    marks = "[" + re.escape(ECHO_MARKS) + "]+"
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), marks, " "), r"\s+", " "))
+    return results.select("result_id", "raw_text").mapInArrow(run, "result_id bigint, body string, notes string")
 
 
 def normalize_src(text: str | None) -> str:
     """Compatibility form, case folded, marks as spaces, white space collapsed."""
     folded = unicodedata.normalize("NFKC", text or "").casefold()
-    return " ".join(re.sub("[" + re.escape(ECHO_MARKS) + "]+", " ", folded).split())
+    return " ".join(_MARKS.sub(" ", folded).split())
 
 
-def alignment(want: DataFrame, got: DataFrame) -> DataFrame:
-    """missing, ok, misaligned (echoes another entry, the first in order) or other, per answered entry."""
-    rows = want.withColumn("norm", echo_form(F.col("text"))).join(got, ["result_id", "key"]).withColumn("echo", echo_form(F.col("src")))
-    owners = want.select("result_id", echo_form(F.col("text")).alias("echo"), F.col("key").alias("owner"), "pos").where("echo <> ''").groupBy("result_id", "echo").agg(F.min_by("owner", "pos").alias("owner"))
-    kind = F.when(F.coalesce(F.col("src"), F.lit("")) == "", "missing").when(F.col("echo") == F.col("norm"), "ok").when(F.col("owner").isNotNull(), "misaligned").otherwise("other")
-    return rows.join(owners, ["result_id", "echo"], "left").select("result_id", "key", "text", "src", kind.alias("kind"), F.when(kind == "misaligned", F.col("owner")).alias("other_key"))
+_MARKS = re.compile("[" + re.escape(ECHO_MARKS) + "]+")
 
 
-def drift(aligned: DataFrame) -> DataFrame:
-    """drift or mismatch for the rows that are neither right nor another entry's: only those reach Python."""
-
-    def ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [difflib.SequenceMatcher(None, normalize_src(a), normalize_src(b)).ratio() for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["result_id", "key", "ratio"])
-
-    rows = aligned.where("kind = 'other'").select("result_id", "key", "src", "text").mapInArrow(ratio, "result_id bigint, key string, ratio double")
-    return rows.select("result_id", "key", F.round("ratio", 4).alias("ratio"), F.when(F.col("ratio") >= DRIFT, "drift").otherwise("mismatch").alias("kind"))
+def number_first(key: str) -> tuple[int, int, str]:
+    """Sorts keys that are numbers by their value, before all others."""
+    return (0, int(key), key) if key.isdecimal() else (1, 0, key)
 
 
-def _right_echo(key: str, src: object, asked: dict[str, str | None]) -> bool:
-    """Neither another entry's text nor unlike this one's; no echo at all is let pass."""
-    echo, text = "" if src is None else str(src), asked[key] or ""
-    if echo == text or not echo.strip():
-        return True
-    a, b = normalize_src(text), normalize_src(echo)
-    if a == b:
-        return True
-    return all(normalize_src(t) != b for k, t in asked.items() if k != key) and difflib.SequenceMatcher(None, a, b).ratio() >= DRIFT
+def _as_text(value: object) -> str | None:
+    """Texts as they are, nothing for null, other values as JSON."""
+    if value is None or isinstance(value, str):
+        return None if value is None else _clean(value)
+    return _canonical(value) if isinstance(value, dict) else _clean(json.dumps(value, ensure_ascii=False, separators=(",", ":")))
 
 
-def validate(raw: str | None, asked: dict[str, str | None]) -> tuple[int, int, bool]:
-    """Number of entries and of translated asked entries, and whether the mended response holds: an object of just the
-    asked keys, each an object with a translation that isn't blank and the echo of its own text."""
-    value, _ = repair_json(raw)
+def _fault(value: object) -> str | None:
     if not isinstance(value, dict):
-        return 0, 0, False
-    told = [k for k in asked if isinstance(v := value.get(k), dict) and isinstance(v.get("tr"), str) and v["tr"].strip()]
-    return len(value), len(told), len(told) == len(asked) == len(value) and all(_right_echo(k, value[k].get("src"), asked) for k in told)
-
-
-def validated(results: DataFrame, *keep: str) -> DataFrame:
-    """The kept columns of each response with n_in, n_out, n_tr_ok and valid."""
-    found = [T.StructField("n_in", T.LongType(), False), T.StructField("n_out", T.LongType(), False), T.StructField("n_tr_ok", T.LongType(), False), T.StructField("valid", T.BooleanType(), False)]
-    schema = T.StructType([*(results.schema[c] for c in keep), *found])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return "no_object"
+    tr = value.get("tr")
+    if tr is None or (isinstance(tr, str) and not tr.strip()):
+        return "no_translation"
+    return None if isinstance(tr, str) else "no_text"
+
+
+def echo_verdict(key: str, src: str | None, asked: dict[str, str | None], owners: dict[str, list[str]]) -> tuple[str, str | None, float | None]:
+    """(kind, other key, likeness): missing, ok, misaligned (the text of another key, the first in order), drift or mismatch."""
+    if src is None or not src.strip():
+        return "missing", None, None
+    if src == asked[key]:
+        return "ok", None, 1.0
+    mine, echo = normalize_src(asked[key]), normalize_src(src)
+    if mine == echo:
+        return "ok", None, 1.0
+    if not owners:
+        for k, text in asked.items():
+            owners.setdefault(normalize_src(text), []).append(k)
+    if echo in owners:
+        return "misaligned", owners[echo][0], None
+    ratio = difflib.SequenceMatcher(None, mine, echo).ratio()
+    return ("drift" if ratio >= DRIFT else "mismatch"), None, round(ratio, 4)
+
+
+def check_response(raw: str | None, asked: dict[str, str | None]) -> tuple[str | None, list[str], list[dict]]:
+    """(what is wrong with the whole, notes of mending, entries in their order)."""
+    value, notes = mend(raw)
+    if not isinstance(value, dict):
+        return ("empty" if notes == ["empty"] else "unparsed" if value is None else "no_object"), notes, []
+    owners: dict[str, list[str]] = {}
+    found = []
+    for key, v in value.items():
+        src = _as_text(v.get("src")) if isinstance(v, dict) else None
+        kind, other, ratio = echo_verdict(key, src, asked, owners) if key in asked else ("extra", None, None)
+        found.append({"key": _clean(key), "src": src, "tr": _as_text(v.get("tr")) if isinstance(v, dict) else None, "fault": _fault(v), "echo": kind, "other": other, "ratio": ratio})
+    return None, notes, found
+
+
+def checked(results: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns of each response, with
+
+    whole (null, empty, unparsed or no_object), notes, n_in, n_out, n_tr_ok,
+    missing and extra keys in numeric order, entries (key, src, tr, fault, echo,
+    other, ratio), and ok: just the asked keys, each an object with a
+    translation that isn't blank, and no echo of another text. A null input_map
+    asks for nothing, a null raw_text is empty.
+    """
+    found = T._parse_datatype_string(f"whole string, notes string, n_in bigint, n_out bigint, n_tr_ok bigint, missing array<string>, extra array<string>, entries {_ENTRY_SQL}, ok boolean")
+    schema = T.StructType([*(results.schema[c] for c in keep), *found.fields])
+    texts = pa.list_(pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = [dict(m or ()) for m in batch.column(1).to_pylist()]
-            done = [validate(raw, m) for raw, m in zip(batch.column(0).to_pylist(), asked)]
-            counts = [pa.array(x, pa.int64()) for x in ([len(m) for m in asked], [d[0] for d in done], [d[1] for d in done])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *counts, pa.array([d[2] for d in done], pa.bool_())], names=schema.names)
-
-    return results.select("raw_text", "input_map", *keep).mapInArrow(check, schema)
+            rows = []
+            for raw, pairs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                asked = dict(pairs or ())
+                whole, notes, entries = check_response(raw, asked)
+                got = {e["key"] for e in entries}
+                missing, extra = sorted(set(asked) - got, key=number_first), sorted(got - set(asked), key=number_first)
+                good = [e for e in entries if e["echo"] != "extra" and e["fault"] is None]
+                ok = whole is None and not missing and not extra and len(good) == len(asked) and all(e["echo"] not in ("misaligned", "mismatch") for e in good)
+                rows.append((whole, ", ".join(notes), len(asked), len(entries), len(good), missing, extra, entries, ok))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), texts, texts, pa.list_(_ENTRY), pa.bool_())
+            made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *made], names=schema.names)
+
+    return results.select("raw_text", "input_map", *keep).mapInArrow(run, schema)
+
+
+def entries(checks: DataFrame, *keep: str) -> DataFrame:
+    """One row per entry of the checked responses."""
+    return checks.select(*keep, F.inline("entries"))
+
+
+def accepted() -> Column:
+    """An asked entry whose translation counts: an object with a text that isn't blank."""
+    return (F.col("echo") != "extra") & F.col("fault").isNull()
+
+
+def key_report(checks: DataFrame) -> DataFrame:
+    """Keys missing from and added to each response: the first SHOWN in numeric order, and how many more."""
+    show = lambda c: F.array_join(F.slice(c, 1, SHOWN), ",")
+    more = lambda c: F.greatest(F.size(c) - SHOWN, F.lit(0))
+    return checks.select("result_id", show("missing").alias("missing"), show("extra").alias("extra"), more("missing").alias("more_missing"), more("extra").alias("more_extra"))
+
+
+def summary(checks: DataFrame) -> DataFrame:
+    """One row per response: counts of what is wrong, of what is worth a warning, and whether it holds."""
+    good = lambda e: (e["echo"] != "extra") & e["fault"].isNull()
+    of_fault = lambda f: F.size(F.filter("entries", lambda e: (e["echo"] != "extra") & (e["fault"] == f)))
+    of_echo = lambda k: F.size(F.filter("entries", lambda e: good(e) & (e["echo"] == k)))
+    return checks.select(
+        "result_id", "whole", "n_in", "n_out", "n_tr_ok", F.size("missing").alias("n_missing"), F.size("extra").alias("n_extra"),
+        *[of_fault(f).alias(f"n_{f}") for f in ("no_object", "no_translation", "no_text")],
+        *[of_echo(k).alias(name) for k, name in (("misaligned", "n_misaligned"), ("mismatch", "n_mismatch"), ("drift", "n_drift"), ("missing", "n_no_echo"))],
+        "ok",
+    )
 
 
 def fine() -> Column:
-    """A call that was completed, is not incomplete and whose response is valid."""
-    return F.coalesce((F.col("status") == "completed") & (F.coalesce("incomplete_reason", F.lit("")) == "") & F.col("valid"), F.lit(False))
+    """A call that was completed, is not incomplete and whose response holds."""
+    return F.coalesce((F.col("status") == "completed") & (F.coalesce("incomplete_reason", F.lit("")) == "") & F.col("ok"), F.lit(False))
 
 
 def style(got: DataFrame) -> DataFrame:
@@ -214,34 +216,57 @@ def outcome(results: DataFrame) -> DataFrame:
     return results.select("result_id", F.when(refused, "provider_refusal").when(fine, "completed").otherwise("technical_failure").alias("outcome"))
 
 
+def retryable(name: Column, text: Column, code: Column | None = None) -> Column:
+    """Whether a failed call is worth another: by the name of its exception, words in its text or its status code."""
+    by_code = F.lit(False) if code is None else F.coalesce(code.isin(*RETRY_CODES), F.lit(False))
+    return F.coalesce(name.isin(*RETRY_NAMES), F.lit(False)) | F.coalesce(_any(F.lower(text), RETRY_NEEDLES), F.lit(False)) | by_code
+
+
+def errors(results: DataFrame) -> DataFrame:
+    """(result_id, name, text, code, retryable) of the calls that ended in an exception: status is 'error: Name: text'."""
+    told = F.regexp_extract("status", r"^error: *([A-Za-z]*):? *([\s\S]*)$", 1)
+    text = F.regexp_extract("status", r"^error: *([A-Za-z]*):? *([\s\S]*)$", 2)
+    code = F.expr("try_cast(regexp_extract(status, '\\\\b([45][0-9]{2})\\\\b', 1) AS int)")
+    rows = results.where(F.col("status").startswith("error")).select("result_id", told.alias("name"), text.alias("text"), code.alias("code"))
+    return rows.withColumn("retryable", retryable(F.col("name"), F.col("text"), F.col("code")))
+
+
 def retry(results: DataFrame) -> DataFrame:
     """Why a call is to be repeated, in the order error, status, incomplete, invalid, or null."""
-    results = validated(results, "result_id", "status", "incomplete_reason")
-    low = F.lower("status")
-    error = _any(F.col("status"), RETRY_NAMES) | _any(low, RETRY_NEEDLES)
-    reason = F.when(F.col("status").startswith("error") & error, "error").when(F.col("status") != "completed", "status").when(F.coalesce("incomplete_reason", F.lit("")) != "", "incomplete").when(~F.col("valid"), "invalid")
-    return results.select("result_id", reason.alias("reason"))
+    checks = checked(results, "result_id", "status", "incomplete_reason")
+    error = _any(F.col("status"), RETRY_NAMES) | _any(F.lower("status"), RETRY_NEEDLES)
+    reason = F.when(F.col("status").startswith("error") & error, "error").when(F.col("status") != "completed", "status").when(F.coalesce("incomplete_reason", F.lit("")) != "", "incomplete").when(~F.col("ok"), "invalid")
+    return checks.select("result_id", reason.alias("reason"))
 
 
 # Fixed value: a character that str.strip() keeps.
 VISIBLE = r"[^\s\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]"
 
 
-def told(tr: Column) -> Column:
-    """There is a translation that isn't blank."""
-    return F.coalesce(tr.rlike(VISIBLE), F.lit(False))
-
-
 def latest(results: DataFrame) -> DataFrame:
     """One row per result: the last made."""
     by = Window.partitionBy("result_id").orderBy(F.desc("created_at"))
     return results.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
 
 
-def merged(got: DataFrame, results: DataFrame) -> DataFrame:
-    """Entries of an episode over its batches and tries: the last try of the last batch wins."""
-    order = results.select("result_id", "episode_id", "batch_index", "attempt")
-    rows = got.where(told(F.col("tr"))).join(order, "result_id")
-    by = Window.partitionBy("episode_id", "key").orderBy(F.desc("batch_index"), F.desc("attempt"), F.desc("result_id"))
-    kept = rows.withColumn("__n", F.row_number().over(by)).withColumn("n_versions", F.count("*").over(Window.partitionBy("episode_id", "key")))
-    return kept.where("__n = 1").select("episode_id", "key", "tr", "result_id", "n_versions")
+def merged(results: DataFrame) -> DataFrame:
+    """Accepted entries of an episode over its batches and tries: the last try of the last batch wins."""
+    rows = entries(checked(results, "result_id", "episode_id", "batch_index", "attempt"), "result_id", "episode_id", "batch_index", "attempt").where(accepted())
+    rank = F.struct("batch_index", "attempt", "result_id", "tr")
+    best = rows.groupBy("episode_id", "key").agg(F.max(rank).alias("b"), F.count("*").alias("n_versions"))
+    return best.select("episode_id", "key", "b.tr", "b.result_id", "n_versions")
+
+
+def choose_batches(reports: DataFrame, chosen: list[int] | None = None, missing: DataFrame | None = None, size: int = 50) -> DataFrame:
+    """(episode_id, batch_index) to repeat: those named; else those not ok; else those that lack keys.
+
+    ``reports`` has episode_id, batch_index and ok; ``missing`` has episode_id
+    and key, whose batch is the key over ``size``.
+    """
+    if chosen is not None:
+        return reports.where(F.col("batch_index").isin(chosen)).select("episode_id", "batch_index").distinct()
+    failed = reports.where(~F.coalesce("ok", F.lit(False))).select("episode_id", "batch_index").distinct()
+    if missing is None:
+        return failed
+    lacking = missing.select("episode_id", F.expr(f"try_cast(key AS int) div {int(size)}").cast("int").alias("batch_index")).where("batch_index IS NOT NULL").distinct()
+    return failed.unionByName(lacking.join(failed.select("episode_id").distinct(), "episode_id", "left_anti"))

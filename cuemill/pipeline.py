@@ -36,7 +36,7 @@ def translate(cues: DataFrame, target: str, provider: Callable[[dict[str, str],
     result should be written before use: a provider is not deterministic.
     """
     rows = cue_op.batches(cues.where(F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))), size)
-    asked = rows.groupBy("episode_id", "batch").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("id").cast("string").alias("id"), "text")))).alias("input_map"))
+    asked = rows.groupBy("episode_id", "batch").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda c: F.struct(c["id"].cast("string"), c["text"]))).alias("input_map"))
     if done is not None:
         asked = asked.join(done.select("episode_id", "batch").distinct(), ["episode_id", "batch"], "left_anti")
 
@@ -50,6 +50,5 @@ def translate(cues: DataFrame, target: str, provider: Callable[[dict[str, str],
 
 def answers(called: DataFrame) -> DataFrame:
     """(episode_id, id, tr) of the calls' responses, mended where that is possible."""
-    numbered = called.withColumn("result_id", F.xxhash64("episode_id", "batch"))
-    got = responses.entries(responses.repaired(numbered)).where(responses.told(F.col("tr")))
-    return got.join(numbered.select("result_id", "episode_id"), "result_id").select("episode_id", F.expr("try_cast(key AS int)").alias("id"), "tr")
+    got = responses.entries(responses.checked(called, "episode_id"), "episode_id").where(responses.accepted())
+    return got.select("episode_id", F.expr("try_cast(key AS int)").alias("id"), "tr")

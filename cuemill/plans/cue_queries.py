@@ -198,8 +198,8 @@ SQL = {
     "cue_reindex": f"{_C} SELECT episode_id, CAST(row_number() OVER {_W} - 1 AS INTEGER) AS id, seq, text FROM c",
     "cue_slice": f"{_C}, r AS (SELECT *, row_number() OVER {_W} - 1 AS pos FROM c) SELECT episode_id, CAST(pos - 5 AS INTEGER) AS id, seq, text FROM r WHERE pos >= 5 AND pos < 25",
     "cue_times": f"""{_C} SELECT episode_id, id, start_ms, end_ms,
-  CASE WHEN start_ms IS NOT NULL THEN printf('%02d:%02d:%02d,%03d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms % 1000) ELSE 'null:null:null,null' END AS start_text,
-  CASE WHEN end_ms IS NOT NULL THEN printf('%02d:%02d:%02d,%03d', end_ms // 3600000, end_ms // 60000 % 60, end_ms // 1000 % 60, end_ms % 1000) ELSE 'null:null:null,null' END AS end_text FROM c""",
+  CASE WHEN start_ms IS NOT NULL THEN printf('%02d:%02d:%02d,%03d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms % 1000) END AS start_text,
+  CASE WHEN end_ms IS NOT NULL THEN printf('%02d:%02d:%02d,%03d', end_ms // 3600000, end_ms // 60000 % 60, end_ms // 1000 % 60, end_ms % 1000) END AS end_text FROM c""",
     "batch_plan": f"""{_C}, r AS (SELECT *, row_number() OVER {_W} - 1 AS pos, count(*) OVER (PARTITION BY episode_id) AS n FROM c),
 b AS (SELECT *, CAST(CASE WHEN n <= 50 THEN 0 ELSE pos // 50 END AS INTEGER) AS batch FROM r)
 SELECT episode_id, batch, count(*) AS n, min(id) AS id_from, max(id) AS id_to FROM b GROUP BY episode_id, batch""",

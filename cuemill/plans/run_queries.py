@@ -9,7 +9,7 @@ from cuemill.operators import cues as cue_op
 from cuemill.operators import responses
 from cuemill.operators import runs as op
 from cuemill.plans.cue_queries import _C, _W
-from cuemill.plans.response_queries import _M, _entries, _results
+from cuemill.plans.response_queries import _M, _results
 from cuemill.session import read
 
 
@@ -36,8 +36,8 @@ def window_match(spark, d):
 
 def upsert_repair(spark, d):
     """First tries overlaid with what later tries brought."""
-    r = _results(spark, d).select("result_id", "episode_id", "attempt")
-    rows = _entries(spark, d).where(responses.told(F.col("tr"))).join(r, "result_id")
+    keep = ("result_id", "episode_id", "attempt")
+    rows = responses.entries(responses.checked(_results(spark, d), *keep), *keep).where(responses.accepted())
     by = Window.partitionBy("episode_id", "key").orderBy(F.desc("attempt"), F.desc("result_id"))
     best = lambda part: part.withColumn("n", F.row_number().over(by)).where("n = 1").select("episode_id", "key", "tr")
     return op.overlay(best(rows.where("attempt = 1")), best(rows.where("attempt > 1")), ["episode_id", "key"])
@@ -45,7 +45,7 @@ def upsert_repair(spark, d):
 
 def anon_inputs(spark, d):
     """Source, translation and context of each translated cue, without a trace of who made it."""
-    tr = responses.merged(_entries(spark, d), _results(spark, d)).select("episode_id", F.expr("try_cast(key AS int)").alias("id"), F.col("tr").alias("target_text"))
+    tr = responses.merged(_results(spark, d)).select("episode_id", F.expr("try_cast(key AS int)").alias("id"), F.col("tr").alias("target_text"))
     cues = _cues(spark, d)
     rows = cues.select("episode_id", "id", F.col("text").alias("source_text")).join(cue_op.context(cues, 2), ["episode_id", "id"]).join(tr, ["episode_id", "id"])
     return op.blinded(rows, "20260811")
@@ -65,7 +65,6 @@ def word_align(spark, d):
 
 QUERIES = {f.__name__: f for f in (frozen_inputs, cue_count_drift, window_match, upsert_repair, anon_inputs, word_packs, word_align)}
 
-_TOLD = f"regexp_matches(tr, '{responses.VISIBLE}')"
 SQL = {
     "frozen_inputs": f"{_C} SELECT episode_id, sha256(string_agg(CAST(id AS VARCHAR) || chr(9) || CAST(coalesce(start_ms, -1) AS VARCHAR) || chr(9) || coalesce(text, ''), chr(10) ORDER BY id)) AS sha256, count(*) AS n_cues FROM c GROUP BY episode_id",
     "cue_count_drift": """WITH a AS (SELECT episode_id, max(cue_count) AS recorded FROM episodes GROUP BY episode_id), b AS (SELECT episode_id, count(DISTINCT id) AS found FROM cues GROUP BY episode_id)
@@ -73,15 +72,15 @@ SELECT coalesce(a.episode_id, b.episode_id) AS episode_id, recorded, found FROM
     "window_match": f"""{_C}, s AS (SELECT episode_id, row_number() OVER {_W} - 1 AS pos, coalesce(text, '') AS text FROM c), w AS (SELECT episode_id, pos - 3 AS k, text FROM s WHERE pos BETWEEN 3 AND 6),
 n AS (SELECT episode_id, count(*) AS n FROM w GROUP BY episode_id), p AS (SELECT s.episode_id, s.pos - w.k AS start, count(*) AS hits FROM s JOIN w ON s.episode_id = w.episode_id AND s.text = w.text GROUP BY ALL)
 SELECT p.episode_id, count(*) AS n_starts, CAST(min(start) AS INTEGER) AS first_start FROM p JOIN n ON p.episode_id = n.episode_id AND hits = n GROUP BY p.episode_id""",
-    "upsert_repair": f"""{_M}, x AS (SELECT r.episode_id, e.key, e.tr, r.attempt, r.result_id FROM e JOIN r USING (result_id) WHERE {_TOLD}),
-first_try AS (SELECT episode_id, key, tr FROM x WHERE attempt = 1 QUALIFY row_number() OVER (PARTITION BY episode_id, key ORDER BY attempt DESC, result_id DESC) = 1),
-later_try AS (SELECT episode_id, key, tr FROM x WHERE attempt > 1 QUALIFY row_number() OVER (PARTITION BY episode_id, key ORDER BY attempt DESC, result_id DESC) = 1)
+    "upsert_repair": f"""{_M}, xx AS (SELECT r.episode_id, t.key, t.tr, r.attempt, r.result_id FROM t JOIN r USING (result_id) WHERE fault IS NULL),
+first_try AS (SELECT episode_id, key, tr FROM xx WHERE attempt = 1 QUALIFY row_number() OVER (PARTITION BY episode_id, key ORDER BY attempt DESC, result_id DESC) = 1),
+later_try AS (SELECT episode_id, key, tr FROM xx WHERE attempt > 1 QUALIFY row_number() OVER (PARTITION BY episode_id, key ORDER BY attempt DESC, result_id DESC) = 1)
 SELECT * FROM later_try UNION ALL SELECT f.* FROM first_try f WHERE NOT EXISTS (SELECT 1 FROM later_try l WHERE f.episode_id = l.episode_id AND f.key = l.key)""",
-    "anon_inputs": f"""{_M}, c AS (SELECT DISTINCT episode_id, id, text FROM cues), t AS (SELECT episode_id, id, text AS source_text,
+    "anon_inputs": f"""{_M}, c AS (SELECT DISTINCT episode_id, id, text FROM cues), tt AS (SELECT episode_id, id, text AS source_text,
   coalesce(string_agg(coalesce(text, ''), '|') OVER (PARTITION BY episode_id ORDER BY id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS before,
   coalesce(string_agg(coalesce(text, ''), '|') OVER (PARTITION BY episode_id ORDER BY id ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS after FROM c)
-SELECT 'anon-' || substr(sha256('20260811:' || t.episode_id || ':' || CAST(t.id AS VARCHAR)), 1, 16) AS anonymous_id, source_text, before, after, m.tr AS target_text
-FROM t JOIN m ON t.episode_id = m.episode_id AND t.id = try_cast(m.key AS INTEGER)""",
+SELECT 'anon-' || substr(sha256('20260811:' || tt.episode_id || ':' || CAST(tt.id AS VARCHAR)), 1, 16) AS anonymous_id, source_text, before, after, m.tr AS target_text
+FROM tt JOIN m ON tt.episode_id = m.episode_id AND tt.id = try_cast(m.key AS INTEGER)""",
     "word_packs": """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, w, CAST(unnest(range(CAST(ceil(len(w) / 18) AS BIGINT))) AS INTEGER) AS pack FROM w) SELECT doc_id, pack, array_to_string(w[pack * 18 + 1 : pack * 18 + 18], ' ') AS words FROM s""",
 }

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cuemill.functions.text import trimmed
 from cuemill.functions.timecode import format_ms, strict_ms
 
 _TOLERANT = r"^\s*(\d{2}:\d{2}:\d{2}[,.]\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}[,.]\d{3})"
@@ -76,3 +77,13 @@ def to_srt(cues: DataFrame, entity: str = "episode_id", order: str = "id") -> Da
     block = F.concat(n.cast("string"), F.lit("\n"), format_ms(F.col("start_ms")), F.lit(" --> "), format_ms(F.col("end_ms")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
     rows = cues.where("start_ms IS NOT NULL AND end_ms IS NOT NULL").select(entity, F.col(order).alias("o"), block.alias("b"))
     return rows.groupBy(entity).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "b"))), lambda x: x["b"]), "\n").alias("srt"))
+
+
+def bilingual(cues: DataFrame, entity: str = "episode_id", order: str = "id") -> DataFrame:
+    """(entity, srt): cues numbered from 1, the stripped translation (column tr, empty if null) above the text.
+
+    A text that is empty adds no line. One row holds an episode's whole file,
+    as the file does.
+    """
+    tr, text = trimmed(F.coalesce("tr", F.lit(""))), F.coalesce("text", F.lit(""))
+    return to_srt(cues.withColumn("text", F.when(text == "", tr).otherwise(F.concat(tr, F.lit("\n"), text))), entity, order)

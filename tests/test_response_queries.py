@@ -52,6 +52,7 @@ def test_broken_responses_are_mended(run):
     assert len(run("anon_inputs", BROKEN, cues)) == len(told)
     srt = {r.episode_id: r.srt for r in run("bilingual_srt", BROKEN, cues)}
     assert all(f"t{k}\n{ASKED[k]}" in srt[e] for e, k in told)
+    assert {r.episode_id for r in run("bilingual_srt", BROKEN, cues) if r.whole} == {"e1", "e2", "e3"}
 
 
 def test_checks_count_every_response(run):
@@ -94,3 +95,22 @@ def test_srt_has_every_cue(run):
     at = lambda n: f"{n}\n00:00:0{n - 1},000 --> 00:00:0{n - 1},900\n"
     blocks = lambda *tr: "\n".join(f"{at(n)}{t}" + (f"\n{s}" if s else "") + "\n" for n, (t, s) in enumerate(zip(tr, ("Hello there", "Good night", "", "So long")), 1))
     assert got == {"e1": blocks("", "b", "", ""), "e2": blocks("", "", "", "")}
+
+
+def test_drift_and_errors(run):
+    drifted = WHOLE.replace("Hello there", "Hello thera")
+    strange = WHOLE.replace("Hello there", "Quite another thing")
+    assert [(r.key, r.kind) for r in run("src_drift", [result(1, drifted), result(2, strange)])] == [("0", "drift"), ("0", "mismatch")]
+    failed = [result(n, "", status=s) for n, s in enumerate(("error: RateLimitError: slow down", "error: BadRequestError: blocked", "error: ApiError: status 503", "error: X: code 409", "completed"))]
+    assert {r.result_id: (r.name, r.retryable) for r in run("call_errors", failed)} == {0: ("RateLimitError", True), 1: ("BadRequestError", False), 2: ("ApiError", True), 3: ("X", True)}
+
+
+def test_batches_to_repeat(spark):
+    from cuemill.operators.responses import choose_batches
+
+    reports = spark.createDataFrame([("a", 0, True), ("a", 1, False), ("b", 0, True), ("b", 3, None)], "episode_id string, batch_index int, ok boolean")
+    missing = spark.createDataFrame([("a", "7"), ("c", "120"), ("c", "x")], "episode_id string, key string")
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    assert rows(choose_batches(reports, chosen=[0])) == {("a", 0), ("b", 0)}
+    assert rows(choose_batches(reports)) == {("a", 1), ("b", 3)}
+    assert rows(choose_batches(reports, missing=missing)) == {("a", 1), ("b", 3), ("c", 2)}

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from cuemill.functions import text as fx
 from cuemill.operators import cues as cue_op
 from cuemill.operators import responses, runs, tqa, wrap
+from cuemill.operators.mending import mend
 
 
 def values(spark, texts, column):
@@ -74,23 +75,25 @@ def test_split_keeps_text(spark):
     assert wrap.wrap_and_split(cues.limit(0)).count() == 0
 
 
-def test_json_repair():
-    fix = responses.repair_json
-    assert fix('```json\n{"0": {"src": "a", "tr": "b"}}\n```') == ({"0": {"src": "a", "tr": "b"}}, [])
-    assert fix('{201": {"src": "a", "tr": "b"}}')[0] == {"201": {"src": "a", "tr": "b"}}
-    assert fix('{"0": {"src": "a", "tr": "b"}')[1] == ["closed braces"]
-    assert fix('{"0": {"src": "a", "tr": "b"}, "1": {"src": "c", "tr')[0] == {"0": {"src": "a", "tr": "b"}}
-    assert fix("")[1] == ["empty"] and fix("nonsense")[0] is None
-
-
-def test_alignment(spark):
-    want = spark.createDataFrame([(1, 0, "0", "Hello there"), (1, 1, "1", "Marcel ?"), (1, 2, "2", "at dawn we rise")], "result_id bigint, pos int, key string, text string")
-    got = spark.createDataFrame([(1, "0", "Marcel?", "x"), (1, "1", "marcel", "y"), (1, "2", "at down we rise", "z"), (1, "9", None, "w")], "result_id bigint, key string, src string, tr string")
-    rows = responses.alignment(want, got)
-    assert {r.key: (r.kind, r.other_key) for r in rows.collect()} == {"0": ("misaligned", "1"), "1": ("ok", None), "2": ("other", None)}
-    assert [(r.key, r.kind) for r in responses.drift(rows).collect()] == [("2", "drift")]
-    keys = responses.key_check(want, got).first()
-    assert (keys.missing, keys.extra) == ("", "9")
+def test_mending():
+    assert mend('```json\n{"0": {"src": "a", "tr": "b"}}\n```') == ({"0": {"src": "a", "tr": "b"}}, [])
+    assert mend('{201": {"src": "a", "tr": "b"}}') == ({"201": {"src": "a", "tr": "b"}}, ["quoted keys"])
+    assert mend('{"0": {"src": "a", "tr": "b"}') == ({"0": {"src": "a", "tr": "b"}}, ["closed braces"])
+    assert mend('{"0": {"src": "a }", "tr": "b\\"}"}, "1": {"src": "c", "tr')[0] == {"0": {"src": "a }", "tr": 'b"}'}}
+    assert mend('{"0":{"src":"a","tr":"b') == ({"0": {"src": "a"}}, ["dropped the last entry"])
+    assert mend('{"0": "a", "1": "b') == (None, ["unrecoverable"])
+    assert mend("") == mend(None) == (None, ["empty"]) and mend("nonsense").value is None and mend("{").value == {}
+    assert mend("[" * 5000).value is None
+
+
+def test_echoes():
+    asked = {"0": "Hello there", "1": "Marcel ?", "2": "at dawn we rise", "3": "Straße", "4": "at dawn we rise", "5": None}
+    verdict = lambda key, src: responses.echo_verdict(key, src, asked, {})[:2]
+    assert verdict("0", "Ｈｅｌｌｏ　ｔｈｅｒｅ") == ("ok", None) and verdict("3", "STRASSE") == ("ok", None)
+    assert verdict("0", "Ｍａｒｃｅｌ？") == ("misaligned", "1") and verdict("1", "marcel") == ("ok", None)
+    assert verdict("4", "At dawn, we rise!") == ("ok", None) and verdict("0", "at dawn we rise") == ("misaligned", "2")
+    assert verdict("2", "at down we rise") == ("drift", None) and verdict("2", "nothing like it") == ("mismatch", None)
+    assert verdict("0", None) == verdict("0", " ") == ("missing", None)
 
 
 def test_scores(spark):
