@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,9 +60,19 @@ def best(s: dict[str, Column]) -> Column:
     return out
 
 
+def bound(values: dict[str, Column], use: Callable[[dict[str, Column]], Column]) -> Column:
+    """use(values) with every value computed once, also within lambdas, which share no subexpressions."""
+    one = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return F.transform(one, lambda s: use({k: s[k] for k in values}))[0]
+
+
+_PLAIN = r"^[\x00-\x7f]{0,999}\z"
+
+
 def language(text: Column) -> Column:
-    """Language of a line; blank lines count as English."""
-    return F.when(trimmed(text) == "", "en").otherwise(best(scores(counts(text))))
+    """Language of a line; blank lines count as English, and so do short ASCII lines with a letter."""
+    general = bound(counts(text), lambda n: bound(scores(n), best))
+    return F.when(text.rlike(_PLAIN) & text.rlike("[a-zA-Z]"), "en").when(trimmed(text) == "", "en").otherwise(general)
 
 
 def lookup(code: Column, values: dict, default: object) -> Column:
@@ -84,26 +96,33 @@ def dialogue(text: Column) -> Column:
 
 _MARKED = r"[♪🎵🎶\[(（【《［〔〈「]"
 _DASHES = r"(?m)^\s*-\s*$"
+_WHOLE = "|".join(SDH_WHOLE)
+_MUSIC = r"♪+|🎵+|🎶+"
+_ASIDE = r"\[.*?\]|\(.*?\)|【.*?】|《.*?》"
+
+
+def suspect(text: Column) -> Column:
+    """Holds a sign of a sound description, or a line of nothing but a dash; one look spares the others all patterns."""
+    return text.rlike(_MARKED + "|" + _DASHES)
 
 
 def sdh_only(text: Column) -> Column:
     """Nothing but sound descriptions and music signs."""
     whole = trimmed(text)
-    hit = F.lit(False)
-    for pattern in SDH_WHOLE:
-        hit = hit | whole.rlike(pattern)
-    bare = lambda x: trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "♪+|🎵+|🎶+", ""), r"\[.*?\]|\(.*?\)|【.*?】|《.*?》", ""), r"^-\s*", ""))
-    return (text.rlike(_MARKED) | text.rlike(_DASHES)) & (whole != "") & (hit | F.forall(lines(text), lambda x: bare(x) == ""))
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, _MUSIC, ""), _ASIDE, "")
+    nothing = F.forall(lines(text), lambda x: bare(x).rlike(r"^\s*(?:-\s*)?\z"))
+    return F.when(suspect(text), (whole != "") & (whole.rlike(_WHOLE) | nothing)).when(text.isNotNull(), False)
 
 
 def sdh_strip(line: Column) -> Column:
+    """A line without its sound descriptions, blanks levelled, a dash and a space before speech."""
     out = line
-    for pattern in SDH_INLINE:
+    for pattern in SDH_INLINE:  # one after the other: brackets of one kind may hold half of another
         out = F.regexp_replace(out, pattern, "")
-    out = F.regexp_replace(F.when(line.rlike(_MARKED), out).otherwise(line), r"\s+", " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"^-\s*", "- "), r"^-\s*-\s*", "- ")
-    out = trimmed(out)
-    return F.when(out == "-", "").otherwise(out)
+    out = F.when(line.rlike(_MARKED), out).otherwise(line)
+    out = F.regexp_replace(out, r"\s+", " ")
+    out = F.when(out.startswith("-") | out.startswith(" "), F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(out, r"^-\s*", "- "), r"^-\s*-\s*", "- ")), r"^-\z", "")).otherwise(F.rtrim(out))
+    return out
 
 
 def _wide_edge(ch: Column) -> Column:

@@ -22,8 +22,13 @@ MIN_OVERLAP_MS = 50
 
 
 def distinct_cues(raw: DataFrame) -> DataFrame:
-    """One row per cue; repeated rows of a cue differ in nothing but their arrival."""
-    return raw.select("episode_id", "id", "seq", lenient_ms(F.col("start_tc")).alias("start_ms"), lenient_ms(F.col("end_tc")).alias("end_ms"), "text").distinct()
+    """One row per cue; repeated rows of a cue differ in nothing but their arrival.
+
+    The rows are brought together by episode, which also serves the windows
+    that follow: one shuffle for both.
+    """
+    cues = raw.select("episode_id", "id", "seq", lenient_ms(F.col("start_tc")).alias("start_ms"), lenient_ms(F.col("end_tc")).alias("end_ms"), "text")
+    return cues.repartition("episode_id").distinct()
 
 
 def reindex(cues: DataFrame) -> DataFrame:
@@ -61,7 +66,7 @@ def overlap_stats(cues: DataFrame, least_ms: int = MIN_OVERLAP_MS) -> DataFrame:
     return counted.withColumn("overlap_ratio", F.round(F.when(F.col("pair_count") > 0, F.col("overlap_count") / F.col("pair_count")).otherwise(0.0), 6))
 
 
-def clip_overlaps(cues: DataFrame, mode: str = "auto") -> DataFrame:
+def clip_overlaps(cues: DataFrame, mode: str = "auto", renumber: bool = True) -> DataFrame:
     """end := min(end, next start); then cues without text go and ids run from 0.
 
     mode on clips always, off never, auto in the episodes that have an overlap.
@@ -71,8 +76,8 @@ def clip_overlaps(cues: DataFrame, mode: str = "auto") -> DataFrame:
     gate = {"on": F.lit(True), "off": F.lit(False), "auto": over}[mode]
     clipped = cues.withColumn("__next", nxt).withColumn("__gate", gate)
     clipped = clipped.withColumn("end_ms", F.when(F.col("__gate") & (F.col("__next") < F.col("end_ms")), F.col("__next")).otherwise(F.col("end_ms")))
-    kept = clipped.where(~F.col("__gate") | F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)))
-    return reindex(kept.drop("__next", "__gate"))
+    kept = clipped.where(~F.col("__gate") | F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))).drop("__next", "__gate")
+    return reindex(kept) if renumber else kept
 
 
 def quality(cues: DataFrame, tr: str = "text") -> DataFrame:
@@ -138,16 +143,18 @@ def document_language(cues: DataFrame) -> DataFrame:
     return summed.select("episode_id", *[F.round(v, 6).alias(f"score_{k}") for k, v in s.items()], F.when(F.col("total") == 0, "en").otherwise(fx.best(s)).alias("language"))
 
 
-def clean_sdh(cues: DataFrame) -> DataFrame:
+def clean_sdh(cues: DataFrame, renumber: bool = True) -> DataFrame:
     """Drops cues of sound descriptions, strips them elsewhere, drops what is left empty, re-indexes."""
     kept = cues.where(F.coalesce(~fx.sdh_only(F.col("text")), F.lit(False)))
-    parts = F.filter(F.transform(fx.lines(F.col("text")), fx.sdh_strip), lambda x: x != "")
-    return reindex(kept.withColumn("__l", parts).where(F.size("__l") > 0).withColumn("text", F.array_join("__l", "\n")).drop("__l"))
+    parts = F.filter(F.transform(F.split("text", "\n"), lambda x: fx.sdh_strip(fx.trimmed(x))), lambda x: x != "")
+    out = kept.withColumn("text", F.array_join(parts, "\n")).where("text <> ''")
+    return reindex(out) if renumber else out
 
 
-def clean_disfluency(cues: DataFrame) -> DataFrame:
+def clean_disfluency(cues: DataFrame, renumber: bool = True) -> DataFrame:
     parts = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), fx.fluent), lambda x: x != "")
-    return reindex(cues.withColumn("__l", parts).where(F.size("__l") > 0).withColumn("text", F.array_join("__l", "\n")).drop("__l"))
+    out = cues.withColumn("text", F.array_join(parts, "\n")).where("text <> ''")
+    return reindex(out) if renumber else out
 
 
 def fragment(text: Column) -> Column:
@@ -161,8 +168,8 @@ def merge_fragments(pieces: DataFrame) -> DataFrame:
     head = (~(F.col("is_split") & fragment(F.col("text")))) | (F.row_number().over(order()) == 1)
     runs = pieces.withColumn("run", F.sum(head.cast("int")).over(order()))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"])
-    merged = runs.groupBy("episode_id", "run").agg(F.min("id").alias("first_id"), F.min_by("start_ms", "id").alias("start_ms"), F.max_by("end_ms", "id").alias("end_ms"), fx.flatten(F.filter(parts, lambda x: x != "")).alias("text"), F.count("*").alias("n"))
-    return merged.select("episode_id", (F.col("run") - 1).cast("int").alias("id"), "first_id", "start_ms", "end_ms", "text", "n")
+    merged = runs.groupBy("episode_id", "run").agg(F.min("id").alias("first_id"), F.min_by("is_split", "id").alias("is_split"), F.min_by("start_ms", "id").alias("start_ms"), F.max_by("end_ms", "id").alias("end_ms"), fx.flatten(F.filter(parts, lambda x: x != "")).alias("text"), F.count("*").alias("n"))
+    return merged.select("episode_id", (F.col("run") - 1).cast("int").alias("id"), "first_id", "is_split", "start_ms", "end_ms", "text", "n")
 
 
 def context(cues: DataFrame, width: int = 5) -> DataFrame:

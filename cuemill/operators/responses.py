@@ -179,6 +179,21 @@ def summary(checks: DataFrame) -> DataFrame:
     )
 
 
+def messages() -> Column:
+    """What is wrong with a checked response, as texts: the call, the whole, keys, then entries in their order."""
+    def keys(name: str, column: str) -> Column:
+        more = F.when(F.size(column) > SHOWN, F.concat(F.lit(" ...(+"), (F.size(column) - SHOWN).cast("string"), F.lit(")"))).otherwise("")
+        return F.when(F.size(column) > 0, F.concat(F.lit(f"{name} keys: "), F.array_join(F.slice(column, 1, SHOWN), ", "), more))
+
+    def entry(e: Column) -> Column:
+        bad_echo = F.when(e["echo"] == "misaligned", F.concat(F.lit("echoes "), e["other"])).when(e["echo"] == "mismatch", "echoes another text")
+        return F.concat(F.lit("id "), e["key"], F.lit(": "), F.coalesce(e["fault"], bad_echo))
+
+    call = [F.when(F.col("status") != "completed", F.concat(F.lit("status "), "status")), F.when(F.coalesce("incomplete_reason", F.lit("")) != "", F.concat(F.lit("incomplete "), "incomplete_reason"))]
+    of_entries = F.transform(F.filter("entries", lambda e: e["echo"] != "extra"), entry)
+    return F.array_compact(F.concat(F.array(*call, "whole", keys("missing", "missing"), keys("extra", "extra")), of_entries))
+
+
 def fine() -> Column:
     """A call that was completed, is not incomplete and whose response holds."""
     return F.coalesce((F.col("status") == "completed") & (F.coalesce("incomplete_reason", F.lit("")) == "") & F.col("ok"), F.lit(False))

@@ -31,6 +31,24 @@ def find_window(source: DataFrame, wanted: DataFrame) -> DataFrame:
     return full.groupBy("episode_id").agg(F.count("*").alias("n_starts"), F.min("start").alias("first_start"))
 
 
+def positions_equal(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(episode_id, n, differing): position by position, whether the wanted texts are those of the selected source.
+
+    A repair must stop where differing isn't 0; positions that only one side has differ.
+    """
+    a = source.select("episode_id", "pos", F.struct("text").alias("a"))
+    b = wanted.select("episode_id", "pos", F.struct("text").alias("b"))
+    both = a.join(b, ["episode_id", "pos"], "full")
+    return both.groupBy("episode_id").agg(F.count("*").alias("n"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differing"))
+
+
+def drifted(frozen_then: DataFrame, frozen_now: DataFrame, key: str = "episode_id") -> DataFrame:
+    """(key, now): inputs whose hash is another than in the manifest, or that are gone (now is null)."""
+    then = frozen_then.select(key, F.col("sha256").alias("was")).distinct()
+    both = then.join(frozen_now.select(key, F.col("sha256").alias("now")), key, "left")
+    return both.where(~F.col("was").eqNullSafe(F.col("now"))).select(key, "now")
+
+
 def overlay(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The new rows, and the old ones whose key is not among them."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
@@ -86,3 +104,21 @@ def align_words(table: DataFrame, key: str) -> DataFrame:
 
     kind = table.schema[key].dataType.simpleString()
     return table.select(key, "sentences", "words").mapInArrow(run, f"`{key}` {kind}, n int, sentence string, start_s double, end_s double")
+
+
+def cues_from_words(words: DataFrame, size: int = PACK) -> DataFrame:
+    """(episode_id, id, is_split, start_ms, end_ms, text): cues of ``size`` words each, timed by their words.
+
+    ``words`` has episode_id, pos, text, start_s and end_s; blank words fill no
+    place. Each pack is timed by the greedy alignment of align_words, which by
+    its rule mostly takes one word a pack; episodes with more packs than words
+    come out with none.
+    """
+    spoken = words.where(F.coalesce(F.trim("text"), F.lit("")) != "")
+    place = F.floor((F.row_number().over(Window.partitionBy("episode_id").orderBy("pos")) - 1) / size)
+    packs = spoken.withColumn("pack", place).groupBy("episode_id", "pack").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim("text").alias("t")))), lambda x: x["t"]), " ").alias("sentence"))
+    sentences = packs.groupBy("episode_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pack", "sentence"))), lambda x: x["sentence"]).alias("sentences"))
+    timed = words.groupBy("episode_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text", "start_s", "end_s"))), lambda w: F.struct(w["text"].alias("text"), w["start_s"].alias("start_s"), w["end_s"].alias("end_s"))).alias("words"))
+    out = align_words(sentences.join(timed, "episode_id"), "episode_id")
+    ms = lambda c: F.round(F.col(c) * 1000).cast("bigint")
+    return out.where("start_s IS NOT NULL").select("episode_id", F.col("n").alias("id"), F.lit(True).alias("is_split"), ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms"), F.col("sentence").alias("text"))

@@ -208,15 +208,21 @@ def split_pieces(lines: list[str], codes: list[str], code: str, wrap_limit: int,
 _OUT = "episode_id string, id int, pos int, is_split boolean, start_ms bigint, end_ms bigint, text string"
 
 
-def wrap_and_split(cues: DataFrame, mode: str = "stage_a", split: bool = True) -> DataFrame:
+def wrap_and_split(cues: DataFrame, mode: str = "stage_a", split: bool = True, gate: str = "on") -> DataFrame:
     """Wraps every cue and splits the overlong ones; (episode_id, id, is_split, start_ms, end_ms, text).
 
     In mode stage_a every cue counts as English with a limit of 42 and no marks
     are added; in mode full the episode's language sets the limit and the cue's
     own language the rules. Cues without readable times are wrapped, not split.
+    With gate auto, episodes without a line or cue too long stay as they are.
     """
-    line_codes = F.transform(fx.lines(F.col("text")), fx.language)
-    base = cues.withColumns({"__lines": fx.lines(F.col("text")), "__codes": line_codes})
+    base = cues.withColumn("__lines", fx.lines(F.col("text")))
+    base = base.withColumn("__codes", F.transform("__lines", fx.language))
+    if gate == "auto":
+        long = (F.size("__lines") > fx.MAX_LINES) | F.exists("__lines", lambda x: F.length(x) > fx.DEFAULT_LIMIT)
+        base = base.withColumn("__gate", F.max(long).over(Window.partitionBy("episode_id")))
+    else:
+        base = base.withColumn("__gate", F.lit(True))
     if mode == "full":
         n = fx.counts(F.coalesce("text", F.lit("")))
         whole = Window.partitionBy("episode_id")
@@ -228,19 +234,18 @@ def wrap_and_split(cues: DataFrame, mode: str = "stage_a", split: bool = True) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for ep, id_, start, end, lines, codes, own, doc in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [(ep, id_, *r) for r in _one(lines, codes, own, doc, start, end, mode == "full", split)]
+            for ep, id_, start, end, lines, codes, own, doc, gated, text in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(ep, id_, *r) for r in (_one(lines, codes, own, doc, start, end, mode == "full", split) if gated else [(0, False, start, end, text)])]
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.string())
             names = ("episode_id", "id", "pos", "is_split", "start_ms", "end_ms", "text")
             yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
-    made = base.select("episode_id", "id", "start_ms", "end_ms", "__lines", "__codes", "__own", "__doc").mapInArrow(run, _OUT)
+    made = base.select("episode_id", "id", "start_ms", "end_ms", "__lines", "__codes", "__own", "__doc", "__gate", F.when(~F.col("__gate"), F.col("text")).alias("__text")).mapInArrow(run, _OUT)
     order = Window.partitionBy("episode_id").orderBy("id", "pos")
     pieces = made.withColumn("id", (F.row_number().over(order) - 1).cast("int")).select("episode_id", "id", "is_split", "start_ms", "end_ms", "text")
     if not split:
         return pieces
-    merged = merge_fragments(pieces)
-    return merged.join(pieces.select("episode_id", F.col("id").alias("first_id"), "is_split"), ["episode_id", "first_id"]).select("episode_id", "id", "is_split", "start_ms", "end_ms", "text")
+    return merge_fragments(pieces).select("episode_id", "id", "is_split", "start_ms", "end_ms", "text")
 
 
 def _one(lines: list[str], codes: list[str], own: str, doc: str, start: int | None, end: int | None, marks: bool, split: bool) -> list[tuple]:

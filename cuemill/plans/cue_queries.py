@@ -97,7 +97,7 @@ def fragment_flags(spark, d):
 def fragment_merge(spark, d):
     """Every third cue taken as a piece of a split."""
     pieces = op.reindex(_cues(spark, d)).withColumn("text", F.coalesce(fx.trimmed(F.col("text")), F.lit(""))).withColumn("is_split", F.col("id") % 3 != 0)
-    return op.merge_fragments(pieces)
+    return op.merge_fragments(pieces).drop("is_split")
 
 
 def flatten_lines(spark, d):
@@ -172,14 +172,24 @@ def _language(x: str) -> str:
 
 
 _LIMIT = "CASE {l} WHEN 'zh' THEN 16 WHEN 'en' THEN 42 WHEN 'ko' THEN 16 WHEN 'ja' THEN 13 ELSE 42 END"
-_QUALITY = f"""{_C}, l AS (SELECT *, {_LINES} AS ls, round((end_ms - start_ms) / 1000, 3) AS seconds FROM c),
-m AS (SELECT *, len(ls) AS n_lines, CAST(coalesce(list_sum(list_transform(ls, lambda x: length(x))), 0) AS INTEGER) AS chars,
-  CAST(coalesce(list_max(list_transform(ls, lambda x: length(x))), 0) AS INTEGER) AS max_line_chars, coalesce(seconds <= 0, true) AS bad FROM l),
-k AS (SELECT *, CASE WHEN NOT bad AND n_lines > 0 THEN round(chars / seconds, 2) END AS cps FROM m),
+
+
+def _quality_sql(cues: str) -> str:
+    return f"""{cues}, ql AS (SELECT *, {_LINES} AS ls, round((end_ms - start_ms) / 1000, 3) AS seconds FROM c),
+qm AS (SELECT *, len(ls) AS n_lines, CAST(coalesce(list_sum(list_transform(ls, lambda x: length(x))), 0) AS INTEGER) AS chars,
+  CAST(coalesce(list_max(list_transform(ls, lambda x: length(x))), 0) AS INTEGER) AS max_line_chars, coalesce(seconds <= 0, true) AS bad FROM ql),
+qk AS (SELECT *, CASE WHEN NOT bad AND n_lines > 0 THEN round(chars / seconds, 2) END AS cps FROM qm),
 q AS (SELECT episode_id, id, CASE WHEN n_lines > 0 THEN seconds END AS seconds, chars, cps, n_lines, max_line_chars, list_filter([
   CASE WHEN n_lines = 0 THEN 'missing' END, CASE WHEN n_lines > 0 AND bad THEN 'bad_duration' END, CASE WHEN n_lines > 0 AND NOT bad AND seconds < 0.833 THEN 'too_short' END,
   CASE WHEN n_lines > 0 AND NOT bad AND seconds > 7.0 THEN 'too_long' END, CASE WHEN cps > 9.0 THEN 'cps' END,
-  CASE WHEN n_lines > 0 AND max_line_chars > 16 THEN 'line' END, CASE WHEN n_lines > 2 THEN 'lines' END], lambda x: x IS NOT NULL) AS issues FROM k)"""
+  CASE WHEN n_lines > 0 AND max_line_chars > 16 THEN 'line' END, CASE WHEN n_lines > 2 THEN 'lines' END], lambda x: x IS NOT NULL) AS issues FROM qk)"""
+
+
+_QUALITY = _quality_sql(_C)
+_SUMMARY = """ SELECT episode_id, count(*) AS n, count(*) FILTER (WHERE list_contains(issues, 'missing')) AS n_missing, count(*) FILTER (WHERE list_contains(issues, 'cps')) AS n_cps_over,
+  count(*) FILTER (WHERE list_contains(issues, 'line')) AS n_line_over, count(*) FILTER (WHERE list_contains(issues, 'lines')) AS n_lines_over,
+  count(*) FILTER (WHERE list_contains(issues, 'bad_duration') OR list_contains(issues, 'too_short')) AS n_bad_duration, round(max(cps), 2) AS max_cps, round(quantile_cont(cps, 0.95), 2) AS p95_cps
+FROM q GROUP BY episode_id"""
 
 _SDH_WHOLE = " OR ".join(f"regexp_matches(w, '{p}')" for p in fx.SDH_WHOLE)
 _SDH_ONLY = f"""(w <> '' AND ({_SDH_WHOLE} OR len(list_filter(ls, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '♪+|🎵+|🎶+', '', 'g'),
@@ -194,6 +204,17 @@ _WIDE = "'^[一-鿿㐀-䶿가-힯぀-ゟ゠-ヿ。！？，：；''（）【】
 _JOIN = f"a || (CASE WHEN regexp_matches(right(a, 1), {_WIDE}) AND regexp_matches(left(x, 1), {_WIDE}) THEN '' ELSE ' ' END) || x"
 _FLAT = "CASE WHEN len({ls}) = 0 THEN '' ELSE list_reduce(CASE WHEN len({ls}) = 0 THEN [''] ELSE {ls} END, lambda a, x: " + _JOIN + ") END"
 
+
+
+def _merge_sql(limit: int, gap: str, ends: str, mixed: bool) -> str:
+    """Lines as lists of one, folded: the last line of what is done takes the next one in, or the next one is appended."""
+    talk = "starts_with(x[1], '- ')"
+    kinds = f"NOT {talk}" if mixed else f"starts_with(a[-1], '- ') = {talk}"
+    joins = f"strpos('{ends}', right(a[-1], 1)) = 0 AND length(a[-1]) + {len(gap)} + length(x[1]) <= {limit} AND {kinds}"
+    fold = f"list_reduce(list_transform(ls, lambda y: [y]), lambda a, x: CASE WHEN {joins} THEN list_concat(a[1:-2], [a[-1] || '{gap}' || x[1]]) ELSE list_concat(a, x) END)"
+    return f"CASE WHEN len(ls) > 1 THEN array_to_string({fold}, '|') ELSE array_to_string(ls, '|') END"
+
+
 SQL = {
     "cue_reindex": f"{_C} SELECT episode_id, CAST(row_number() OVER {_W} - 1 AS INTEGER) AS id, seq, text FROM c",
     "cue_slice": f"{_C}, r AS (SELECT *, row_number() OVER {_W} - 1 AS pos FROM c) SELECT episode_id, CAST(pos - 5 AS INTEGER) AS id, seq, text FROM r WHERE pos >= 5 AND pos < 25",
@@ -211,10 +232,7 @@ g AS (SELECT *, bool_or(coalesce(end_ms - nxt >= 50, false)) OVER (PARTITION BY
 k AS (SELECT episode_id, id, start_ms, CASE WHEN gate AND nxt < end_ms THEN nxt ELSE end_ms END AS end_ms, text FROM g WHERE NOT gate OR coalesce(regexp_matches(text, '\\S'), false))
 SELECT episode_id, CAST(row_number() OVER {_W} - 1 AS INTEGER) AS id, start_ms, end_ms, text FROM k""",
     "quality_per_cue": _QUALITY + " SELECT episode_id, id, seconds, chars, cps, n_lines, max_line_chars, array_to_string(issues, ',') AS issues FROM q",
-    "quality_summary": _QUALITY + """ SELECT episode_id, count(*) AS n, count(*) FILTER (WHERE list_contains(issues, 'missing')) AS n_missing, count(*) FILTER (WHERE list_contains(issues, 'cps')) AS n_cps_over,
-  count(*) FILTER (WHERE list_contains(issues, 'line')) AS n_line_over, count(*) FILTER (WHERE list_contains(issues, 'lines')) AS n_lines_over,
-  count(*) FILTER (WHERE list_contains(issues, 'bad_duration') OR list_contains(issues, 'too_short')) AS n_bad_duration, round(max(cps), 2) AS max_cps, round(quantile_cont(cps, 0.95), 2) AS p95_cps
-FROM q GROUP BY episode_id""",
+    "quality_summary": _QUALITY + _SUMMARY,
     "issue_cues": _QUALITY + " SELECT episode_id, id, CAST(len(issues) AS INTEGER) AS n_issues FROM q WHERE len(issues) > 0",
     "reading_speed": f"""{_C}, t AS (SELECT *, coalesce(text, '') AS x, (end_ms - start_ms) / 1000 AS sec FROM c),
 s AS (SELECT episode_id, id, {_language('x')} AS language, round(CASE WHEN sec > 0 THEN length(replace(x, chr(10), '')) / sec ELSE 0.0 END, 4) AS speed FROM t)
@@ -240,6 +258,7 @@ g AS (SELECT *, sum(head) OVER (PARTITION BY episode_id ORDER BY id ROWS UNBOUND
 SELECT episode_id, CAST(run - 1 AS INTEGER) AS id, CAST(min(id) AS INTEGER) AS first_id, min_by_null(start_ms, id) AS start_ms, max_by_null(end_ms, id) AS end_ms,
   {_FLAT.format(ls="list_filter(list(t ORDER BY id), lambda x: x <> '')")} AS text, count(*) AS n FROM g GROUP BY episode_id, run""".replace("min_by_null(start_ms, id)", "first(start_ms ORDER BY id)").replace("max_by_null(end_ms, id)", "last(end_ms ORDER BY id)"),
     "flatten_lines": f"{_C}, l AS (SELECT episode_id, id, {_LINES} AS ls FROM c) SELECT episode_id, id, {_FLAT.format(ls='ls')} AS flat FROM l",
+    **{f"merge_lines_{code}": f"{_C}, l AS (SELECT episode_id, id, {_LINES} AS ls FROM c) SELECT episode_id, id, {_merge_sql(*how)} AS lines FROM l" for code, how in {"en": (42, " ", ".!?", True), "zh": (16, "", "。！？", False), "ko": (16, " ", "。！？", False)}.items()},
     "context_window": f"""{_C}, t AS (SELECT episode_id, id, coalesce(text, '') AS x FROM c)
 SELECT episode_id, id, coalesce(string_agg(x, '|') OVER (PARTITION BY episode_id ORDER BY id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') AS before,
   coalesce(string_agg(x, '|') OVER (PARTITION BY episode_id ORDER BY id ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), '') AS after FROM t""",

@@ -34,7 +34,7 @@ def stage_a(spark, d):
     """Clip overlaps where there are any, clean sound descriptions and disfluencies, wrap and split."""
     from cuemill.pipeline import stage_a as chain
 
-    return chain(_cues(spark, d), overlap="auto", sdh=True, disfluency=True, resplit=True)
+    return chain(_cues(spark, d), overlap="auto", sdh=True, disfluency=True, resplit="on")
 
 
 def stage_a_compliance(spark, d):

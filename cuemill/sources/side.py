@@ -17,28 +17,37 @@ def first_of_each(rows: DataFrame) -> DataFrame:
 
 
 def read_csv_glossary(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, source, target, note, line) of a CSV glossary; it must have the three columns."""
+    """(pos, source, target, note, line) of a CSV glossary; it must have the three columns. Rows without source or target are left out."""
     raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
-    named = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
+    named = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
     if not set(COLUMNS) <= set(named.columns):
         raise ValueError(f"a glossary needs the columns {', '.join(COLUMNS)}")
     tidy = [F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " ")).alias(c) for c in COLUMNS]
-    rows = named.withColumn("pos", F.monotonically_increasing_id()).select("pos", *tidy)
+    rows = named.withColumn("pos", F.monotonically_increasing_id()).select("pos", *tidy).where("target <> ''")
     line = F.concat("source", F.lit(" = "), "target", F.when(F.col("note") == "", "").otherwise(F.concat(F.lit("（"), "note", F.lit("）"))))
     return first_of_each(rows).withColumn("line", line)
 
 
+# What the header of a Markdown glossary says.
+TARGET_HEADERS, SOURCE_HEADER = ("中文译名", "中文"), "原名"
+
+
 def read_table_glossary(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, source, target) of a Markdown table; aliases parted by a slash become rows of their own."""
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).where(F.trim("value").startswith("|"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), F.trim)
-    rows = lines.select("n", cells.alias("c")).where((F.size("c") >= 2) & ~F.forall("c", lambda x: x.rlike(r"^:?-+:?$|^$")))
-    first = F.min("n").over(Window.partitionBy(F.lit(1)))  # a glossary is one small file
-    body = rows.withColumn("first", first).where("n > first")
-    alias = F.explode(F.split(F.col("c")[0], "[/／]")).alias("raw")
-    each = body.select(F.col("n").alias("pos"), alias, F.col("c")[1].alias("target")).withColumn("raw", F.trim("raw"))
-    both = F.explode(F.array_distinct(F.array(F.trim(F.regexp_replace("raw", r"[(（][^)）]*[)）]", "")), "raw"))).alias("source")
-    return first_of_each(each.select("pos", both, "target").where(~F.col("source").rlike("^[一-鿿]+$")))
+    """(pos, source, target, line) of a Markdown table of translation and original.
+
+    Originals parted by a slash are rows of their own; a remark in parentheses
+    is left out, and the form with it added after the one without. Originals of
+    ideographs only are none.
+    """
+    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).withColumn("value", F.trim("value")).where(F.col("value").startswith("|") & ~F.col("value").rlike(r"^\|[\s:|-]+\|\z"))
+    cells = F.transform(F.split(F.regexp_replace("value", r"^\|+|\|+\z", ""), r"\|"), F.trim)
+    rows = lines.select("n", cells.alias("c")).where(F.size("c") >= 2).select("n", F.get("c", F.lit(0)).alias("target"), F.get("c", F.lit(1)).alias("names"))
+    body = rows.where(~F.col("target").isin(*TARGET_HEADERS) & ~F.col("names").contains(SOURCE_HEADER) & (F.col("target") != "") & (F.col("names") != ""))
+    each = body.select("n", "target", F.posexplode(F.split("names", "[/／]")).alias("k", "raw")).withColumn("raw", F.trim("raw"))
+    clean = each.withColumn("source", F.trim(F.regexp_replace("raw", r"\s*\([^)]*\)\s*", " "))).withColumn("pos", F.struct("n", "k"))
+    kept = first_of_each(clean.where(~F.col("source").rlike("^[一-鿿·]+\\z")))
+    both = kept.select("n", "k", "target", F.posexplode(F.array("source", "raw")).alias("v", "source")).withColumn("pos", F.struct("n", "k", "v"))
+    return first_of_each(both).withColumn("line", F.concat("source", F.lit(" = "), "target")).select("pos", "source", "target", "line")
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
@@ -48,49 +57,15 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.monotonically_increasing_id().alias("pos"), F.coalesce("text", F.lit("")).alias("text"), seconds("start").alias("start_s"), seconds("`end`").alias("end_s"))
 
 
-def check_profile(profile: dict) -> list[str]:
-    """What is wrong with an assessment profile; an empty list if nothing is."""
-    wrong: list[str] = []
-    need = lambda ok, what: None if ok else wrong.append(what)
-    number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)
-    episodes = profile.get("episodes") or []
-    ids = [e.get("id") for e in episodes]
-    need(bool(episodes) and len(set(ids)) == len(ids) and all(ids), "episodes: unique ids")
-    for e in episodes:
-        cues = [s.get("cue_id") for s in e.get("samples") or []]
-        need(all(isinstance(c, int) and not isinstance(c, bool) and c >= 1 for c in cues) and len(set(cues)) == len(cues), f"samples of {e.get('id')}: cue ids")
-    aliases = [m.get("alias") for m in profile.get("models") or []]
-    need(bool(aliases) and all(aliases) and len(set(aliases)) == len(aliases), "models: unique aliases")
-    arms = [(a.get("temperature"), a.get("top_p")) for a in profile.get("arms") or []]
-    need(len(set(arms)) == len(arms), "arms: unique pairs")
-    need(all(t in (None, "OMIT") or (number(t) and 0 <= t < 2) for t, _ in arms), "arms: temperature in [0, 2)")
-    need(all(p in (None, "OMIT") or (number(p) and 0 < p <= 1) for _, p in arms), "arms: top_p in (0, 1]")
-    tqa = profile.get("tqa") or {}
-    weights = tqa.get("dimension_weights") or {}
-    need(bool(weights) and all(number(w) and w >= 0 for w in weights.values()) and abs(sum(weights.values()) - 1) <= 1e-9, "dimension_weights: not negative, sum 1")
-    used = {d for e in episodes for s in e.get("samples") or [] for d in s.get("dimensions") or []}
-    need(used <= set(weights), "dimensions: each has a weight")
-    bounds = [(tqa.get("severity") or {}).get(k) for k in ("critical", "major", "minor")]
-    need(all(isinstance(b, int) for b in bounds) and 0 <= bounds[0] < bounds[1] < bounds[2] < 10 if all(b is not None for b in bounds) else False, "severity: rising bounds below 10")
-    gates = tqa.get("thresholds") or {}
-    need(all(number(v) and 0 <= v <= 10 for v in gates.values()), "thresholds: within 0 and 10")
-    runs = (profile.get("evaluator") or {}).get("runs")
-    need(isinstance(runs, int) and not isinstance(runs, bool) and runs >= 1, "evaluator: runs at least 1")
-    return wrong
-
-
-def load_profile(path: str) -> dict:
-    """A YAML profile with its paths made absolute; raises with everything that is wrong."""
-    import yaml
-
-    with open(path, encoding="utf-8") as f:
-        profile = yaml.safe_load(f) or {}
-    wrong = check_profile(profile)
-    if wrong:
-        raise ValueError("; ".join(wrong))
-    base = os.path.dirname(os.path.abspath(path))
-    for e in profile["episodes"]:
-        for key in ("source_srt", "reference_srt"):
-            if e.get(key):
-                e[key] = os.path.normpath(os.path.join(base, e[key]))
-    return profile
+LEDGER = "anonymous_id string, candidate_id string, sample_id string, dimension string, evaluator_run_id string, score int, hard_failures array<string>, rationale string, confidence double, scored_by string, refusal_detected boolean, raw_response_hash string, raw_response_path string, valid boolean, retry_index int, run_index int"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a JSONL ledger, each once; a line that can't be read is an error, as a ledger is only ever appended to."""
+    return spark.read.json(path, schema=LEDGER, mode="FAILFAST").dropDuplicates(["anonymous_id", "run_index", "evaluator_run_id", "retry_index"])
+
+
+def write_ledger(records: DataFrame, path: str) -> None:
+    """Appends records as canonical JSON lines, keys sorted; their keys must not be in the ledger yet (see bench.open_runs)."""
+    names = sorted(records.columns)
+    records.select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)

@@ -1,8 +1,9 @@
 import pytest
 
 from cuemill.pipeline import answers, stage_a, translate
-from cuemill.sources.side import check_profile, read_csv_glossary, read_table_glossary, read_words
-from cuemill.sources.srt import parse_strict, parse_tolerant, read_files, to_srt
+from cuemill import provider
+from cuemill.sources.side import read_csv_glossary, read_ledger, read_table_glossary, read_words, write_ledger
+from cuemill.sources.srt import decode, parse_strict, parse_tolerant, read_files, strict_errors, to_srt
 from cuemill.streaming.feeds import dropped_srt, ledger_stream, write_batches
 
 SAMPLE = "﻿1\r\n00:00:01,000 --> 00:00:02,000\r\nHello world\r\n\r\n2\r\n00:00:03.000 --> 00:00:04.000 X1:2\r\nLine A\r\nLine B\r\n\r\nnonsense\r\n\r\nx\n00:00:05,000 --> 00:00:06,000\nno number\n"
@@ -35,20 +36,40 @@ def test_glossaries_and_words(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("source,note\n", encoding="utf-8")
     with pytest.raises(ValueError):
         read_csv_glossary(spark, str(tmp_path / "bad.csv"))
-    (tmp_path / "g.md").write_text("# x\n| Name | Target |\n|---|---|\n| Ilska (girl)/Il | 伊尔 |\n| 中文 | x |\n", encoding="utf-8")
-    assert {r.source for r in read_table_glossary(spark, str(tmp_path / "g.md")).collect()} == {"Ilska", "Ilska (girl)", "Il"}
+    (tmp_path / "g.md").write_text("# x\n| 中文译名 | 法文/英文原名 |\n|---|:-:|\n| 伊尔 | Ilska (girl)/Il |\n| x | 中文 |\n| 二 | Il |\n| 空 | |\n| one |\n", encoding="utf-8")
+    assert [r.line for r in read_table_glossary(spark, str(tmp_path / "g.md")).orderBy("pos").collect()] == ["Ilska = 伊尔", "Ilska (girl) = 伊尔", "Il = 伊尔"]
     (tmp_path / "w.json").write_text('[{"text": "a", "start": 12000, "end": "x"}, {"text": "b", "start": 1.5, "end": 2}]')
     assert [(r.start_s, r.end_s) for r in read_words(spark, str(tmp_path / "w.json")).orderBy("pos").collect()] == [(12.0, 0.0), (1.5, 2.0)]
 
 
-def test_profile():
-    good = {
-        "episodes": [{"id": "e", "samples": [{"cue_id": 1, "dimensions": ["a"]}]}], "models": [{"alias": "m"}], "arms": [{"temperature": 0, "top_p": None}],
-        "tqa": {"dimension_weights": {"a": 1.0}, "severity": {"critical": 3, "major": 5, "minor": 7}, "thresholds": {"floor": 4}}, "evaluator": {"runs": 3},
-    }
-    assert check_profile(good) == []
-    assert "arms: temperature in [0, 2)" in check_profile(good | {"arms": [{"temperature": True}]})
-    assert len(check_profile({})) >= 5
+def test_strict_errors(spark):
+    good = "1\n00:00:01,000 --> 00:00:02,000\nfirst  \nsecond\n"
+    files = spark.createDataFrame([("a", good), ("b", "\n\noops\n" + good), ("c", "7"), ("d", None), ("e", "")], "path string, text string")
+    assert {tuple(r) for r in strict_errors(files).collect()} == {("b", 3, "oops"), ("c", 1, "7")}
+    assert {(r.path, r.text) for r in parse_strict(files, fail=False).collect()} == {("a", "first\nsecond"), ("b", "first\nsecond")}
+    with pytest.raises(Exception, match="no cue in b at line 3: oops"):
+        parse_strict(files.where("path = 'b'")).collect()
+
+
+def test_decoding():
+    assert decode("é".encode("cp1252") + b"t", detect=lambda _: "cp1252") == ("ét", "cp1252")
+    assert decode(b"\xef\xbb\xbfab", detect=lambda _: "cp1252") == ("ab", "utf-8-sig")
+    assert decode("中".encode("gb18030")) == ("中", "gb18030") and decode(b"ab", "no-such-name")[0] == "ab"
+
+
+def test_ledger_round_trip(spark, tmp_path):
+    row = {"anonymous_id": "a", "candidate_id": "c", "sample_id": "s", "dimension": "d", "evaluator_run_id": "r", "score": 7, "hard_failures": [], "rationale": "ü", "confidence": 0.5, "scored_by": "evaluator",
+           "refusal_detected": False, "raw_response_hash": "h", "raw_response_path": None, "valid": True, "retry_index": 0, "run_index": 0}
+    from cuemill.sources.side import LEDGER
+
+    path = str(tmp_path / "ledger")
+    for _ in range(2):
+        write_ledger(spark.createDataFrame([row], LEDGER), path)
+    assert [r.asDict() for r in read_ledger(spark, path).collect()] == [row]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/x.json").write_text("{broken")
+    with pytest.raises(Exception):
+        read_ledger(spark, str(tmp_path / "bad")).collect()
 
 
 def test_streams(spark, tmp_path):
@@ -66,10 +87,11 @@ def test_streams(spark, tmp_path):
 
 
 def test_run_with_stub(spark):
-    cues = spark.createDataFrame([("e", i, i * 1000, i * 1000 + 1500, f"Line {i}." if i != 3 else " ") for i in range(6)], "episode_id string, id int, start_ms bigint, end_ms bigint, text string")
+    cues = spark.createDataFrame([("e", i, i * 1000, i * 1000 + 1500, f"Line {i}." if i != 3 else " ") for i in range(12)], "episode_id string, id int, start_ms bigint, end_ms bigint, text string")
     prepared = stage_a(cues, overlap="auto")
-    assert prepared.count() == 5 and prepared.where("id = 0").first().end_ms == 1000
-    called = translate(prepared, "de", size=2)
+    assert prepared.count() == 11 and prepared.where("id = 0").first().end_ms == 1000
+    called = translate(prepared, "into de", size=5)
     assert called.count() == 3
-    assert {r.tr for r in answers(called).collect()} == {f"[de] Line {i}." for i in (0, 1, 2, 4, 5)}
-    assert translate(prepared, "de", size=2, done=called.limit(1)).count() == 2
+    assert list(called.where("batch_index = 2").first().input_map) == ["10"]
+    assert {r.tr for r in answers(called).collect()} == {f"[de] Line {i}." for i in range(12) if i != 3}
+    assert translate(prepared, "into de", size=5, done=called.where("batch_index = 1")).count() == 2

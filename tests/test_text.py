@@ -97,12 +97,12 @@ def test_echoes():
 
 
 def test_scores(spark):
-    rows = [("a1", "s1", "cand-1", "x", f"r{i}", v, ["H"] if i == 0 else [], "evaluator", False, i, True) for i, v in enumerate((2, 8, 9))]
-    rows.append(("a2", "s1", "cand-1", "y", "r9", 4, ["H"], "evaluator", False, 0, True))
+    rows = [("a1", "s1", "cand-1", "x", f"r{i}", v, ["FABRICATION"] if i == 0 else [], "evaluator", False, i, True) for i, v in enumerate((2, 8, 9))]
+    rows.append(("a2", "s1", "cand-1", "y", "r9", 4, ["FABRICATION"], "evaluator", False, 0, True))
     df = spark.createDataFrame(rows, "anonymous_id string, sample_id string, candidate_id string, dimension string, evaluator_run_id string, score int, hard_failures array<string>, scored_by string, refusal_detected boolean, run_index int, valid boolean")
     scores = tqa.final_scores(tqa.ledger(df))
     first = scores.where("anonymous_id = 'a1'").first()
-    assert (first.median, first.trimmed, first.hard) == (8.0, 8.0, ["H"])
+    assert (first.median, first.trimmed_mean, first.hard) == (8.0, 8.0, ["FABRICATION"])
     weights = spark.createDataFrame([("x", 0.5), ("y", 0.5)], "dimension string, weight double")
     episode = tqa.episodes(scores, weights).first()
     assert (episode.score, episode.hard_count, episode.sample_count, episode.status) == (6.0, 1, 1, "FAIL")
