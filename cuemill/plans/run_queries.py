@@ -128,7 +128,7 @@ def word_align(spark, d):
     """Sentences of each document timed by its words, a third of a second apart."""
     docs = read(spark, d, "documents").where("text IS NOT NULL")
     words = F.transform(F.filter(F.split("text", r"\s+"), lambda w: w != ""), lambda w, i: F.struct(w.alias("text"), (i * 0.3).cast("double").alias("start_s"), (i * 0.3 + 0.25).cast("double").alias("end_s")))
-    sentences = F.filter(F.transform(F.split("text", r"(?<=[.!?。！？])\s*"), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split("text", r"(?<=[.!?。！？])\s*"), lambda x: F.trim(x)), lambda s: s != "")
     return op.align_words(docs.select("doc_id", sentences.alias("sentences"), words.alias("words")), "doc_id")
 
 

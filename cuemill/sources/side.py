@@ -40,7 +40,7 @@ def read_table_glossary(spark: SparkSession, path: str) -> DataFrame:
     ideographs only are none.
     """
     lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).withColumn("value", F.trim("value")).where(F.col("value").startswith("|") & ~F.col("value").rlike(r"^\|[\s:|-]+\|\z"))
-    cells = F.transform(F.split(F.regexp_replace("value", r"^\|+|\|+\z", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("value", r"^\|+|\|+\z", ""), r"\|"), lambda x: F.trim(x))
     rows = lines.select("n", cells.alias("c")).where(F.size("c") >= 2).select("n", F.get("c", F.lit(0)).alias("target"), F.get("c", F.lit(1)).alias("names"))
     body = rows.where(~F.col("target").isin(*TARGET_HEADERS) & ~F.col("names").contains(SOURCE_HEADER) & (F.col("target") != "") & (F.col("names") != ""))
     each = body.select("n", "target", F.posexplode(F.split("names", "[/／]")).alias("k", "raw")).withColumn("raw", F.trim("raw"))
