@@ -1,16 +1,19 @@
 """Cutting oversized texts at natural boundaries by structure-tree packing.
 
-A text is a tree: sections under headings, paragraphs, list items and lines,
-sentences, clauses, words. Only a node over the limit is opened; the pieces of
-its children are merged with their siblings, bottom-up, as far as they fit.
-A run without any boundary that is longer than the limit is cut by force.
+A text is read as a tree: block elements of its markup nest by their paired
+tags, sections by the level of their headings, list items by their indent;
+below them stand paragraphs, lines, sentences, clauses and words. Whole sibling
+subtrees are merged up to the limit, bottom-up; only a node over the limit is
+opened, and its pieces end where it ends. A run without any boundary that is
+longer than the limit is cut by force.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,76 +21,158 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LIMIT, OVERLAP = 200, 20
+DEEPEST = 64  # nodes below are read as paragraphs, whatever they hold
 
 # The boundary characters of the task.
 BOUNDARY = " \t\n\r 　.,;:!?…。，、；：！？"
 
-_BLOCK = re.compile(r"\n[ \t\r]*\n[\s]*|(?<=\n)(?=[ \t]*#{1,6} )")
-_ITEM = re.compile(r"(?<=[\n\r])(?=[ \t]*(?:[-*•·+]|\d{1,3}[.)])[ \t])|(?<=[>\n])(?=<(?:p|li|div|h[1-6]|tr|br)\b)")
-_LINE = re.compile(r"(?<=[\n\r])(?![\n\r])")
-_SENTENCE = re.compile(r"(?<=[。！？])|(?<=[.!?…])(?=[\s 　])|(?<=[.!?…][\"'”’»)])(?=\s)")
-_CLAUSE = re.compile(r"(?<=[,;:，、；：])")
-_WORD = re.compile(r"(?<=[ \t\n\r 　])(?![ \t\n\r 　])")
-_ATOM = re.compile(f"[{re.escape(BOUNDARY)}]|[^{re.escape(BOUNDARY)}]+")
-_LEVELS = (_BLOCK, _ITEM, _LINE, _SENTENCE, _CLAUSE, _WORD)
+_TAG = re.compile(r"<(/?)(?:p|div|section|article|blockquote|pre|ul|ol|li|dl|dt|dd|table|thead|tbody|tr|td|th|h[1-6])\b[^<>]*>", re.I)
+_NAME = re.compile(r"\w+")
+_BLANK = re.compile(r"\s*")
+_HEADING = re.compile(r"^[ \t]*(#{1,6})[ \t]", re.M)
+_ITEM = re.compile(r"^([ \t]*)(?:[-*•·+–]|\d{1,3}[.)]|[A-Za-z][.)])[ \t]", re.M)
+_PARAGRAPH = re.compile(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)\s*")
+_LINE = re.compile(r"(?:\r\n|\n|\r|<(?:br|hr)\b[^<>]*>)+", re.I)
+_SENTENCE = re.compile(r"[。！？]+[\"'”’»」』）)]*|[.!?…]+[\"'”’»)]*(?=[\s　])")
+_CLAUSE = re.compile(r"[,;:，、；：]")
+_WORD = re.compile(r"(?:<[^<>]*>|[^ \t\n\r 　<]|<)+[ \t\n\r 　]*")
+_ATOM = re.compile(f"[^{re.escape(BOUNDARY)}]+|[{re.escape(BOUNDARY)}]")
 
 Span = tuple[int, int]
-
-
-def _children(text: str, span: Span, level: int) -> list[Span]:
-    """Child nodes at a level of the tree; a separator stays with the node before it."""
-    if level == len(_LEVELS):
-        return [(m.start(), m.end()) for m in _ATOM.finditer(text, *span)]
-    cuts = sorted({c for m in _LEVELS[level].finditer(text, *span) if span[0] < (c := m.end()) < span[1]})
-    return list(zip([span[0], *cuts], [*cuts, span[1]]))
-
-
-def _force(text: str, span: Span, room: int) -> list[Span]:
+Cuts = Callable[[str, int, int], list[int]]
+
+
+class Elements:
+    """The block elements of a text that have a partner, by their start: start, end of the opening tag, start and end of the closing one."""
+
+    def __init__(self, text: str) -> None:
+        open_: list[tuple[str, int, int]] = []
+        places: dict[str, list[int]] = {}
+        found: list[tuple[int, int, int, int]] = []
+        for m in _TAG.finditer(text) if "<" in text else ():
+            name = _NAME.search(m.group()).group().lower()
+            if not m.group(1):
+                places.setdefault(name, []).append(len(open_))
+                open_.append((name, m.start(), m.end()))
+            elif places.get(name):
+                at = places[name][-1]
+                found.append((open_[at][1], open_[at][2], m.start(), m.end()))
+                while len(open_) > at:  # what was opened inside has no partner
+                    places[open_.pop()[0]].pop()
+        self.text = text
+        self.all = sorted(found)
+        self.starts = [f[0] for f in self.all]
+
+    def cuts(self, text: str, low: int, high: int) -> list[int]:
+        """Borders of the outermost elements of a node; a node's own tags stay with its content."""
+        while True:
+            found, i = [], bisect_left(self.starts, low)
+            while i < len(self.all) and self.all[i][0] < high:
+                if self.all[i][3] > high:
+                    i += 1
+                    continue
+                found.append(self.all[i])
+                i = bisect_left(self.starts, self.all[i][3], i + 1)
+            if len(found) != 1 or not _BLANK.fullmatch(text, low, found[0][0]) or not _BLANK.fullmatch(text, found[0][3], high):
+                return [c for f in found for c in (f[0], f[3]) if not _BLANK.fullmatch(text, low, c) and not _BLANK.fullmatch(text, c, high)]
+            _, low, high, _ = found[0]
+
+
+def _ranked(marks: list[tuple[int, int]], low: int) -> list[int]:
+    """Places of the marks of the highest rank but the node's own."""
+    inner = [(at, rank) for at, rank in marks if at > low]
+    top = min((rank for _, rank in inner), default=0)
+    return [at for at, rank in inner if rank == top]
+
+
+def _sections(text: str, low: int, high: int) -> list[int]:
+    return _ranked([(m.start(), len(m.group(1))) for m in _HEADING.finditer(text, low, high)], low)
+
+
+def _items(text: str, low: int, high: int) -> list[int]:
+    return _ranked([(m.start(), len(m.group(1).expandtabs(4))) for m in _ITEM.finditer(text, low, high)], low)
+
+
+def _ends(pattern: re.Pattern) -> Cuts:
+    return lambda text, low, high: [m.end() for m in pattern.finditer(text, low, high)]
+
+
+# What a node is opened by after its elements, in this order; a node of the first kinds may hold others of its kind.
+_KINDS: tuple[Cuts, ...] = (_sections, _items, _ends(_PARAGRAPH), _ends(_LINE), _ends(_SENTENCE), _ends(_CLAUSE), _ends(_WORD), _ends(_ATOM))
+_NESTED = 3  # elements, sections, items
+
+
+def children(elements: Elements, span: Span, kind: int, depth: int) -> tuple[list[Span], int]:
+    """The child nodes of a node, and the kind their own children begin with; no child is a node without parts."""
+    text, (low, high) = elements.text, span
+    for k in range(kind, 1 + len(_KINDS)):
+        if k < _NESTED and depth > DEEPEST:
+            continue
+        cuts = sorted({c for c in (_KINDS[k - 1] if k else elements.cuts)(text, low, high) if low < c < high})
+        if cuts:
+            return list(zip([low, *cuts], [*cuts, high])), k if k < _NESTED else k + 1
+    return [], 1 + len(_KINDS)
+
+
+def _force(text: str, span: Span, room: Callable[[int], int]) -> list[Span]:
     """Cuts a run without boundaries, never before a combining mark if that can be helped."""
     out, at = [], span[0]
-    while span[1] - at > room:
-        cut = at + room
-        while cut > at + room // 2 and unicodedata.combining(text[cut]):
+    while span[1] - at > room(at):
+        cut = at + room(at)
+        while cut > at + room(at) // 2 and unicodedata.combining(text[cut]):
             cut -= 1
         out.append((at, cut))
         at = cut
     return [*out, (at, span[1])]
 
 
-def _merge(parts: list[Span], room: int) -> list[Span]:
-    out: list[Span] = []
-    for part in parts:
-        if out and part[1] - out[-1][0] <= room:
-            out[-1] = (out[-1][0], part[1])
-        else:
-            out.append(part)
-    return out
-
-
-def _pack(text: str, span: Span, level: int, room: int, limit: int) -> list[Span]:
-    if span[1] - span[0] <= room:
-        return [span]
-    if level > len(_LEVELS):
-        return [span] if span[1] - span[0] <= limit else _force(text, span, room)
-    kids = _children(text, span, level)
-    if len(kids) == 1:
-        return _pack(text, span, level + 1, room, limit)
-    return _merge([p for kid in kids for p in _pack(text, kid, level + 1, room, limit)], room)
+def pack(text: str, limit: int, overlap: int) -> tuple[list[Span], list[int]]:
+    """(pieces, places of forced cuts). Every piece but the first leaves room for the overlap."""
+    forced: list[int] = []
+    elements = Elements(text)
+    room = lambda at: limit if at == 0 else limit - overlap
+    fits = lambda low, high: high - low <= room(low)
+
+    def opened(span: Span, kind: int, depth: int) -> list[Span]:
+        if fits(*span):
+            return [span]
+        kids, inner = children(elements, span, kind, depth)
+        if not kids:
+            if span[1] - span[0] <= limit:
+                return [span]
+            parts = _force(text, span, room)
+            forced.extend(p[0] for p in parts[1:])
+            return parts
+        out: list[Span] = []
+        whole = False  # the last piece is made of whole siblings and may take in the next
+        for kid in kids:
+            if whole and fits(out[-1][0], kid[1]):
+                out[-1] = (out[-1][0], kid[1])
+                continue
+            parts = opened(kid, inner, depth + 1)
+            if whole and len(parts) > 1 and _HEADING.match(text, out[-1][0]) and "\n" not in text[out[-1][0] : out[-1][1]].strip() and fits(out[-1][0], parts[0][1]):
+                parts[0] = (out.pop()[0], parts[0][1])  # a heading stays with what it heads
+            out += parts
+            whole = len(parts) == 1
+        return out
+
+    return opened((0, len(text)), 0, 0), forced
 
 
 def cut_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, bool]]:
     """(start, core start, end, forced) per piece; piece = text[start:end], cores partition the text.
 
-    ``forced`` tells that the cut before the core lies inside a run without boundaries.
+    ``forced`` tells that the cut before the core is one inside a run that is longer than the limit.
     """
     out: list[tuple[int, int, int, bool]] = []
-    for core, end in _pack(text, (0, len(text)), 0, limit - overlap, limit):
-        start, forced = core, False
+    pieces, forced = pack(text, limit, overlap)
+    for core, end in pieces:
+        start = core
         if core:
             least = max(out[-1][1], core - min(overlap, limit - (end - core)))
             start = next((i for i in range(least, core) if i and text[i - 1] in BOUNDARY and text[i] not in BOUNDARY), least)
-            forced = text[core - 1] not in BOUNDARY and text[core] not in BOUNDARY
-        out.append((start, core, end, forced))
+        at = bisect_left(forced, core)
+        out.append((start, core, end, at < len(forced) and forced[at] == core))
     return out
 
 
