@@ -149,9 +149,9 @@ def pack(text: str, limit: int, overlap: int) -> tuple[list[Span], list[int]]:
             if whole and fits(out[-1][0], kid[1]):
                 out[-1] = (out[-1][0], kid[1])
                 continue
+            if whole and inner > _NESTED and not fits(*kid) and _HEADING.match(text, out[-1][0]) and "\n" not in text[out[-1][0] : out[-1][1]].strip():
+                kid = (out.pop()[0], kid[1])  # a heading stays with what it heads
             parts = opened(kid, inner, depth + 1)
-            if whole and len(parts) > 1 and _HEADING.match(text, out[-1][0]) and "\n" not in text[out[-1][0] : out[-1][1]].strip() and fits(out[-1][0], parts[0][1]):
-                parts[0] = (out.pop()[0], parts[0][1])  # a heading stays with what it heads
             out += parts
             whole = len(parts) == 1
         return out
