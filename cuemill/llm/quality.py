@@ -2,7 +2,8 @@
 
 Statistics of each block (blank lines part blocks) are compared with
 thresholds; every comparison is a noisy labelling function that votes for one
-kind or abstains. How often each function fires for each kind is learned by
+kind or abstains. How often each function fires for its own kind and for the
+others, and so how much its vote and its silence weigh, is learned by
 expectation-maximization from the agreements in all blocks, without labels. A
 document's kind is the one whose blocks, weighted by their posterior, hold the
 most characters.
@@ -14,9 +15,8 @@ grow with the documents but with the functions (at most 2 ** len(FUNCTIONS)).
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,187 +24,132 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cuemill.llm.measures import document_words, measure
 from cuemill.session import materialize
 
 KINDS = ("prose", "list", "table", "junk")
 COMMON_WORDS = 5000
 MIN_DOCUMENTS = 3
 MIN_SHARE = 0.003
-SILENCE = 0.5
-
-_CJK = r"぀-ヿ㐀-鿿豈-﫿々"
-_HANGUL = r"가-힣"
-_NOT_WORD = re.compile(rf"[\W\d_{_CJK}]+")
-_ASCII_WORD = re.compile(r"[A-Za-z]+")
-_OTHER_WORD = re.compile(rf"[^\W\d_{_CJK}{_HANGUL}]+")
-_SPACES = re.compile(r"\s{2,}")
-_CJK_CHAR = re.compile(f"[{_CJK}]")
-_HANGUL_CHAR = re.compile(f"[{_HANGUL}]")
-_BLOCKS = re.compile(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)\s*")
-_LINES = re.compile(r"\r\n|\n|\r")
-_MARKS = (".", "!", "?", "…", "。", "！", "？")
-_CLOSERS = "\"'”’»)]"
-_SENTENCE = re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+|\r\n|\n|\r")
-_BULLET = re.compile(r"^\s*(?:[-–—*•·+]|\d{1,4}[.)]|[A-Za-z][.)]|\[[ xX]?\])\s+(?:\[[ xX]?\]\s+)?")
-_PAIR = re.compile(r"^\s*[^\s,:.!?;–]+(?: [^\s,:.!?;–]+){0,3}(?:, | – | - |: )[^\s,:.!?;–]+(?: [^\s,:.!?;–]+){0,3}\s*$")
-_INLINE_BULLET = re.compile(r"[,;]\s+[•·*]\s")
-_TAG = re.compile(r"</?[A-Za-z][^<>]*>|&[a-z]+;|\b[a-z-]+\s*\{|[{};]\s*$")
-_ALIGNED = re.compile(r"\S {3,}\S")
-_HEX = re.compile(r"^(?:[0-9a-fA-F]{2}\s*)+$")
-_BROKEN = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f�■-◿─-▟]")
-_MOJIBAKE = re.compile(r"[\xc3\xc2\xd0\xd1\xe2-\xef][\x80-\xbfŒœŠšŸŽžƒˆ˜–-›€™]")
-_BLOB = re.compile(r"[A-Za-z0-9+/=_-]{24,}")
-
-
-def words(text: str) -> list[str]:
-    """Words of three letters or more in lower case, and single ideographs and kana."""
-    low = text.lower()
-    return [w for w in _NOT_WORD.split(low) if len(w) > 2 or (w and _HANGUL_CHAR.match(w))] + _CJK_CHAR.findall(low)
-
-
-def _units(text: str) -> float:
-    """Length in words; two syllables or ideographs count about as a word."""
-    if text.isascii():
-        return len(_ASCII_WORD.findall(text))
-    return len(_OTHER_WORD.findall(text)) + 0.55 * len(_CJK_CHAR.findall(text)) + 0.5 * len(_HANGUL_CHAR.findall(text))
-
-
-def _fields(lines: list[str], text: str) -> tuple[int, float]:
-    """Most plausible number of fields per record, and the share of lines that have it."""
-    best = (1, 0.0)
-    counters = {
-        "\t": lambda x: x.count("\t") + 1,
-        "|": lambda x: x.strip(" |").count("|") + 1,
-        "  ": lambda x: len(_SPACES.findall(x)) + 1,
-        ";": lambda x: x.count(";") - x.count("; ") + 1,
-        ",": lambda x: x.count(",") - x.count(", ") + 1,
-    }
-    for mark, count in counters.items():
-        if mark not in text:
-            continue
-        counts = Counter(count(line.strip()) for line in lines)
-        width, n = max(counts.items(), key=lambda x: (x[0] > 1) * x[1])
-        if mark in "\t  ":  # an empty last field may be left out
-            n = sum(c for w, c in counts.items() if w > 1 and abs(w - width) < 2)
-        if width > 1 and (n / len(lines), width) > (best[1], best[0]):
-            best = (width, n / len(lines))
-    return best
-
-
-def statistics(text: str, common: frozenset[str], shape: bool = True) -> dict[str, float]:
-    """The statistics of one text; shares of nothing are 0. Without ``shape`` only those of words and marks."""
-    lines = [x for x in _LINES.split(text) if x.strip()]
-    dense = "".join(text.split())
-    found = words(text)
-    n_lines, n_dense, n_found = max(len(lines), 1), max(len(dense), 1), max(len(found), 1)
-    letters = sum(map(str.isalpha, dense))
-    digits = sum(map(str.isdigit, dense))
-    tokens = text.split()
-    grams = len(dense) - 7
-    width, regular = _fields(lines, text) if lines else (1, 0.0)
-    if len(lines) < 2 or regular < 0.6 or (letters + digits) < 0.1 * n_dense:
-        width = 1
-    out = {
-        "n_chars": len(text),
-        "n_words": len(tokens),
-        "n_lines": len(lines),
-        "mean_word_length": sum(map(len, tokens)) / max(len(tokens), 1),
-        "symbol_ratio": 1 - (letters + digits) / n_dense if dense else 0.0,
-        "digit_ratio": digits / n_dense,
-        "end_punctuation": sum(x.rstrip().rstrip(_CLOSERS).endswith(_MARKS) for x in lines) / n_lines,
-        "common_words": sum(w in common for w in found) / n_found,
-        "letters_in_words": min(1.0, sum(map(len, found)) / n_dense),
-        "fields": width,
-        "regular_fields": regular,
-        "distinct_grams": len({dense[i : i + 8] for i in range(grams)}) / grams if grams > 16 else 1.0,
-    }
-    if not shape:
-        return out
-    bare = [_BULLET.sub("", x) for x in lines]
-    per_line = [_units(x) for x in bare]
-    sentences = sum(bool(s) and not s.isspace() for s in _SENTENCE.split(text))
-    plain = text.isascii() and "\x00" not in text
-    return out | {
-        "bullets": sum(len(b) != len(x) for b, x in zip(bare, lines)) / n_lines,
-        "inline_bullets": len(_INLINE_BULLET.findall(text)),
-        "pairs": sum(bool(_PAIR.match(x)) for x in bare) / n_lines if len(bare) > 1 else 0.0,
-        "units_per_line": sum(per_line) / max(len(per_line), 1),
-        "longest_line": max(per_line, default=0.0),
-        "units_per_sentence": sum(per_line) / max(sentences, 1),
-        "pipes": sum(x.count("|") > 1 or x.strip().startswith("+-") for x in lines) / n_lines if "|" in text or "+-" in text else 0.0,
-        "tabs": sum("\t" in x.strip() for x in lines) / n_lines if "\t" in text else 0.0,
-        "aligned": sum(bool(_ALIGNED.search(x)) for x in lines) / n_lines if "   " in text else 0.0,
-        "markup": sum(bool(_TAG.search(x)) and len(_TAG.sub("", x).split()) < 3 for x in lines) / n_lines if _TAG.search(text) else 0.0,
-        "hex": sum(" " in x and bool(_HEX.match(x)) for x in lines) / n_lines,
-        "broken": len(_BROKEN.findall(dense)) / n_dense,
-        "mojibake": 0.0 if plain else 2 * len(_MOJIBAKE.findall(dense)) / n_dense,
-        "blob": sum(map(len, _BLOB.findall(text))) / n_dense,
-    }
-
-
-S = dict[str, float]
-_flat: Callable[[S], bool] = lambda s: s["fields"] < 3 and max(s["pipes"], s["tabs"], s["aligned"]) < 0.5
-_readable: Callable[[S], bool] = lambda s: s["common_words"] >= 0.5 and s["letters_in_words"] > 0.3
-
-# (name, kind it votes for, does it fire)
-FUNCTIONS: tuple[tuple[str, str, Callable[[S], bool]], ...] = (
-    ("long_lines", "prose", lambda s: _readable(s) and s["units_per_line"] >= 6.5 and s["pairs"] < 0.6),
-    ("long_sentences", "prose", lambda s: _readable(s) and s["units_per_sentence"] >= 5 and s["fields"] < 3 and s["pairs"] < 0.6),
-    ("full_stops", "prose", lambda s: s["end_punctuation"] >= 0.6 and s["units_per_line"] >= 3.4 and s["common_words"] > 0.4 and s["pairs"] < 0.6 and _flat(s)),
-    ("fluent", "prose", lambda s: s["common_words"] >= 0.7 and s["symbol_ratio"] < 0.12 and s["units_per_line"] >= 5.6 and s["digit_ratio"] < 0.1 and s["pairs"] < 0.6),
-    ("a_long_line", "prose", lambda s: _readable(s) and s["longest_line"] >= 8.5 and s["fields"] < 3 and s["pairs"] < 0.6),
-    ("bullets", "list", lambda s: s["bullets"] >= 0.6 and s["units_per_line"] < 5.6 and s["end_punctuation"] < 0.6),
-    ("short_items", "list", lambda s: s["n_lines"] >= 2 and s["units_per_line"] < 5.2 and s["longest_line"] < 8 and _flat(s) and s["common_words"] > 0.3),
-    ("pairs", "list", lambda s: s["n_lines"] >= 2 and s["pairs"] >= 0.7 and s["units_per_line"] < 7.5 and _flat(s)),
-    ("bulleted_pairs", "list", lambda s: s["bullets"] >= 0.6 and s["pairs"] >= 0.6),
-    ("tiny_items", "list", lambda s: s["n_lines"] >= 2 and s["units_per_line"] < 3.4 and _flat(s) and s["letters_in_words"] > 0.35),
-    ("inline_items", "list", lambda s: s["inline_bullets"] >= 2),
-    ("pipes", "table", lambda s: s["n_lines"] >= 2 and s["pipes"] >= 0.7 and s["symbol_ratio"] < 0.9),
-    ("tabs", "table", lambda s: s["n_lines"] >= 2 and s["tabs"] >= 0.7 and s["broken"] < 0.2 and s["mojibake"] < 0.2 and s["symbol_ratio"] < 0.9),
-    ("aligned", "table", lambda s: s["n_lines"] >= 2 and s["aligned"] >= 0.6 and s["broken"] < 0.2 and s["mojibake"] < 0.2 and s["symbol_ratio"] < 0.9),
-    ("records", "table", lambda s: s["fields"] >= 3 and s["regular_fields"] >= 0.7 and s["n_lines"] >= 2 and s["broken"] < 0.2 and s["mojibake"] < 0.2 and s["symbol_ratio"] < 0.9),
-    ("wide_records", "table", lambda s: s["fields"] >= 4 and s["regular_fields"] >= 0.6 and s["n_lines"] >= 2 and s["broken"] < 0.2 and s["mojibake"] < 0.2 and s["symbol_ratio"] < 0.9),
-    ("unknown_words", "junk", lambda s: s["common_words"] < 0.35 and s["fields"] < 3),
-    ("few_words", "junk", lambda s: s["letters_in_words"] < 0.3 and s["fields"] < 3 and s["bullets"] < 0.5),
-    ("symbols", "junk", lambda s: s["symbol_ratio"] > 0.4 and s["pipes"] < 0.5 and s["fields"] < 3),
-    ("broken", "junk", lambda s: s["broken"] > 0.15 and s["letters_in_words"] < 0.5),
-    ("mojibake", "junk", lambda s: s["mojibake"] > 0.2),
-    ("markup", "junk", lambda s: s["markup"] > 0.5),
-    ("codes", "junk", lambda s: s["hex"] > 0.5 or s["blob"] > 0.5),
-    ("repeats", "junk", lambda s: s["distinct_grams"] < 0.4 and s["fields"] < 3),
-)
+CHUNK = 2_000_000  # characters laid out at once
+
+Blocks = dict[str, np.ndarray]
+_flat: Callable[[Blocks], np.ndarray] = lambda b: (b["fields"] < 3) & (np.maximum(np.maximum(b["pipes"], b["tabs"]), b["aligned"]) < 0.5)
+_readable: Callable[[Blocks], np.ndarray] = lambda b: (b["common_words"] >= 0.5) & (b["letters_in_words"] > 0.3) & ((b["units_per_item"] >= 2.6) | (b["items"] < 4))
+_clean: Callable[[Blocks], np.ndarray] = lambda b: (b["broken"] < 0.2) & (b["mojibake"] < 0.2) & (b["symbol_ratio"] < 0.9)
+
+# (name, kind it votes for, where it fires)
+FUNCTIONS: tuple[tuple[str, str, Callable[[Blocks], np.ndarray]], ...] = (
+    ("long_lines", "prose", lambda b: _readable(b) & (b["units_per_line"] >= 6.5) & (b["pairs"] < 0.6)),
+    ("long_sentences", "prose", lambda b: _readable(b) & (b["units_per_sentence"] >= 5) & (b["fields"] < 3) & (b["pairs"] < 0.6)),
+    ("full_stops", "prose", lambda b: (b["end_punctuation"] >= 0.6) & (b["units_per_line"] >= 3.4) & (b["common_words"] > 0.4) & (b["pairs"] < 0.6) & _flat(b)),
+    ("fluent", "prose", lambda b: (b["common_words"] >= 0.7) & (b["symbol_ratio"] < 0.12) & (b["units_per_line"] >= 5.6) & (b["digit_ratio"] < 0.1) & (b["pairs"] < 0.6)),
+    ("a_long_line", "prose", lambda b: _readable(b) & (b["longest_line"] >= 8.5) & (b["fields"] < 3) & (b["pairs"] < 0.6)),
+    ("long_clauses", "prose", lambda b: _readable(b) & (b["units_per_item"] >= 3.2) & (b["fields"] < 3)),
+    ("bullets", "list", lambda b: (b["bullets"] >= 0.6) & (b["units_per_line"] < 5.6) & (b["end_punctuation"] < 0.6)),
+    ("short_items", "list", lambda b: (b["n_lines"] >= 2) & (b["units_per_line"] < 5.2) & (b["longest_line"] < 8) & ((b["end_punctuation"] < 0.6) | (b["units_per_line"] < 3)) & _flat(b) & (b["common_words"] > 0.3)),
+    ("pairs", "list", lambda b: (b["n_lines"] >= 2) & (b["pairs"] >= 0.7) & (b["units_per_line"] < 7.5) & _flat(b)),
+    ("bulleted_pairs", "list", lambda b: (b["bullets"] >= 0.6) & (b["pairs"] >= 0.6)),
+    ("tiny_items", "list", lambda b: (b["n_lines"] >= 2) & (b["units_per_line"] < 3.4) & _flat(b) & (b["letters_in_words"] > 0.35)),
+    ("inline_items", "list", lambda b: b["inline_bullets"] >= 2),
+    ("short_clauses", "list", lambda b: (b["items"] >= 4) & (b["units_per_item"] < 2.9) & (b["units_per_item"] >= 0.6) & (b["end_punctuation"] < 0.6) & (b["fields"] < 3) & (b["common_words"] > 0.3)),
+    ("pipes", "table", lambda b: (b["n_lines"] >= 2) & (b["pipes"] >= 0.7) & (b["symbol_ratio"] < 0.9)),
+    ("tabs", "table", lambda b: (b["n_lines"] >= 2) & (b["tabs"] >= 0.7) & _clean(b)),
+    ("aligned", "table", lambda b: (b["n_lines"] >= 2) & (b["aligned"] >= 0.6) & _clean(b)),
+    ("records", "table", lambda b: (b["fields"] >= 3) & (b["regular_fields"] >= 0.7) & (b["n_lines"] >= 2) & _clean(b)),
+    ("wide_records", "table", lambda b: (b["fields"] >= 4) & (b["regular_fields"] >= 0.6) & (b["n_lines"] >= 2) & _clean(b)),
+    ("unknown_words", "junk", lambda b: (b["common_words"] < 0.35) & (b["fields"] < 3)),
+    ("few_words", "junk", lambda b: (b["letters_in_words"] < 0.3) & (b["fields"] < 3) & (b["bullets"] < 0.5)),
+    ("symbols", "junk", lambda b: (b["symbol_ratio"] > 0.4) & (b["pipes"] < 0.5) & (b["bullets"] < 0.5) & (b["fields"] < 3)),
+    ("broken", "junk", lambda b: (b["broken"] > 0.15) & (b["letters_in_words"] < 0.5)),
+    ("mojibake", "junk", lambda b: b["mojibake"] > 0.2),
+    ("markup", "junk", lambda b: b["markup"] > 0.5),
+    ("tags", "junk", lambda b: b["tagged"] > 0.5),
+    ("codes", "junk", lambda b: (b["hex"] > 0.5) | (b["blob"] > 0.5)),
+    ("repeats", "junk", lambda b: (np.minimum(b["distinct_grams"], b["distinct_grams_of_document"]) < 0.4) & (b["fields"] < 3)),
+)
 _VOTES = np.array([KINDS.index(kind) for _, kind, _ in FUNCTIONS])
 
 
-def learn(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """EM over vote patterns: (posterior per pattern and kind, firing rate per function and kind).
+class Learned(NamedTuple):
+    posterior: np.ndarray  # [pattern, kind]
+    fires: np.ndarray  # [function, 2]: how often for its own kind, how often for the others
+    share: np.ndarray  # [kind]: of all blocks
+    damping: np.ndarray  # [kind]: weight of a vote among the functions of that kind
 
-    It starts from the votes themselves and keeps a weak prior that a function
-    fires most for the kind it votes for. Functions of one kind measure related
-    things, so one that stays silent says less than one that fires: silence
-    counts SILENCE of its likelihood, and rates are bounded.
+
+def learn(patterns: np.ndarray, counts: np.ndarray, votes: np.ndarray = _VOTES, n_kinds: int = len(KINDS), rounds: int = 100) -> Learned:
+    """EM over vote patterns.
+
+    A function has one rate for its own kind and one for all others; both are
+    learned, with the weight of one block each way as prior, which fades as
+    blocks are added. A vote weighs by their ratio, silence by nothing.
+    Functions of one kind measure related things: how much their votes agree
+    beyond what the kinds explain is learned too, and damps them as m votes with
+    correlation r count as m / (1 + (m - 1) r). It starts from the votes
+    themselves.
     """
+    m = len(votes)
     if not len(patterns):
-        return np.zeros((0, len(KINDS))), np.zeros((len(FUNCTIONS), len(KINDS)))
-    fires = (patterns[:, None] >> np.arange(len(FUNCTIONS))) & 1
-    own = np.eye(len(KINDS))[_VOTES]
-    votes = fires @ own
-    posterior = (votes + 0.05) / (votes + 0.05).sum(1, keepdims=True)
-    weight = counts[:, None].astype(float)
-    prior_fire, prior_n = 0.02 + 0.48 * own, 0.02 * counts.sum() + 10
+        return Learned(np.zeros((0, n_kinds)), np.full((m, 2), 0.5), np.full(n_kinds, 1 / n_kinds), np.ones(n_kinds))
+    fired = ((patterns[:, None] >> np.arange(m)) & 1).astype(float)
+    own = np.eye(n_kinds)[votes]
+    weight = counts.astype(float)
+    tally = fired @ own / np.maximum(own.sum(0), 1) + 1e-3
+    posterior = tally / tally.sum(1, keepdims=True)
+    damping = 1 / np.maximum(own.sum(0), 1)
     for _ in range(rounds):
-        mass = posterior * weight
-        prior = (mass.sum(0) + 0.01 * counts.sum()) / (mass.sum() + 0.04 * counts.sum())
-        rate = np.clip((fires.T @ mass + prior_fire * prior_n) / (mass.sum(0) + prior_n), 0.002, np.where(own > 0, 0.9, 0.1))
-        log = np.log(prior) + fires @ np.log(rate) + SILENCE * ((1 - fires) @ np.log(1 - rate))
+        mass = posterior * weight[:, None]
+        total = mass.sum(0)
+        share = (total + 1) / (total.sum() + n_kinds)
+        hits = fired.T @ mass  # [function, kind]
+        mine = hits[np.arange(m), votes]
+        rate_own = (mine + 0.5) / (total[votes] + 1)
+        rate_other = (hits.sum(1) - mine + 0.5) / (total.sum() - total[votes] + 1)
+        # Agreement beyond the kinds: correlation of what is left when the expected votes are taken off.
+        left = fired - (posterior[:, votes] * rate_own + (1 - posterior[:, votes]) * rate_other)
+        spread = (left * weight[:, None]).T @ left
+        scale = np.sqrt(np.maximum(np.diag(spread), 1e-9))
+        correlation = np.clip(spread / scale[:, None] / scale[None, :], 0, 1)
+        for k in range(n_kinds):
+            of = np.flatnonzero(votes == k)
+            if len(of) > 1:
+                r = (correlation[np.ix_(of, of)].sum() - len(of)) / (len(of) * (len(of) - 1))
+                damping[k] = 1 / (1 + (len(of) - 1) * r)
+        says = np.log(rate_own / rate_other) * fired
+        log = np.log(share) + says @ own * damping
         log -= log.max(1, keepdims=True)
-        posterior = np.exp(log)
-        posterior /= posterior.sum(1, keepdims=True)
-    return posterior, rate
-
-
-def common_words(df: DataFrame, text: str, top: int = COMMON_WORDS, least: int = MIN_DOCUMENTS, share: float = MIN_SHARE) -> frozenset[str]:
-    """The ``top`` words by number of documents, over all documents; at most ``top`` rows reach the driver.
+        fresh = np.exp(log)
+        fresh /= fresh.sum(1, keepdims=True)
+        done = (np.abs(fresh - posterior).max(1) * weight).sum() < 1e-9 * weight.sum()
+        posterior = fresh
+        if done:
+            break
+    return Learned(posterior, np.stack([rate_own, rate_other], 1), share, damping)
+
+
+def patterns_of(blocks: Blocks) -> np.ndarray:
+    out = np.zeros(len(blocks["doc"]), np.int64)
+    for i, (_, _, fires) in enumerate(FUNCTIONS):
+        out |= fires(blocks).astype(np.int64) << i
+    return out
+
+
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """Neighbouring texts of together about CHUNK characters, and the number of the first."""
+    at, part, size = 0, [], 0
+    for i, text in enumerate(texts):
+        part.append(text or "")
+        size += len(part[-1])
+        if size >= CHUNK:
+            yield at, part
+            at, part, size = i + 1, [], 0
+    if part:
+        yield at, part
+
+
+def common_words(df: DataFrame, text: str, top: int = COMMON_WORDS, least: int = MIN_DOCUMENTS, share: float = MIN_SHARE) -> np.ndarray:
+    """Sorted hashes of the ``top`` words by number of documents, over all documents; at most ``top`` rows reach the driver.
 
     A word must be in ``share`` of the documents that aren't blank, so that
     rare noise doesn't become common as documents are added, in ``least`` of
@@ -212,84 +157,109 @@ def common_words(df: DataFrame, text: str, top: int = COMMON_WORDS, least: int =
     one text don't make its words common.
     """
     least = max(least, math.ceil(share * df.where(F.col(text).rlike(r"\S")).count()))
-    schema = "word string, text_hash bigint"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = batch.column(1).to_pylist()
-            seen = [(w, h) for t, h in zip(batch.column(0).to_pylist(), hashes) if t for w in set(words(t)) if len(w) < 40]
-            for at in range(0, len(seen), 100_000):
-                part = seen[at : at + 100_000]
-                yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in part], pa.string()), "text_hash": pa.array([h for _, h in part], pa.int64())})
+            hashes = batch.column(1).to_numpy(zero_copy_only=False)
+            for at, part in _chunks(batch.column(0).to_pylist()):
+                word, doc = document_words(part)
+                of = hashes[at : at + len(part)][doc]
+                order = np.lexsort((of, word))
+                word, of = word[order], of[order]
+                head = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, int)
+                n = np.diff(np.append(head, len(word)))
+                low, high = (of[head], of[head + n - 1]) if len(word) else (of, of)
+                yield pa.RecordBatch.from_pydict({"word": word[head], "n": n, "low": low, "high": high})
 
     counted = (
         df.select(F.col(text), F.xxhash64(text))
-        .mapInArrow(each, schema)
+        .mapInArrow(each, "word bigint, n bigint, low bigint, high bigint")
         .groupBy("word")
-        .agg(F.count("*").alias("n"), F.min("text_hash").alias("low"), F.max("text_hash").alias("high"))
+        .agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
         .where((F.col("n") >= least) & (F.col("low") != F.col("high")))
     )
-    return frozenset(r.word for r in counted.orderBy(F.desc("n"), "word").limit(top).select("word").collect())
+    return np.sort(np.array([r.word for r in counted.orderBy(F.desc("n"), "word").limit(top).select("word").collect()], np.int64))
 
 
 _STATS = ("n_words", "n_lines", "mean_word_length", "symbol_ratio", "end_punctuation", "common_words")
 
 
-def text_kinds(df: DataFrame, key: str, text: str, top: int = COMMON_WORDS) -> DataFrame:
-    """(key, n_chars, statistics, kind, share per kind): one row per row of the table.
-
-    Null and blank texts have kind null and zero statistics. Shares are the
-    posterior-weighted part of a document's characters that is of each kind;
-    the largest decides, ties in the order of KINDS.
-    """
-    vocabulary = df.sparkSession.sparkContext.broadcast(common_words(df, text, top))
-    measured = T.StructType(
+def _measured(df: DataFrame, key: str, text: str, top: int) -> tuple[DataFrame, T.StructType]:
+    """(key, n_chars, statistics, blocks with characters and pattern), written once."""
+    vocabulary = df.sparkSession.sparkContext.broadcast(common_words(df, text, top))  # at most ``top`` numbers
+    schema = T.StructType(
         [df.schema[key], T.StructField("n_chars", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in _STATS),
          T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("chars", T.LongType()), T.StructField("pattern", T.LongType())])))]
     )
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = vocabulary.value
-        block_type = pa.list_(pa.struct([("chars", pa.int64()), ("pattern", pa.int64())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for value in batch.column(1).to_pylist():
-                value = value or ""
-                blocks = []
-                parts = [b for b in _BLOCKS.split(value) if b.strip()]
-                whole = statistics(value, common, shape=len(parts) < 2)
-                for block in parts:
-                    s = statistics(block, common) if len(parts) > 1 else whole
-                    pattern = sum(1 << i for i, (_, _, fires) in enumerate(FUNCTIONS) if fires(s))
-                    blocks.append({"chars": len(re.sub(r"\s+", "", block)), "pattern": pattern})
-                if whole["distinct_grams"] < 0.4 and whole["fields"] < 3 and len(parts) > 1:
-                    bit = 1 << [n for n, _, _ in FUNCTIONS].index("repeats")
-                    blocks = [b | {"pattern": b["pattern"] | bit} for b in blocks]
-                rows.append((whole, blocks))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0]["n_chars"] for r in rows], pa.int64()),
-                 *(pa.array([float(r[0][n]) for r in rows], pa.float64()) for n in _STATS), pa.array([r[1] for r in rows], block_type)],
-                names=measured.names,
-            )
-
-    docs = materialize(df.select(key, text).mapInArrow(measure, measured))
+            for at, part in _chunks(batch.column(1).to_pylist()):
+                docs, blocks = measure(part, vocabulary.value)
+                struct = pa.StructArray.from_arrays([pa.array(blocks["chars"].astype(np.int64)), pa.array(patterns_of(blocks))], names=["chars", "pattern"])
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(blocks["doc"], minlength=len(part)))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(part)), pa.array([len(t) for t in part], pa.int64()), *(pa.array(docs[n].astype(float)) for n in _STATS), pa.ListArray.from_arrays(pa.array(offsets), struct)],
+                    names=schema.names,
+                )
+
+    return materialize(df.select(key, text).mapInArrow(run, schema)), schema
+
+
+def _learned(docs: DataFrame) -> tuple[np.ndarray, Learned]:
     counts = docs.select(F.explode("blocks").alias("b")).groupBy("b.pattern").count().collect()  # patterns, not documents
     patterns = np.array([r[0] for r in counts], np.int64)
-    posterior, _ = learn(patterns, np.array([r[1] for r in counts], np.int64))
-    of = {int(p): q.tolist() for p, q in zip(patterns, posterior)}
-    table = df.sparkSession.sparkContext.broadcast(of)
-    out = T.StructType([*(f for f in measured.fields if f.name != "blocks"), T.StructField("kind", T.StringType()), *(T.StructField(k, T.DoubleType()) for k in KINDS)])
+    return patterns, learn(patterns, np.array([r[1] for r in counts], np.int64))
+
+
+def text_kinds(df: DataFrame, key: str, text: str, top: int = COMMON_WORDS) -> DataFrame:
+    """(key, n_chars, statistics, kind, share per kind): one row per row of the table.
+
+    Null and blank texts have kind null and zero statistics. Shares are the
+    posterior-weighted part of a document's characters that is of each kind;
+    the largest decides, ties in the order of KINDS.
+    """
+    docs, schema = _measured(df, key, text, top)
+    patterns, learned = _learned(docs)
+    order = np.argsort(patterns)
+    table = df.sparkSession.sparkContext.broadcast((patterns[order], learned.posterior[order]))
+    out = T.StructType([*(f for f in schema.fields if f.name != "blocks"), T.StructField("kind", T.StringType()), *(T.StructField(k, T.DoubleType()) for k in KINDS)])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, posterior = table.value
         for batch in batches:
-            shares, kinds = [], []
-            for blocks in batch.column(batch.num_columns - 1).to_pylist():
-                total = np.zeros(len(KINDS))
-                for b in blocks:
-                    total += b["chars"] * np.array(table.value[b["pattern"]])
-                kinds.append(KINDS[int(total.argmax())] if blocks else None)
-                shares.append(total / total.sum() if total.sum() else np.zeros(len(KINDS)))
-            split = np.array(shares).reshape(-1, len(KINDS))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(kinds, pa.string()), *(pa.array(split[:, i]) for i in range(len(KINDS)))], names=out.names)
+            column = batch.column(batch.num_columns - 1)
+            doc = np.repeat(np.arange(batch.num_rows), column.value_lengths().to_numpy(zero_copy_only=False))
+            blocks = column.flatten()
+            chars = blocks.field("chars").to_numpy(zero_copy_only=False).astype(float)
+            at = np.searchsorted(known, blocks.field("pattern").to_numpy(zero_copy_only=False))
+            total = np.zeros((batch.num_rows, len(KINDS)))
+            np.add.at(total, doc, chars[:, None] * posterior[at] if len(at) else np.zeros((0, len(KINDS))))
+            whole = total.sum(1)
+            share = total / np.where(whole > 0, whole, 1)[:, None]
+            kind = pa.DictionaryArray.from_arrays(pa.array(share.argmax(1), mask=whole == 0), pa.array(KINDS)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], kind, *(pa.array(share[:, i]) for i in range(len(KINDS)))], names=out.names)
 
     return docs.mapInArrow(decide, out)
+
+
+def function_weights(df: DataFrame, key: str, text: str, top: int = COMMON_WORDS) -> DataFrame:
+    """(name, kind, fires_own, fires_other, log_odds, changed): what was learned about each labelling function.
+
+    ``log_odds`` is the weight of its vote. ``changed`` counts the blocks whose
+    kind is another than most votes say, the same in every row.
+    """
+    docs, _ = _measured(df, key, text, top)
+    counts = docs.select(F.explode("blocks").alias("b")).groupBy("b.pattern").count().collect()
+    patterns, n = np.array([r[0] for r in counts], np.int64), np.array([r[1] for r in counts], np.int64)
+    learned = learn(patterns, n)
+    changed = int(n[learned.posterior.argmax(1) != plain_votes(patterns)].sum()) if len(patterns) else 0
+    weight = np.log(learned.fires[:, 0] / learned.fires[:, 1]) * learned.damping[_VOTES]
+    rows = [(name, kind, float(learned.fires[i, 0]), float(learned.fires[i, 1]), float(weight[i]), changed) for i, (name, kind, _) in enumerate(FUNCTIONS)]
+    return df.sparkSession.createDataFrame(rows, "name string, kind string, fires_own double, fires_other double, log_odds double, changed bigint")
+
+
+def plain_votes(patterns: np.ndarray) -> np.ndarray:
+    """The kind with most votes; ties in the order of KINDS."""
+    fired = (patterns[:, None] >> np.arange(len(FUNCTIONS))) & 1
+    return (fired @ np.eye(len(KINDS))[_VOTES]).argmax(1)
