@@ -1,118 +1,139 @@
 """Annotator reliability from pairwise agreement, by the triplet moment method.
 
-Everything here works on the joint counts of pairs of annotators, an array
-n[i, a, j, b] of how often annotator i gave label a and j gave b to one item;
-its size depends on annotators and labels only, not on items.
+Everything here works on joint counts n[i, a, g, b]: how often annotator i gave
+label a and a partner in group g was read as b, on one item. A group is one
+annotator where there are few, else a pool of many; the counts' size depends on
+annotators, groups and labels only, not on items.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
 SHIFTS = (0, 1, -1, 2, -2)
 
 
-def habits(n_labels: int) -> list[np.ndarray]:
-    """Ways to read an annotator's labels: as they are, shifted, or on a reversed scale."""
+def habits(n_labels: int) -> np.ndarray:
+    """Ways to read an annotator's labels [way, label]: as they are, shifted, or on a reversed scale."""
     labels = np.arange(n_labels)
     straight = [np.clip(labels - s, 0, n_labels - 1) for s in SHIFTS]
-    return straight + [h[::-1] for h in straight]
+    return np.array(straight + [h[::-1] for h in straight])
 
 
-def read_by(n: np.ndarray, choice: list[np.ndarray]) -> np.ndarray:
-    """The joint counts after every annotator's labels are read by its habit."""
+def read_labels(n: np.ndarray, way: np.ndarray) -> np.ndarray:
+    """The joint counts after every annotator's own labels are read by its way [annotator, label]."""
     out = np.zeros_like(n)
-    for i, hi in enumerate(choice):
-        rows = np.zeros(n.shape[1:])
-        np.add.at(rows, hi, n[i])
-        out[i] = rows
-    moved = np.zeros_like(out)
-    for j, hj in enumerate(choice):
-        np.add.at(moved[:, :, j, :].transpose(2, 0, 1), hj, out[:, :, j, :].transpose(2, 0, 1))
-    return moved
-
-
-def corrected_agreement(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(agreement beyond chance, items in common, chance) for each pair; 0 where there is no common item."""
-    total = n.sum((1, 3))
-    safe = np.maximum(total, 1)
-    agree = np.einsum("iaja->ij", n) / safe
-    chance = np.einsum("iaj,ija->ij", n.sum(3), n.sum(1)) / safe**2
-    beyond = np.where(total > 0, (agree - chance) / np.maximum(1 - chance, 1e-9), 0.0)
-    np.fill_diagonal(beyond, 0)
-    np.fill_diagonal(total, 0)
-    return beyond, total, chance
+    for i, w in enumerate(way):
+        np.add.at(out[i], w, n[i])
+    return out
 
 
-def solve_triplets(c: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Loadings q with c[i, j] = q[i] * q[j].
+def read_partners(n: np.ndarray, way: np.ndarray) -> np.ndarray:
+    """The joint counts after the partners' labels are read, where groups are annotators."""
+    out = np.zeros_like(n)
+    for g, w in enumerate(way):
+        np.add.at(out[:, :, g, :].transpose(2, 0, 1), w, n[:, :, g, :].transpose(2, 0, 1))
+    return out
+
 
-    For every i, q[i]**2 is the ratio of the sums of c[i, j] * c[i, k] and
-    c[j, k] over all pairs j, k, weighted by the items in common; the sign is
-    that of the agreement with the others. A few rounds put weight on partners
-    that are themselves reliable.
+class Agreement(NamedTuple):
+    beyond: np.ndarray  # [annotator, group]: agreement beyond chance, 0 where there is no common item
+    weight: np.ndarray  # [annotator, group]: labels on common items; 0 for an annotator's own group
+    chance: np.ndarray  # [annotator, group]
+    between: np.ndarray  # [group, group]: agreement beyond chance of the groups' members
+
+
+def _beyond(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    total = n.sum((1, 3))
+    safe = np.maximum(total, 1)
+    agree = np.einsum("iaga->ig", n) / safe
+    chance = np.einsum("iag,iga->ig", n.sum(3), n.sum(1)) / safe**2
+    return np.where(total > 0, (agree - chance) / np.maximum(1 - chance, 1e-9), 0.0), total, chance
+
+
+def corrected_agreement(n: np.ndarray, group: np.ndarray) -> Agreement:
+    """From counts with both sides read; ``group`` is each annotator's own."""
+    beyond, weight, chance = _beyond(n)
+    own = np.arange(len(n)), group
+    beyond[own], weight[own] = 0, 0
+    pooled = np.zeros((n.shape[2], *n.shape[1:]))
+    np.add.at(pooled, group, n)
+    between = _beyond(pooled)[0]
+    np.fill_diagonal(between, 0)
+    return Agreement(beyond, weight, chance, between)
+
+
+def solve_triplets(a: Agreement, group: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Loadings q with beyond[i, g] = q[i] * q[g].
+
+    For every annotator i, q[i]**2 is the ratio of the sums of beyond[i, g] *
+    beyond[i, h] and between[g, h] over all pairs of groups g, h, weighted by the
+    items in common; the sign is that of the agreement with the others. A few
+    rounds put weight on groups that are themselves reliable; ``size`` weighs
+    the members of a group.
     """
-    trust = np.ones(len(c))
-    q = np.zeros(len(c))
+    n_groups = a.weight.shape[1]
+    trust = np.ones(n_groups)
+    q = np.zeros(len(group))
+    members = np.maximum(np.bincount(group, size, n_groups), 1e-12)
     for _ in range(8):
-        for i in range(len(c)):
-            w = weight[i] * trust
-            top = (w * c[i]).sum() ** 2 - ((w * c[i]) ** 2).sum()
-            below = (w[:, None] * w[None, :] * c).sum()
-            q[i] = np.sqrt(min(max(top / below if below > 0 else 0, 0), 0.999)) * (1 if (w * c[i]).sum() > 0 else -1)
-        trust = np.clip(q, 0.02, 1) ** 2
+        w = a.weight * trust
+        seen = w * a.beyond
+        top = seen.sum(1) ** 2 - (seen**2).sum(1)
+        below = np.einsum("ig,gh,ih->i", w, a.between, w, optimize=True)
+        square = np.divide(top, below, out=np.zeros_like(top), where=below > 0)
+        q = np.sqrt(np.clip(square, 0, 0.999)) * np.where(seen.sum(1) > 0, 1, -1)
+        trust = np.bincount(group, size * np.clip(q, 0.02, 1) ** 2, n_groups) / members
     return q
 
 
-def choose_habits(n: np.ndarray, rounds: int = 5) -> tuple[list[np.ndarray], np.ndarray]:
-    """The reading of each annotator that agrees best with the reliable others."""
+def choose_ways(n: np.ndarray, group: np.ndarray, q: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The way of each annotator [annotator, label] that agrees best with the reliable others, whose labels are read.
+
+    Another way than straight must gain more than chance would by the number of
+    the annotator's labels, so that many annotators with few labels don't drift
+    off together.
+    """
     ways = habits(n.shape[1])
-    choice = [ways[0]] * len(n)
-    q = np.zeros(len(n))
-    for _ in range(rounds):
-        read = read_by(n, choice)
-        c, total, _ = corrected_agreement(read)
-        q = np.clip(solve_triplets(c, total), 0.02, 1)
-        fresh = []
-        for i in range(len(n)):
-            others = n[i].copy()
-            moved = np.zeros_like(others)
-            for j, hj in enumerate(choice):
-                np.add.at(moved[:, j, :].T, hj, others[:, j, :].T)
-            pooled = (moved * (q**2)[None, :, None] * (np.arange(len(n)) != i)[None, :, None]).sum(1)
-            scores = []
-            for way in ways:
-                t = np.zeros_like(pooled)
-                np.add.at(t, way, pooled)
-                s = max(t.sum(), 1e-9)
-                chance = (t.sum(1) * t.sum(0)).sum() / s**2
-                scores.append((np.trace(t) / s - chance) / max(1 - chance, 1e-9))
-            best = int(np.argmax(np.array(scores) - 1e-3 * (np.arange(len(ways)) > 0)))
-            fresh.append(ways[best])
-        same = all((a == b).all() for a, b in zip(fresh, choice))
-        choice = fresh
-        if same:
-            break
-    return choice, q
-
-
-def profiles(n_read: np.ndarray, q: np.ndarray, chance: float) -> np.ndarray:
+    trust = np.bincount(group, size * np.clip(q, 0.02, 1) ** 2, n.shape[2]) / np.maximum(np.bincount(group, size, n.shape[2]), 1e-12)
+    weight = np.repeat(trust[None, :], len(n), 0)
+    if n.shape[2] == len(n):
+        weight[np.arange(len(n)), group] = 0
+    pooled = np.einsum("iagb,ig->iab", n, weight)
+    scores = []
+    for way in ways:
+        t = np.zeros_like(pooled)
+        np.add.at(t.transpose(1, 0, 2), way, pooled.transpose(1, 0, 2))
+        s = np.maximum(t.sum((1, 2)), 1e-9)
+        chance = (t.sum(2) * t.sum(1)).sum(1) / s**2
+        scores.append((np.einsum("iaa->i", t) / s - chance) / np.maximum(1 - chance, 1e-9))
+    chance_gain = 1e-3 + 1 / np.sqrt(np.maximum(size, 1))
+    best = (np.array(scores) - chance_gain[None, :] * (np.arange(len(ways)) > 0)[:, None]).argmax(0)
+    return ways[best]
+
+
+def profiles(n_read: np.ndarray, group: np.ndarray, q: np.ndarray, chance: float, size: np.ndarray) -> np.ndarray:
     """P(read label | true label) per annotator: [annotator, read, true].
 
     The accuracy on the diagonal comes from the triplets. The distance of the
-    other labels follows the differences to the other annotators, less the part
-    of the variance that triplets of variances assign to those others.
+    other labels follows the differences to the others, less the part of the
+    variance that triplets of variances assign to those.
     """
-    m, k = len(n_read), n_read.shape[1]
+    m, k, n_groups = len(n_read), n_read.shape[1], n_read.shape[2]
     gap = np.arange(k)[:, None] - np.arange(k)[None, :]
-    total = np.maximum(n_read.sum((1, 3)), 1e-9)
-    mean = np.einsum("iajb,ab->ij", n_read, gap.astype(float)) / total
-    var = np.einsum("iajb,ab->ij", n_read, gap.astype(float) ** 2) / total - mean**2
-    w = n_read.sum((1, 3)) * np.clip(q, 0.02, 1)[None, :] ** 2
-    np.fill_diagonal(w, 0)
+    count = n_read.sum((1, 3))
+    total = np.maximum(count, 1e-9)
+    mean = np.einsum("iagb,ab->ig", n_read, gap.astype(float)) / total
+    var = np.einsum("iagb,ab->ig", n_read, gap.astype(float) ** 2) / total - mean**2
+    members = np.maximum(np.bincount(group, size, n_groups), 1e-12)
+    w = count * (np.bincount(group, size * np.clip(q, 0.02, 1) ** 2, n_groups) / members)[None, :]
+    w[np.arange(m), group] = 0
     s2 = np.full(m, 1.0)
-    for _ in range(20):  # var[i, j] = s2[i] + s2[j]
-        s2 = np.maximum(((var - s2[None, :]) * w).sum(1) / np.maximum(w.sum(1), 1e-9), 0.05)
+    for _ in range(20):  # var[i, g] = s2[i] + s2[g]
+        of_group = np.bincount(group, size * s2, n_groups) / members
+        s2 = np.maximum(((var - of_group[None, :]) * w).sum(1) / np.maximum(w.sum(1), 1e-9), 0.05)
     accuracy = np.clip(q + (1 - q) * chance, 0.02, 0.98)
     out = np.zeros((m, k, k))
     d = np.abs(gap)
@@ -121,7 +142,7 @@ def profiles(n_read: np.ndarray, q: np.ndarray, chance: float) -> np.ndarray:
         for _ in range(30):  # geometric tail with that variance
             r = (low + high) / 2
             tail = r ** (np.arange(1, k) - 1)
-            v = (1 - accuracy[i]) * (tail * np.arange(1, k) ** 2).sum() / tail.sum()
+            v = (1 - accuracy[i]) * (tail * np.arange(1, k) ** 2).sum() / max(tail.sum(), 1e-12)
             low, high = (r, high) if v < s2[i] else (low, r)
         p = np.where(d == 0, accuracy[i], (1 - accuracy[i]) / 2 * r ** (np.maximum(d, 1) - 1.0) * (1 - r))
         p = p / p.sum(0, keepdims=True)
