@@ -8,10 +8,10 @@ import unicodedata
 from typing import NamedTuple
 
 _FENCE = re.compile(r"```[A-Za-z]*")
-_KEY = re.compile(r'[{,]\s*"?([^"{}:,\s]{1,40})"\s*:\s*')
+_KEY = re.compile(r'[{,]\s*"?([^"{}:,\s]+)"\s*:\s*')
 _FIELD = re.compile(r'"(src|tr)"\s*:\s*')
 _TEXT = re.compile(r'"((?:[^"\\]|\\.)*)("?)', re.S)
-_MARKUP = re.compile(r"<[^<>]{0,40}>|\{\\[^{}]{0,40}\}")
+_MARKUP = re.compile(r"<[^<>]*>|\{\\[^{}]*\}")
 
 
 class Entry(NamedTuple):
@@ -107,25 +107,42 @@ def _scan(body: str, said: list[str]) -> tuple[list[Entry], list[str], bool]:
     return entries, said, bool(re.search(r'[,"]\s*\w*$', body[at:].strip("} \n\r\t")) and body[at:].strip("} \n\r\t").rstrip(",").strip())
 
 
+_NOT_PLAIN = re.compile(r"[\W_]+")
+_PLAIN = re.compile(r"[^\W_]")
+
+
 def plain(text: str | None) -> str:
     """Letters and digits only, without case, width or markup."""
-    return "".join(ch for ch in unicodedata.normalize("NFKC", _MARKUP.sub("", text or "")).casefold() if ch.isalnum())
+    text = text or ""
+    if "<" in text or "{" in text:
+        text = _MARKUP.sub("", text)
+    return _NOT_PLAIN.sub("", (text if text.isascii() else unicodedata.normalize("NFKC", text)).casefold())
 
 
 def blank(text: str | None) -> bool:
-    return not any(ch.isalnum() or unicodedata.category(ch)[0] in "SP" for ch in text or "")
+    return not text or not (_PLAIN.search(text) or any(unicodedata.category(ch)[0] in "SP" for ch in text))
 
 
 _CLAUSE = re.compile(r"[\n\r.,;:!?。，、；：！？…—–()\[\]{}\"“”«»|]+")
 _DIGITS = re.compile(r"\d+")
+OPENING = 2  # clauses of a text that may tell what kind of reply it is
+TELLING = 9  # letters of a clause that tells something; ideographs and syllables count twice
 
 
-def clauses(text: str) -> list[str]:
-    """Clauses long enough to tell something, digits levelled."""
-    out = []
-    for part in _CLAUSE.split(unicodedata.normalize("NFKC", _MARKUP.sub("", text)).casefold()):
-        part = _DIGITS.sub("#", " ".join(part.split()))
-        wide = sum(ord(ch) > 0x2E7F for ch in part)
-        if len(part) + wide >= 9:
+def openings(text: str) -> list[str]:
+    """The first clauses that tell something, digits levelled; of a text without any, the whole of it."""
+    text = _MARKUP.sub("", text) if "<" in text or "{" in text else text
+    out: list[str] = []
+    at = 0
+    while len(out) < OPENING and at <= len(text):
+        cut = _CLAUSE.search(text, at)
+        part = text[at : cut.start() if cut else len(text)]
+        at = cut.end() if cut else len(text) + 1
+        part = _level(part)
+        if len(part) + sum(ch > "\u2e7f" for ch in part) >= TELLING:
             out.append(part)
-    return out
+    return out or [whole for whole in (_level(text),) if _PLAIN.search(whole)]
+
+
+def _level(part: str) -> str:
+    return _DIGITS.sub("#", " ".join((part if part.isascii() else unicodedata.normalize("NFKC", part)).casefold().split()))

@@ -1,74 +1,96 @@
-"""Language of short texts: by script, and among Latin scripts by naive Bayes."""
+"""Language of short texts, learned from labelled ones."""
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
+from functools import lru_cache
 
-# Frequent function words, the prior of the classifier.
-FUNCTION_WORDS = {
-    "en": "the of and a to in is you that it he was for on are with as his they be at this have from or had by not but what all were we when your can there use an each which do if will about",
-    "fr": "le la les de des du un une et est que qui dans pour pas sur avec ce il elle nous vous je tu ne se au aux par plus mais ou son sa ses leur cette comme être avoir très",
-    "de": "der die das und ist nicht ein eine zu den mit sich auf für von dem des im ich du er sie es wir ihr hat war aber wie noch nach bei einer um am sind auch dass werden haben",
-    "es": "el la los las de del un una y es que en por para no con se su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde",
-}
-NAMES = {"english": "en", "french": "fr", "german": "de", "spanish": "es", "russian": "ru", "japanese": "ja", "korean": "ko", "chinese": "zh"}
-_LATIN = re.compile(r"[A-Za-zÀ-ɏ]+")
+# Names of languages as instructions spell them.
+NAMES = {
+    "english": "en", "french": "fr", "german": "de", "spanish": "es", "russian": "ru", "japanese": "ja", "korean": "ko", "chinese": "zh", "italian": "it", "portuguese": "pt", "dutch": "nl", "polish": "pl",
+    "turkish": "tr", "arabic": "ar", "hebrew": "he", "greek": "el", "hindi": "hi", "thai": "th", "vietnamese": "vi", "ukrainian": "uk", "czech": "cs", "swedish": "sv", "danish": "da", "finnish": "fi", "hungarian": "hu",
+}
+LEAST_ANSWERS = 12  # labelled texts a language needs to be told
+MARGIN = 3.0  # log-odds by which another language must lead
+STRANGE = 0.35  # share of unknown letter triples from which a text is in none of the known languages, at least
+_WORD = re.compile(r"[^\W\d_]+")
+_DENSE = ("CJK", "HIRAGANA", "KATAKANA", "HANGUL")
 
 
-def _grams(text: str) -> list[str]:
+@lru_cache(maxsize=1 << 16)
+def script(ch: str) -> str:
+    return unicodedata.name(ch, "?").split()[0]
+
+
+def grams(text: str) -> list[str]:
+    """Words and their letter triples; signs and pairs where a sign is a syllable or a word; the scripts."""
     out = []
-    for word in _LATIN.findall(text.lower()):
-        out.append(word)
-        padded = f" {word} "
-        out += [padded[i : i + 3] for i in range(len(padded) - 2)]
+    for word in _WORD.findall(text.lower()):
+        kind = script(word[0])
+        out.append(f"\0{kind}")
+        if kind in _DENSE:
+            out += word
+            out += [word[i : i + 2] for i in range(len(word) - 1)]
+        else:
+            out.append(word)
+            padded = f" {word} "
+            out += [padded[i : i + 3] for i in range(len(padded) - 2)]
     return out
 
 
 class Languages:
-    """Fitted on (text, language) pairs; the function words count as a first sample."""
+    """Fitted on (text, language) pairs, some of whose labels may be wrong.
+
+    A language with fewer than LEAST_ANSWERS texts isn't known: texts asked for
+    in it are not judged. A text of a known target is judged to be in another
+    language if another known one leads by MARGIN, or if most of its letter
+    triples were never seen in texts of the target, more than in nearly all
+    held-out ones.
+    """
 
     def __init__(self, samples: list[tuple[str, str]]) -> None:
-        counts: dict[str, Counter] = defaultdict(Counter)
-        for code, words in FUNCTION_WORDS.items():
-            for gram in _grams(words):
-                counts[code][gram] += 3
+        texts: dict[str, list[str]] = defaultdict(list)
         for text, code in samples:
-            if code in counts:
-                counts[code].update(_grams(text))
-        kept = {g for c in counts.values() for g, n in c.items() if n > 1}
-        self.codes = sorted(counts)
-        self.weights = {}
-        totals = {c: sum(n for g, n in counts[c].items() if g in kept) + 0.5 * len(kept) for c in self.codes}
-        for g in kept:
-            self.weights[g] = [math.log((counts[c][g] + 0.5) / totals[c]) for c in self.codes]
+            texts[code].append(text)
+        known = {c: t for c, t in texts.items() if len(t) >= LEAST_ANSWERS}
+        self.codes = sorted(known)
+        counts = {c: Counter(g for t in known[c] for g in grams(t)) for c in self.codes}
+        kept = {g for n in counts.values() for g, k in n.items() if k > 1}
+        totals = {c: sum(k for g, k in counts[c].items() if g in kept) + 0.5 * len(kept) for c in self.codes}
+        self.weights = {g: [math.log((counts[c][g] + 0.5) / totals[c]) for c in self.codes] for g in kept}
+        # What is met in a twentieth of the usual rate may come from wrongly labelled texts.
+        self.met = {c: {g for g, k in counts[c].items() if k > 1 + 0.0002 * len(known[c])} for c in self.codes}
+        self.strange = {c: self._limit(c, known[c]) for c in self.codes}
 
-    def of(self, text: str, margin: float = 3.0) -> str | None:
-        """The language, or null if the text is too short or too even to tell."""
-        n = Counter()
-        for ch in text:
-            o = ord(ch)
-            if 0xAC00 <= o <= 0xD7A3:
-                n["ko"] += 1
-            elif 0x3040 <= o <= 0x30FF:
-                n["kana"] += 1
-            elif 0x4E00 <= o <= 0x9FFF:
-                n["han"] += 1
-            elif 0x400 <= o <= 0x4FF:
-                n["ru"] += 1
-            elif ch.isalpha() and o < 0x250:
-                n["latin"] += 1
-        east = n["kana"] + n["han"]
-        if n["ko"] + n["ru"] + 2 * east + n["latin"] < 4:
+    def _limit(self, code: str, texts: list[str]) -> float:
+        """Share of unknown triples that almost no held-out text of the language has."""
+        seen = Counter(g for t in texts[::2] for g in set(grams(t)))
+        shares = sorted(self._unknown(t, {g for g in seen}) for t in texts[1::2])
+        return max(STRANGE, (shares[int(0.98 * (len(shares) - 1))] if shares else 1.0) + 0.1)
+
+    @staticmethod
+    def _unknown(text: str, met: set[str]) -> float:
+        found = [g for g in grams(text) if g[0] != "\0"]
+        return sum(g not in met for g in found) / len(found) if len(found) >= 8 else 0.0
+
+    def other(self, text: str, target: str) -> bool | None:
+        """Whether a text is in another language than the target; null if that can't be told."""
+        if target not in self.strange:
+            return None
+        found = grams(text)
+        if sum(g[0] != "\0" for g in found) < 4:
             return None
-        if max(n["ko"], n["ru"], 2 * east) > n["latin"] / 2:
-            if 2 * east >= max(n["ko"], n["ru"]):
-                return "ja" if n["kana"] * 8 > east else "zh"
-            return "ko" if n["ko"] > n["ru"] else "ru"
         scores = [0.0] * len(self.codes)
-        for g in _grams(text):
+        for g in found:
             for i, w in enumerate(self.weights.get(g, ())):
                 scores[i] += w
-        best, second = sorted(range(len(scores)), key=lambda i: -scores[i])[:2]
-        return self.codes[best] if scores[best] - scores[second] >= margin else None
+        at = self.codes.index(target)
+        lead = max((s for i, s in enumerate(scores) if i != at), default=scores[at]) - scores[at]
+        if lead >= MARGIN:
+            return True
+        if self._unknown(text, self.met[target]) > self.strange[target]:
+            return True
+        return False if lead <= -MARGIN or len(self.codes) == 1 else None
