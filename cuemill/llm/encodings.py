@@ -74,7 +74,7 @@ def script(word: str) -> str | None:
             kinds.add("latin" if name.startswith("LATIN") else "cyrillic" if name.startswith("CYRILLIC") else "other")
         elif "가" <= ch <= "힣":
             kinds.add("hangul")
-        elif category in ("Cc", "Co", "Cn", "Cs") or ch == "�":
+        elif category in ("Cc", "Co", "Cn", "Cs", "Zs") or ch == "�":
             return None
         elif category[0] in "SN" or category == "Lo":
             kinds.add("sign")
@@ -83,13 +83,16 @@ def script(word: str) -> str | None:
     return "sign" if not kinds else None
 
 
-def forms(word: str, kind: str, pairs: bool = False) -> dict[str, str]:
+def forms(word: str, kind: str, pairs: bool = False, deep: bool = False) -> dict[str, str]:
     """{wrong form: chain} of a clean word; the first chain that makes a form names it.
 
-    Of a pair of characters only UTF-8 read by twos is asked, where the forms of
-    single characters straddle.
+    Every right encoding of the script is read by every wrong one. ``deep`` adds
+    the forms of words that were read wrongly twice, by any two of TWICE, and
+    those of two-byte units read byte by byte. Of a pair of characters only
+    UTF-8 read by twos is asked, where the forms of single characters straddle.
     """
     out: dict[str, str] = {}
+    again: list[tuple[str, str]] = []
     for right in ("utf-8",) if pairs else _WRITTEN[kind]:
         data = write_as(word, right)
         if data is None:
@@ -101,18 +104,57 @@ def forms(word: str, kind: str, pairs: bool = False) -> dict[str, str]:
             if form == word or (wrong == "utf-8" and "�" not in form):
                 continue  # bytes of another encoding that are valid UTF-8 by chance are not met
             out.setdefault(form, f"{right}>{wrong}")
-            if right == "utf-8" and wrong in TWICE:
-                out.setdefault(read_as(form.encode("utf-8"), wrong), f"{right}>{wrong}>{right}>{wrong}")
+            if deep and wrong in TWICE and "�" not in form:
+                again.append((form, f"{right}>{wrong}"))
+    for form, chain in again:
+        data = form.encode("utf-8")
+        for wrong in TWICE:
+            out.setdefault(read_as(data, wrong), f"{chain}>utf-8>{wrong}")
+    return out | wide_forms(word) if deep else out
+
+
+def wide_forms(word: str) -> dict[str, str]:
+    """{form: chain} of a word whose two-byte units were read byte by byte."""
+    form = word.encode("utf-16-le", "replace").decode("latin-1").strip("\0")
+    return {form: "utf-16>latin-1"} if form != word else {}
+
+
+def byte_pairs(text: str) -> dict[str, str]:
+    """{pair of ASCII characters: chain} of an ideograph or syllable whose escapes were taken for text."""
+    out = {}
+    for right in ("iso2022_jp", "iso2022_kr"):
+        try:
+            data = text.encode(right)
+        except UnicodeEncodeError:
+            continue
+        inner = re.search(rb"(?:\x1b\$[@B]|\x0e)(..)(?:\x1b\([BJ]|\x0f|$)", data)
+        if inner:
+            out.setdefault(inner.group(1).decode("ascii"), f"{right}>ascii")
     return out
 
 
-def residues() -> list[str]:
-    """What the replacement character itself turns into; texts with it have lost bytes."""
-    found = {"�"}
+@lru_cache(maxsize=1)
+def residues() -> dict[str, str]:
+    """{what the replacement character itself turns into: chain}, and single signs that no text has; texts with them have lost bytes."""
+    found = {"�": "lost"}
     for codec in SINGLE:
-        found.add(read_as("�".encode(), codec))
+        form = read_as("�".encode(), codec)
+        if len(form) > 1:
+            found.setdefault(form, f"lost>utf-8>{codec}")
     for codec in DOUBLE:
         form = read_as("��".encode(), codec)
-        found |= {form, *(part for part in form.split("�") if len(part) > 1)}
-    found.add("斤拷")
-    return sorted(f for f in found if f == "�" or len(f) > 1)
+        for part in {form, *form.split("�")}:
+            if len(part) > 1 and "�" not in part:
+                found.setdefault(part[:3], f"lost>utf-8>{codec}")
+        for byte in range(0x40, 0xFF):  # the last byte of the one taken together with what stands behind it
+            try:
+                form = (b"\xef\xbf\xbd" + bytes([byte])).decode(codec)
+            except UnicodeDecodeError:
+                continue
+            if len(form) == 2:
+                found.setdefault(form, f"lost>utf-8>{codec}")
+    found.setdefault("斤拷", "lost>utf-8>gb18030")
+    for c in range(0x80, 0xA0):
+        if c != 0x85:
+            found.setdefault(chr(c), "lost>latin-1")
+    return found
