@@ -16,12 +16,12 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,25 +32,55 @@ _WORD = r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+"
 _LONE = r"(?:^|[\n>])([^\x00-\x7f\s] [A-Za-z]+)"  # a sign before a word is judged with it
 _CONTROL = r"[\x00-\x08\x0e-\x1f]"
 _BYTES = r"[^ \t\n\r]*[\x00-\x08\x0e-\x1f][^ \t\n\r]*"  # single bytes of wider units, or escapes
-_STRANGE = r"[^\x00-\x7f]|[\x00-\x08\x0e-\x1f]"
+_STRANGE = r"[^\t-\r\x20-\x7f]"  # controls and all that isn't ASCII
 _WIDTHS = {"c1": 1, "c2": 2, "c3": 3, "b3": 3}
-_ENDS = (" ", ". ", ", ", "! ", "? ", "\n")  # what may stand behind a word
 _SLOTS = 1 << 20
 _LOST = {w for form in residues() for w in (len(form),)}
 _LOST_HEADS = {form[0] for form in residues()}
 
 
 def _words(text: Column) -> Column:
-    """Words of a text, those of ASCII letters included, and runs with controls."""
+    """Words of a text that aren't plain ASCII, and runs with controls."""
     lone = F.regexp_extract_all(text, F.lit(_LONE), F.lit(1))
-    found = F.concat(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.when(text.rlike(_STRANGE), lone).otherwise(F.array().cast("array<string>")))
+    found = F.filter(F.concat(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lone), lambda w: w.rlike(r"[^\x00-\x7f]"))
     raw = F.transform(F.regexp_extract_all(text, F.lit(_BYTES), F.lit(0)), lambda w: F.regexp_replace(w, r"^\x00+|\x00+\z", ""))
     return F.array_distinct(F.when(text.rlike(_CONTROL), F.concat(found, F.filter(raw, lambda w: w.rlike(_CONTROL)))).otherwise(found))
 
 
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, kind, script, n): neighbouring ASCII characters of all texts, at most 128 * 128 rows a task."""
+    sums = np.zeros(1 << 14, np.int64)
+    for batch in batches:
+        texts = batch.column(0).drop_null()
+        if not len(texts):
+            continue
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        data = np.frombuffer("".join(texts.to_pylist()).encode("utf-8", "replace"), np.uint8).astype(np.int32)
+        inner = np.ones(len(data), bool)
+        inner[ends[(ends > 0) & (ends <= len(data))] - 1] = False  # no pair over the end of a text
+        good = inner[:-1] & (data[:-1] < 128) & (data[1:] < 128)
+        sums += np.bincount(data[:-1][good] << 7 | data[1:][good], minlength=1 << 14)
+    at = np.flatnonzero(sums)
+    pairs = [chr(i >> 7) + chr(i & 127) for i in at.tolist()]
+    yield pa.RecordBatch.from_pydict({"unit": pa.array(pairs, pa.string()), "kind": pa.array(["p"] * len(at), pa.string()), "script": pa.array(["latin"] * len(at), pa.string()), "n": sums[at]})
+
+
+def _bounded(rows: Iterator[tuple], place: int, chars: int = 1_000_000) -> Iterator[list[tuple]]:
+    """Lists of rows whose texts at ``place`` have together about ``chars`` characters at most."""
+    part, size = [], 0
+    for row in rows:
+        part.append(row)
+        size += len(row[place]) + 50
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _chunked(rows: Iterator[tuple], fields: dict[str, pa.DataType], size: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Record batches of bounded size, so that a worker never holds all rows a batch expands to."""
-    while part := list(itertools.islice(rows, size)):
+    for part in _bounded(rows, list(fields.values()).index(pa.string()), 100 * size):
         yield pa.RecordBatch.from_pydict({name: pa.array([r[i] for r in part], kind) for i, (name, kind) in enumerate(fields.items())})
 
 
@@ -67,13 +97,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if writing is None:
                 continue
             if word.isascii():
-                if word.isprintable():
-                    add(word, "a", writing, n)
-                    for text in (f" {word}", *(word[-1] + end for end in _ENDS), *(word[-2:] + end for end in _ENDS)):
-                        for pair in {text[i : i + 2] for i in range(len(text) - 1)}:
-                            add(pair, "p", writing, n)
-                    for i in range(len(word) - 1):
-                        add(word[i : i + 2], "p", writing, n)
+                add(word, "a", writing, n)
                 continue
             if writing in ("cjk", "hangul"):
                 for ch in word:
@@ -222,15 +246,21 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.string())], names=["word", "chain", "restored"])
 
 
-def garbled_words(words: DataFrame, restore: bool) -> tuple[DataFrame, DataFrame | None]:
+def garbled_words(words: DataFrame, pairs: DataFrame, plain: DataFrame, restore: bool) -> tuple[DataFrame, DataFrame | None]:
     """(word, chain, restored) of the garbled ones among the counted words (wid, word, n); wid tells words apart.
 
+    ``pairs`` has the counts of neighbouring ASCII characters as units,
+    ``plain`` the counted words of ASCII only; they are looked at only if some
+    word has controls, as theirs are no other forms.
+
     The second table, made with ``restore``, has whole words that match too but
     are too short or too frequent to tell alone; they count where their text
     has the same chain.
     """
     spark = words.sparkSession
-    strange = words.where(F.col("word").rlike(_STRANGE))
+    strange = words
+    if words.where(F.col("word").rlike(_CONTROL)).isEmpty():
+        plain = plain.limit(0)
     slots = strange.select("word").mapInArrow(_seen_slots, "slot int").distinct().toArrow()["slot"].to_numpy()  # at most _SLOTS numbers
     seen = np.zeros(_SLOTS, bool)
     seen[slots] = True
@@ -240,7 +270,7 @@ def garbled_words(words: DataFrame, restore: bool) -> tuple[DataFrame, DataFrame
         """(key, chain, unit, n) for every chain; a key is the kind of piece and the form."""
         known = np.unpackbits(met.value)[:_SLOTS].astype(bool)
         rows = ((piece, form, chain, unit, n) for b in batches for unit, kind, writing, n in zip(*(c.to_pylist() for c in b.columns)) for piece, form, chain in _keyed(unit, kind, writing) if form)
-        while part := list(itertools.islice(rows, 20_000)):
+        for part in _bounded(rows, 1):
             texts = [p[1] for p in part if p[0] != "e2"]
             keep = np.ones(len(part), bool)
             if texts:
@@ -251,7 +281,9 @@ def garbled_words(words: DataFrame, restore: bool) -> tuple[DataFrame, DataFrame
             columns = ([p[0] + p[1] for p in part], *([p[i] for p in part] for i in (2, 3, 4)))
             yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(("key", "chain", "unit", "n"), columns, (pa.string(), pa.string(), pa.string(), pa.int64()))})
 
-    units = words.select("word", "n").mapInArrow(_units, "unit string, kind string, script string, n bigint").groupBy("unit", "kind").agg(F.sum("n").alias("n"), F.max("script").alias("script"))
+    schema = "unit string, kind string, script string, n bigint"
+    parts_of = words.select("word", "n").unionByName(plain.select("word", "n")).mapInArrow(_units, schema).unionByName(pairs)
+    units = parts_of.groupBy("unit", "kind").agg(F.sum("n").alias("n"), F.max("script").alias("script"))
     table = units.select("unit", "kind", "script", "n").mapInArrow(make_forms, "key string, chain string, unit string, n bigint")
     lost = spark.createDataFrame([("l_" + form, chain, None, 0) for form, chain in residues().items()], "key string, chain string, unit string, n bigint")
     asked = strange.select("word", "n").mapInArrow(_asked, "key string, n_piece bigint").groupBy("key").agg(F.sum("n_piece").alias("n_piece"))
@@ -317,12 +349,14 @@ def find_garbled(df: DataFrame, keys: list[str], text: str, restore: bool = True
     columns are left out.
     """
     texts = df.select(*keys, F.col(text).alias("__text"))
-    counted = texts.select(F.explode(_words(F.col("__text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    suspects = texts.where(F.col("__text").rlike(_STRANGE))
+    each = suspects.select(*keys, *["__text"] * restore, F.explode(_words(F.col("__text"))).alias("word"))
+    counted = each.groupBy("word").agg(F.count("*").alias("n"))
     words = materialize(counted.withColumn("wid", F.monotonically_increasing_id()))
-    bad, weak = garbled_words(words, restore)
+    plain = texts.where(~F.col("__text").rlike(_STRANGE)).select(F.explode(F.split("__text", "[ \t\r\n]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    pairs = texts.select("__text").mapInArrow(_pair_counts, "unit string, kind string, script string, n bigint")
+    bad, weak = garbled_words(words, pairs, plain, restore)
     bad = materialize(bad)
-    suspects = texts.where(F.col("__text").rlike(_STRANGE))
-    each = suspects.select(*keys, *["__text"] * restore, F.explode(F.filter(_words(F.col("__text")), lambda w: w.rlike(_STRANGE))).alias("word"))
     chains = F.array_sort(F.collect_set("chain")).alias("chains")
     if not restore:
         return each.join(bad, "word").groupBy(*keys).agg(chains).select(*keys, "chains", F.lit(None).cast("string").alias("restored"))
