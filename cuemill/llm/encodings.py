@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 SINGLE = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp1250", "koi8-r", "cp437", "cp850", "cp866", "iso8859-15")
@@ -83,33 +84,46 @@ def script(word: str) -> str | None:
     return "sign" if not kinds else None
 
 
-def forms(word: str, kind: str, pairs: bool = False, deep: bool = False) -> dict[str, str]:
+@lru_cache(maxsize=1 << 18)
+def _start(char: str, *chain: str) -> str | None:
+    """What a form by a chain of right and single-byte wrong encodings begins with, after the ASCII before ``char``; null if it can't be written."""
+    for right, wrong in zip(chain[::2], chain[1::2]):
+        data = write_as(char, right)
+        if data is None:
+            return None
+        char = read_as(data, wrong)
+    return char
+
+
+def forms(word: str, kind: str, pairs: bool = False, deep: bool = False, met: Callable[[str], bool] | None = None) -> dict[str, str]:
     """{wrong form: chain} of a clean word; the first chain that makes a form names it.
 
+    ``met`` tells whether a form with this beginning need be made at all.
+
     Every right encoding of the script is read by every wrong one. ``deep`` adds
     the forms of words that were read wrongly twice, by any two of TWICE, and
     those of two-byte units read byte by byte. Of a pair of characters only
     UTF-8 read by twos is asked, where the forms of single characters straddle.
     """
     out: dict[str, str] = {}
-    again: list[tuple[str, str]] = []
+    again: list[tuple[str, str, tuple[str, str]]] = []
+    first = next((ch for ch in word if not ch.isascii()), None) if met else None
+    begins = lambda *chain: first is None or ((start := _start(first, *chain)) is not None and met(start))
     for right in ("utf-8",) if pairs else _WRITTEN[kind]:
         data = write_as(word, right)
         if data is None:
             continue
         for wrong in DOUBLE if pairs else (*SINGLE, *DOUBLE, "utf-8"):
-            if wrong == right:
+            if wrong == right or (wrong in SINGLE and not (deep and wrong in TWICE) and not begins(right, wrong)):
                 continue
             form = read_as(data, wrong)
             if form == word or (wrong == "utf-8" and "�" not in form):
                 continue  # bytes of another encoding that are valid UTF-8 by chance are not met
             out.setdefault(form, f"{right}>{wrong}")
             if deep and wrong in TWICE and "�" not in form:
-                again.append((form, f"{right}>{wrong}"))
-    for form, chain in again:
-        data = form.encode("utf-8")
-        for wrong in TWICE:
-            out.setdefault(read_as(data, wrong), f"{chain}>utf-8>{wrong}")
+                again += [(form, second, (right, wrong)) for second in TWICE if begins(right, wrong, "utf-8", second)]
+    for form, second, (right, wrong) in again:
+        out.setdefault(read_as(form.encode("utf-8"), second), f"{right}>{wrong}>utf-8>{second}")
     return out | wide_forms(word) if deep else out
 
 

@@ -17,7 +17,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from cuemill.llm.encodings import DOUBLE, RUN, byte_pairs, forms, residues, script, wide_forms
 from cuemill.session import materialize
 
-_WORD = r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+"
+_WORD = r"(?<![A-Za-z])[A-Za-z]*+[^\x00-\x7f][^\x00-\x40\x5b-\x60\x7b-\x7f]*+"  # letters and signs, not all of them ASCII
 _LONE = r"(?:^|[\n>])([^\x00-\x7f\s] [A-Za-z]+)"  # a sign before a word is judged with it
 _CONTROL = r"[\x00-\x08\x0e-\x1f]"
 _BYTES = r"[^ \t\n\r]*[\x00-\x08\x0e-\x1f][^ \t\n\r]*"  # single bytes of wider units, or escapes
@@ -41,10 +41,10 @@ _LOST_HEADS = {form[0] for form in residues()}
 
 def _words(text: Column) -> Column:
     """Words of a text that aren't plain ASCII, and runs with controls."""
-    lone = F.regexp_extract_all(text, F.lit(_LONE), F.lit(1))
-    found = F.filter(F.concat(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lone), lambda w: w.rlike(r"[^\x00-\x7f]"))
+    found = [F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.regexp_extract_all(text, F.lit(_LONE), F.lit(1))]
     raw = F.transform(F.regexp_extract_all(text, F.lit(_BYTES), F.lit(0)), lambda w: F.regexp_replace(w, r"^\x00+|\x00+\z", ""))
-    return F.array_distinct(F.when(text.rlike(_CONTROL), F.concat(found, F.filter(raw, lambda w: w.rlike(_CONTROL)))).otherwise(found))
+    bytewise = F.when(text.rlike(_CONTROL), F.filter(raw, lambda w: w.rlike(_CONTROL))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*found, bytewise))
 
 
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +115,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _chunked(((*key, n) for key, n in seen.items()), fields)
 
 
-def _keyed(unit: str, kind: str, writing: str) -> Iterator[tuple[str, str, str]]:
+def _keyed(unit: str, kind: str, writing: str, met: Callable[[str], bool] | None = None) -> Iterator[tuple[str, str, str]]:
     """(kind of piece, form, chain) of every form of a unit that a piece may have."""
     if kind == "p":  # two bytes taken for one wide unit
         for code in ("utf-16-le", "utf-16-be"):
@@ -132,7 +132,7 @@ def _keyed(unit: str, kind: str, writing: str) -> Iterator[tuple[str, str, str]]
             yield "e2", form, chain
         if kind == "e":
             return
-    for form, chain in forms(unit, writing, kind == "b", kind in "wr").items():
+    for form, chain in forms(unit, writing, kind == "b", kind in "wr", met).items():
         from_utf8, double = chain.startswith("utf-8"), chain.split(">")[1] in DOUBLE
         if kind == "w":
             yield "w_", form, chain
@@ -264,12 +264,19 @@ def garbled_words(words: DataFrame, pairs: DataFrame, plain: DataFrame, restore:
     slots = strange.select("word").mapInArrow(_seen_slots, "slot int").distinct().toArrow()["slot"].to_numpy()  # at most _SLOTS numbers
     seen = np.zeros(_SLOTS, bool)
     seen[slots] = True
-    met = spark.sparkContext.broadcast(np.packbits(seen))
+    shown = spark.sparkContext.broadcast(np.packbits(seen))
 
     def make_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, chain, unit, n) for every chain; a key is the kind of piece and the form."""
-        known = np.unpackbits(met.value)[:_SLOTS].astype(bool)
-        rows = ((piece, form, chain, unit, n) for b in batches for unit, kind, writing, n in zip(*(c.to_pylist() for c in b.columns)) for piece, form, chain in _keyed(unit, kind, writing) if form)
+        known = np.unpackbits(shown.value)[:_SLOTS].astype(bool)
+        begun: dict[str, bool] = {}
+
+        def met(start: str) -> bool:
+            if start not in begun:
+                begun[start] = bool(known[_slots([start])[0]].all())
+            return begun[start]
+
+        rows = ((piece, form, chain, unit, n) for b in batches for unit, kind, writing, n in zip(*(c.to_pylist() for c in b.columns)) for piece, form, chain in _keyed(unit, kind, writing, met) if form)
         for part in _bounded(rows, 1):
             texts = [p[1] for p in part if p[0] != "e2"]
             keep = np.ones(len(part), bool)
@@ -290,13 +297,13 @@ def garbled_words(words: DataFrame, pairs: DataFrame, plain: DataFrame, restore:
     pieces = strange.select("wid", "word").mapInArrow(_pieces, "wid bigint, key string, place bigint")
     about = strange.select("wid", "word", "n").mapInArrow(_about, "wid bigint, word string, n_word bigint, total int, letters int, clean boolean")
     forms_met = table.unionByName(lost).join(asked, "key").where(~F.col("key").startswith("c1") | (F.col("n") >= F.col("n_piece")))
-    by_key = forms_met.groupBy("key", "chain").agg(F.max(F.struct("n", "unit")).alias("b"), F.sum("n").alias("all"), F.first("n_piece").alias("n_piece"))
+    by_key = materialize(forms_met.groupBy("key", "chain").agg(F.max(F.struct("n", "unit")).alias("b"), F.sum("n").alias("all"), F.first("n_piece").alias("n_piece")))
     lossy = F.col("key").contains("�") & ~F.col("key").startswith("l_")
     # Where bytes are lost, several words may have stood: one must be far ahead of all others, by whatever chain.
     sole = by_key.where(lossy & F.col("key").rlike(r"[^�w_].*[^�]")).groupBy("key").agg(F.max_by(F.struct("chain", "b", "n_piece"), F.struct("b.n", "chain")).alias("t"), F.sum("all").alias("all"))
     sole = sole.where("t.b.n >= 3 * (all - t.b.n)").select("key", "t.chain", "t.b", "t.n_piece")
     gain = F.log(F.greatest(F.col("b.n"), F.lit(1)).cast("double")) - F.log(F.col("n_piece").cast("double"))
-    matched = materialize(by_key.where(~lossy).select("key", "chain", "b", "n_piece").unionByName(sole).select("key", "chain", "b.unit", "b.n", gain.alias("gain")))
+    matched = by_key.where(~lossy).select("key", "chain", "b", "n_piece").unionByName(sole).select("key", "chain", "b.unit", "b.n", gain.alias("gain"))
     kind = F.substring("key", 1, 2).alias("kind")
     by_chain = (
         pieces.join(matched.select("key", "chain", "n", "gain"), "key")
