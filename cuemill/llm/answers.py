@@ -139,7 +139,7 @@ def openings(text: str) -> list[str]:
         part = text[at : cut.start() if cut else len(text)]
         at = cut.end() if cut else len(text) + 1
         part = _level(part)
-        if len(part) + sum(ch > "\u2e7f" for ch in part) >= TELLING:
+        if len(part) + (0 if part.isascii() else sum(ch > "\u2e7f" for ch in part)) >= TELLING:
             out.append(part)
     return out or [whole for whole in (_level(text),) if _PLAIN.search(whole)]
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
 from functools import lru_cache
 
+import numpy as np
+
 # Names of languages as instructions spell them.
 NAMES = {
     "english": "en", "french": "fr", "german": "de", "spanish": "es", "russian": "ru", "japanese": "ja", "korean": "ko", "chinese": "zh", "italian": "it", "portuguese": "pt", "dutch": "nl", "polish": "pl",
@@ -15,6 +16,7 @@ NAMES = {
 }
 LEAST_ANSWERS = 12  # labelled texts a language needs to be told
 MARGIN = 3.0  # log-odds by which another language must lead
+LEAST_GRAMS = 8  # for the share of unknown ones to mean anything
 STRANGE = 0.35  # share of unknown letter triples from which a text is in none of the known languages, at least
 _WORD = re.compile(r"[^\W\d_]+")
 _DENSE = ("CJK", "HIRAGANA", "KATAKANA", "HANGUL")
@@ -60,37 +62,39 @@ class Languages:
         counts = {c: Counter(g for t in known[c] for g in grams(t)) for c in self.codes}
         kept = {g for n in counts.values() for g, k in n.items() if k > 1}
         totals = {c: sum(k for g, k in counts[c].items() if g in kept) + 0.5 * len(kept) for c in self.codes}
-        self.weights = {g: [math.log((counts[c][g] + 0.5) / totals[c]) for c in self.codes] for g in kept}
-        # What is met in a twentieth of the usual rate may come from wrongly labelled texts.
-        self.met = {c: {g for g, k in counts[c].items() if k > 1 + 0.0002 * len(known[c])} for c in self.codes}
+        self.index = {g: i for i, g in enumerate(sorted(kept))}
+        n = np.array([[counts[c][g] for c in self.codes] for g in self.index], float).reshape(len(self.index), len(self.codes))
+        self.weights = np.log((n + 0.5) / np.array([totals[c] for c in self.codes]))
+        # What is met far more seldom than its language's texts may come from wrongly labelled ones.
+        self.met = n > 1 + 0.0002 * np.array([len(known[c]) for c in self.codes])
         self.strange = {c: self._limit(c, known[c]) for c in self.codes}
 
     def _limit(self, code: str, texts: list[str]) -> float:
-        """Share of unknown triples that almost no held-out text of the language has."""
-        seen = Counter(g for t in texts[::2] for g in set(grams(t)))
-        shares = sorted(self._unknown(t, {g for g in seen}) for t in texts[1::2])
+        """Share of unknown grams that almost no held-out text of the language has."""
+        seen = {g for t in texts[::2] for g in grams(t)}
+        shares = []
+        for text in texts[1::2]:
+            found = [g for g in grams(text) if g[0] != "\0"]
+            shares.append(sum(g not in seen for g in found) / len(found) if len(found) >= LEAST_GRAMS else 0.0)
+        shares.sort()
         return max(STRANGE, (shares[int(0.98 * (len(shares) - 1))] if shares else 1.0) + 0.1)
 
-    @staticmethod
-    def _unknown(text: str, met: set[str]) -> float:
-        found = [g for g in grams(text) if g[0] != "\0"]
-        return sum(g not in met for g in found) / len(found) if len(found) >= 8 else 0.0
-
     def other(self, text: str, target: str) -> bool | None:
         """Whether a text is in another language than the target; null if that can't be told."""
         if target not in self.strange:
             return None
         found = grams(text)
-        if sum(g[0] != "\0" for g in found) < 4:
+        told = sum(g[0] != "\0" for g in found)
+        if told < 4:
             return None
-        scores = [0.0] * len(self.codes)
-        for g in found:
-            for i, w in enumerate(self.weights.get(g, ())):
-                scores[i] += w
+        rows = [i for g in found if (i := self.index.get(g)) is not None]
         at = self.codes.index(target)
-        lead = max((s for i, s in enumerate(scores) if i != at), default=scores[at]) - scores[at]
+        scores = self.weights[rows].sum(0)
+        mine, scores[at] = scores[at], -np.inf
+        lead = scores.max() - mine if len(self.codes) > 1 else 0.0
         if lead >= MARGIN:
             return True
-        if self._unknown(text, self.met[target]) > self.strange[target]:
+        known = int(self.met[[i for g in found if g[0] != "\0" and (i := self.index.get(g)) is not None], at].sum())
+        if told >= LEAST_GRAMS and 1 - known / told > self.strange[target]:
             return True
         return False if lead <= -MARGIN or len(self.codes) == 1 else None

@@ -83,11 +83,15 @@ def _keys(asked: list[tuple[str, str]]) -> list[str]:
     return sorted(keys, key=int) if all(k.isdigit() for k in keys) else keys
 
 
-def _prompt_slots(asked: list[tuple[str, str]]) -> list[int]:
-    """MinHash of the words that were asked to be translated."""
-    words = {w for _, text in asked for w in text.lower().split()} or {""}
-    base = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-    return [int(_mix(base * _A[i] + _B[i]).min() >> np.uint64(1)) for i in range(SLOTS)]
+def prompt_slots(prompts: list[str]) -> np.ndarray:
+    """[prompt, slot]: MinHash of the words that were asked to be translated, for all prompts at once."""
+    words = [set(p.lower().split()) or {""} for p in prompts]
+    base = np.array([xxhash.xxh64_intdigest(w) for ws in words for w in ws], np.uint64)
+    first = np.concatenate([[0], np.cumsum([len(ws) for ws in words])[:-1]]).astype(np.int64)
+    out = np.empty((len(prompts), SLOTS), np.int64)
+    for i in range(SLOTS if prompts else 0):
+        out[:, i] = (np.minimum.reduceat(_mix(base * _A[i] + _B[i]), first) >> np.uint64(1)).astype(np.int64)
+    return out
 
 
 _PARSED = "id bigint, at bigint, bare boolean, declined boolean, empty boolean, truncated boolean, copied boolean, target string, answers array<string>, openings array<string>, prompt array<bigint>"
@@ -98,8 +102,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [part.split()[0] for part in _PARSED.split(", ")]
     for batch in batches:
         out: dict[str, list] = {n: [] for n in names}
-        for id_, at, code, asks, asked, raw, status, reason in zip(*(c.to_pylist() for c in batch.columns)):
-            asked = [(e["key"], e["value"] or "") for e in asked or []]
+        for id_, at, code, asks, keys, texts, raw, status, reason in zip(*(c.to_pylist() for c in batch.columns)):
+            asked = [(k, t or "") for k, t in zip(keys or (), texts or ())]
             sources = dict(asked)
             answer = read_answer(raw)
             entries = answer.entries
@@ -126,7 +130,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["target"].append(_target(code, asks))
             out["answers"].append(answers)
             out["openings"].append(sorted({c.encode("utf-8", "replace").decode() for c in said}))
-            out["prompt"].append(_prompt_slots(asked))
+            out["prompt"].append("\n".join(v for _, v in asked))
+        out["prompt"] = prompt_slots(out["prompt"]).tolist()
         kinds = (pa.int64(), pa.int64(), *[pa.bool_()] * 5, pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_pydict({n: pa.array(out[n], k) for n, k in zip(names, kinds)})
 
@@ -231,7 +236,7 @@ def find_defects(df: DataFrame, key: str) -> DataFrame:
     no answered record has counts as a refusal even if it occurs once.
     """
     micros = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(0))
-    rows = df.select(F.col(key).cast("bigint"), micros, "target_lang", "instructions", F.map_entries("input_map"), "raw_text", "status", "incomplete_reason")
+    rows = df.select(F.col(key).cast("bigint"), micros, "target_lang", "instructions", F.map_keys("input_map"), F.map_values("input_map"), "raw_text", "status", "incomplete_reason")
     parsed = rows.mapInArrow(_parse, _PARSED)
     latest = parsed.groupBy("id").agg(F.max_by(F.struct(*[c for c in parsed.columns if c != "id"]), "at").alias("r"))
     parsed = materialize(latest.select("id", "r.*"))

@@ -4,7 +4,7 @@ import numpy as np
 
 from cuemill.llm.answers import blank, openings, plain, read_answer
 from cuemill.llm.language import Languages
-from cuemill.llm.pairs import _prompt_slots, band_hashes, clusters, find_defects, refusal_templates, shingles
+from cuemill.llm.pairs import prompt_slots, band_hashes, clusters, find_defects, refusal_templates, shingles
 
 SCHEMA = "result_id bigint, target_lang string, instructions string, input_map map<string,string>, raw_text string, status string, incomplete_reason string, created_at timestamp, id string, defect string"
 EN = ["The train leaves before dawn.", "We need the old map this winter.", "Nobody will remember the letter.", "My sister keeps the lamp under the bed."]
@@ -52,7 +52,7 @@ def test_short_refusals_have_an_opening():
 
 def test_prompts_that_differ_in_a_letter_are_related():
     words = " ".join(f"word{i}" for i in range(60))
-    slots = [np.array(_prompt_slots([("0", t)])) for t in (words, words + "s", "quite another text about the sea and its ships")]
+    slots = prompt_slots([words, words + "s", "quite another text about the sea and its ships", ""])
     assert (slots[0] != slots[1]).sum() <= 1 and (slots[0] != slots[2]).sum() >= 7
 
 
