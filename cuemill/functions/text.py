@@ -114,15 +114,21 @@ def sdh_only(text: Column) -> Column:
     return F.when(suspect(text), (whole != "") & (whole.rlike(_WHOLE) | nothing)).when(text.isNotNull(), False)
 
 
-def sdh_strip(line: Column) -> Column:
-    """A line without its sound descriptions, blanks levelled, a dash and a space before speech."""
-    out = line
-    for pattern in SDH_INLINE:  # one after the other: brackets of one kind may hold half of another
-        out = F.regexp_replace(out, pattern, "")
-    out = F.when(line.rlike(_MARKED), out).otherwise(line)
-    out = F.regexp_replace(out, r"\s+", " ")
-    out = F.when(out.startswith("-") | out.startswith(" "), F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(out, r"^-\s*", "- "), r"^-\s*-\s*", "- ")), r"^-\z", "")).otherwise(F.rtrim(out))
-    return out
+def sdh_strip(parts: Column) -> Column:
+    """Lines without their sound descriptions, blanks levelled, a dash and a space before speech; emptied lines go.
+
+    Every step is a transform of its own, so that no line is computed twice.
+    """
+    def unmarked(line: Column) -> Column:
+        out = line
+        for pattern in SDH_INLINE:  # one after the other: brackets of one kind may hold half of another
+            out = F.regexp_replace(out, pattern, "")
+        return F.when(line.rlike(_MARKED), out).otherwise(line)
+
+    level = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    dashed = lambda x: F.when(x.startswith("-"), F.trim(F.regexp_replace(x, r"^-\s*(?:-\s*)?", "- "))).otherwise(x)
+    steps = F.transform(F.transform(F.transform(parts, unmarked), level), dashed)
+    return F.filter(steps, lambda x: ~x.isin("", "-"))
 
 
 def _wide_edge(ch: Column) -> Column:

@@ -143,17 +143,23 @@ def document_language(cues: DataFrame) -> DataFrame:
     return summed.select("episode_id", *[F.round(v, 6).alias(f"score_{k}") for k, v in s.items()], F.when(F.col("total") == 0, "en").otherwise(fx.best(s)).alias("language"))
 
 
+def _with_text(cues: DataFrame, parts: Column) -> DataFrame:
+    """The lines as the cue's text; cues left without any go. The text is computed once, not again for the test."""
+    others = [c for c in cues.columns if c != "text"]
+    told = F.filter(F.array(F.array_join(parts, "\n")), lambda t: t != "")
+    return cues.select(*others, F.explode(told).alias("text")).select(*cues.columns)
+
+
 def clean_sdh(cues: DataFrame, renumber: bool = True) -> DataFrame:
     """Drops cues of sound descriptions, strips them elsewhere, drops what is left empty, re-indexes."""
     kept = cues.where(F.coalesce(~fx.sdh_only(F.col("text")), F.lit(False)))
-    parts = F.filter(F.transform(F.split("text", "\n"), lambda x: fx.sdh_strip(fx.trimmed(x))), lambda x: x != "")
-    out = kept.withColumn("text", F.array_join(parts, "\n")).where("text <> ''")
+    out = _with_text(kept, fx.sdh_strip(F.transform(F.split("text", "\n"), fx.trimmed)))
     return reindex(out) if renumber else out
 
 
 def clean_disfluency(cues: DataFrame, renumber: bool = True) -> DataFrame:
     parts = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), fx.fluent), lambda x: x != "")
-    out = cues.withColumn("text", F.array_join(parts, "\n")).where("text <> ''")
+    out = _with_text(cues, parts)
     return reindex(out) if renumber else out
 
 

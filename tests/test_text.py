@@ -19,7 +19,8 @@ def test_languages(spark):
 def test_sdh(spark):
     texts = ["♪♪", "[a] hello [b]", "(sighs)\n- [door]", "Hello (sighs) you", "- ", None, ""]
     assert values(spark, texts, fx.sdh_only(F.col("t"))) == [True, True, True, False, True, None, False]
-    assert values(spark, ["Hello (sighs)  you ♪", "- [x]", "-- a"], fx.sdh_strip(F.col("t"))) == ["Hello you", "", "- a"]
+    lines = ["Hello (sighs)  you ♪", "- [x]", "-- a", "-b", "- - c", "--", " [x] d"]
+    assert values(spark, lines, fx.sdh_strip(F.array("t"))) == [["Hello you"], [], ["- a"], ["- b"], ["- c"], [], ["d"]]
 
 
 def test_disfluency(spark):
