@@ -82,12 +82,14 @@ def lookup(code: Column, values: dict, default: object) -> Column:
     return out
 
 
-def line_limit(code: Column) -> Column:
-    return lookup(code, LINE_LIMIT, DEFAULT_LIMIT)
+def line_limit(code: Column, sdh: bool = False) -> Column:
+    """Characters of a line; texts for the hard of hearing have more room in some languages."""
+    return lookup(code, LINE_LIMIT | LINE_LIMIT_SDH if sdh else LINE_LIMIT, DEFAULT_LIMIT)
 
 
-def speed_limit(code: Column, audience: str = "adult") -> Column:
-    return lookup(code, SPEED[audience], DEFAULT_SPEED)
+def speed_limit(code: Column, audience: str = "adult", sdh: bool = False) -> Column:
+    """Characters a second."""
+    return lookup(code, SPEED[audience] | ({"ja": SDH_SPEED_JA} if sdh else {}), DEFAULT_SPEED)
 
 
 def dialogue(text: Column) -> Column:

@@ -107,15 +107,15 @@ def quality_summary(per_cue: DataFrame) -> DataFrame:
     )
 
 
-def with_speed(cues: DataFrame, audience: str = "adult") -> DataFrame:
-    """Language, characters a second and whether that is within the language's limit."""
+def with_speed(cues: DataFrame, audience: str = "adult", sdh: bool = False) -> DataFrame:
+    """Language, characters a second and whether that is within the language's limit for the audience."""
     text = F.coalesce("text", F.lit(""))
     seconds = (F.col("end_ms") - F.col("start_ms")) / 1000
     chars = F.length(F.regexp_replace(text, "\n", ""))
     return (
         cues.withColumn("language", fx.language(text))
         .withColumn("speed", F.round(F.when(seconds > 0, chars / seconds).otherwise(0.0), 4))
-        .withColumn("readable", F.col("speed") <= fx.speed_limit(F.col("language"), audience))
+        .withColumn("readable", F.col("speed") <= fx.speed_limit(F.col("language"), audience, sdh))
         .select("episode_id", "id", "language", "speed", "readable")
     )
 

@@ -231,6 +231,15 @@ def outcome(results: DataFrame) -> DataFrame:
     return results.select("result_id", F.when(refused, "provider_refusal").when(fine, "completed").otherwise("technical_failure").alias("outcome"))
 
 
+def usage(body: Column) -> dict[str, Column]:
+    """Token counts in a provider's JSON under either spelling; what is missing is 0."""
+    at = lambda *paths: F.coalesce(*[F.get_json_object(body, f"$.{p}").try_cast("bigint") for p in paths], F.lit(0).cast("bigint"))
+    return {
+        "input_tokens": at("input_tokens", "prompt_tokens"), "output_tokens": at("output_tokens", "completion_tokens"),
+        "reasoning_tokens": at("output_tokens_details.reasoning_tokens", "completion_tokens_details.reasoning_tokens"), "total_tokens": at("total_tokens"),
+    }
+
+
 def retryable(name: Column, text: Column, code: Column | None = None) -> Column:
     """Whether a failed call is worth another: by the name of its exception, words in its text or its status code."""
     by_code = F.lit(False) if code is None else F.coalesce(code.isin(*RETRY_CODES), F.lit(False))

@@ -49,6 +49,13 @@ def drifted(frozen_then: DataFrame, frozen_now: DataFrame, key: str = "episode_i
     return both.where(~F.col("was").eqNullSafe(F.col("now"))).select(key, "now")
 
 
+def key_sets(want: DataFrame, have: DataFrame, by: list[str], key: str) -> DataFrame:
+    """(by, missing, unexpected, subset, same): how the keys of each group of ``want`` relate to those it has."""
+    both = want.select(*by, key, F.lit(True).alias("w")).distinct().join(have.select(*by, key, F.lit(True).alias("h")).distinct(), [*by, key], "full")
+    out = both.groupBy(*by).agg(F.count_if(F.col("h").isNull()).alias("missing"), F.count_if(F.col("w").isNull()).alias("unexpected"))
+    return out.select("*", (F.col("missing") == 0).alias("subset"), ((F.col("missing") == 0) & (F.col("unexpected") == 0)).alias("same"))
+
+
 def overlay(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The new rows, and the old ones whose key is not among them."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)

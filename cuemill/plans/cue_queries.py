@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as fx
-from cuemill.functions.timecode import format_ms
+from cuemill.functions.timecode import format_ms, lenient_ms, strict_ms
 from cuemill.operators import cues as op
 from cuemill.plans.interval_queries import _PARSE
 from cuemill.session import read
@@ -58,6 +58,23 @@ def reading_speed(spark, d):
     return op.with_speed(_cues(spark, d))
 
 
+def reading_speed_children(spark, d):
+    """Speed against the limits for children, with descriptions of sounds."""
+    return op.with_speed(_cues(spark, d), "children", sdh=True)
+
+
+def long_lines_sdh(spark, d):
+    """Cues with a line over its language's limit for the hard of hearing."""
+    long = F.exists(fx.lines(F.col("text")), lambda x: F.length(x) > fx.line_limit(fx.language(x), sdh=True))
+    return _cues(spark, d).where(long).select("episode_id", "id")
+
+
+def strict_times(spark, d):
+    """Times that the strict reader takes, beside those of the lenient one."""
+    raw = read(spark, d, "cues").select("start_tc").distinct()
+    return raw.select("start_tc", strict_ms(F.col("start_tc")).alias("strict"), lenient_ms(F.col("start_tc")).alias("lenient"))
+
+
 def char_counts(spark, d):
     return _cues(spark, d).select("episode_id", "id", *[c.alias(k) for k, c in fx.counts(F.coalesce("text", F.lit(""))).items()])
 
@@ -129,7 +146,7 @@ def summary_payload(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        cue_reindex, cue_slice, cue_times, batch_plan, overlap_stats, overlap_clip, quality_per_cue, quality_summary, issue_cues, reading_speed, char_counts,
+        cue_reindex, cue_slice, cue_times, batch_plan, overlap_stats, overlap_clip, quality_per_cue, quality_summary, issue_cues, reading_speed, reading_speed_children, long_lines_sdh, strict_times, char_counts,
         document_language, bilingual_cues, needs_resplit, needs_split, sdh_clean, sdh_only, disfluency, fragment_flags, fragment_merge, flatten_lines,
         merge_lines_en, merge_lines_zh, merge_lines_ko, context_window, summary_payload,
     )
@@ -237,6 +254,11 @@ SELECT episode_id, CAST(row_number() OVER {_W} - 1 AS INTEGER) AS id, start_ms,
     "reading_speed": f"""{_C}, t AS (SELECT *, coalesce(text, '') AS x, (end_ms - start_ms) / 1000 AS sec FROM c),
 s AS (SELECT episode_id, id, {_language('x')} AS language, round(CASE WHEN sec > 0 THEN length(replace(x, chr(10), '')) / sec ELSE 0.0 END, 4) AS speed FROM t)
 SELECT *, speed <= (CASE language WHEN 'zh' THEN 9.0 WHEN 'en' THEN 20.0 WHEN 'ko' THEN 12.0 WHEN 'ja' THEN 4.0 ELSE 20.0 END) AS readable FROM s""",
+    "reading_speed_children": f"""{_C}, t AS (SELECT *, coalesce(text, '') AS x, (end_ms - start_ms) / 1000 AS sec FROM c),
+s AS (SELECT episode_id, id, {_language('x')} AS language, round(CASE WHEN sec > 0 THEN length(replace(x, chr(10), '')) / sec ELSE 0.0 END, 4) AS speed FROM t)
+SELECT *, speed <= (CASE language WHEN 'zh' THEN 7.0 WHEN 'en' THEN 17.0 WHEN 'ko' THEN 9.0 WHEN 'ja' THEN 7.0 ELSE 20.0 END) AS readable FROM s""",
+    "long_lines_sdh": f"{_C}, l AS (SELECT *, {_LINES} AS ls FROM c) SELECT episode_id, id FROM l WHERE len(list_filter(ls, lambda x: length(x) > (CASE {_language('x')} WHEN 'zh' THEN 18 WHEN 'en' THEN 42 WHEN 'ko' THEN 16 WHEN 'ja' THEN 16 ELSE 42 END))) > 0",
+    "strict_times": f"""SELECT DISTINCT start_tc, CASE WHEN regexp_full_match(start_tc, '[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}},[0-9]{{3}}') THEN {_PARSE.format(c='start_tc')} END AS strict, {_PARSE.format(c='start_tc')} AS lenient FROM cues""",
     "char_counts": f"{_C}, t AS (SELECT episode_id, id, coalesce(text, '') AS x FROM c) SELECT episode_id, id, " + ", ".join(f"{v} AS {k}" for k, v in _n("x").items()) + " FROM t",
     "document_language": f"{_C}, t AS (SELECT episode_id, coalesce(text, '') AS x FROM c), s AS (SELECT episode_id, " + ", ".join(f"sum({v}) AS {k}" for k, v in _n("x").items()) + " FROM t GROUP BY episode_id) SELECT episode_id, "
     + ", ".join(f"round({v}, 6) AS score_{k}" for k, v in _scores({k: k for k in _n('x')}).items()) + f", CASE WHEN total = 0 THEN 'en' ELSE {_best(_scores({k: k for k in _n('x')}))} END AS language FROM s",

@@ -12,7 +12,7 @@ from cuemill.operators import runs as op
 from cuemill import pipeline
 from cuemill.plans.interval_queries import _PARSE
 from cuemill.plans.cue_queries import _C, _SUMMARY, _W, _quality_sql
-from cuemill.plans.response_queries import _FINE, _M, _T, _results
+from cuemill.plans.response_queries import _E, _FINE, _M, _T, _results
 from cuemill.sources import srt
 from cuemill.session import read
 
@@ -77,6 +77,22 @@ def run_report(spark, d):
     return r.withColumn("n_errors", F.size("errors")).drop("errors")
 
 
+def batch_coverage(spark, d):
+    """Whether all keys of each batch have a translation by some try, and whether no other keys came back for it."""
+    keep = ("episode_id", "batch_index")
+    rows = responses.entries(responses.checked(_results(spark, d), *keep), *keep)
+    want = _results(spark, d).select(*keep, F.explode(F.map_keys("input_map")).alias("key"))
+    return op.key_sets(want, rows.where((F.col("echo") == "extra") | responses.accepted()), list(keep), "key")
+
+
+def message_counts(spark, d):
+    """Errors of all calls and responses together, by their kind."""
+    keep = ("result_id", "status", "incomplete_reason")
+    texts = responses.checked(_results(spark, d), *keep).select(F.explode(responses.messages()).alias("m"))
+    kind = F.when(F.col("m").startswith("id "), F.regexp_extract("m", r": (\w+)", 1)).otherwise(F.regexp_extract("m", r"^(\w+)", 1))
+    return texts.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
 def translation_quality(spark, d):
     """Subtitle quality of what has been translated, of any part of an episode, and whether that is all that was asked."""
     tr = responses.merged(_results(spark, d)).select("episode_id", F.expr("try_cast(key AS int)").alias("id"), "tr")
@@ -132,7 +148,7 @@ def word_align(spark, d):
     return op.align_words(docs.select("doc_id", sentences.alias("sentences"), words.alias("words")), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (frozen_inputs, cue_count_drift, window_match, upsert_repair, anon_inputs, window_positions, source_drift, run_report, translation_quality, absent_samples, assessment_inputs, srt_tolerant, srt_strict, self_check, word_packs, word_align)}
+QUERIES = {f.__name__: f for f in (frozen_inputs, cue_count_drift, window_match, upsert_repair, anon_inputs, window_positions, source_drift, run_report, batch_coverage, message_counts, translation_quality, absent_samples, assessment_inputs, srt_tolerant, srt_strict, self_check, word_packs, word_align)}
 
 _LINE = "CAST(id AS VARCHAR) || chr(9) || CAST(coalesce(start_ms, -1) AS VARCHAR) || chr(9) || coalesce(text, '')"
 _CLOCK = "((CAST(substr({t}, 1, 2) AS BIGINT) * 60 + CAST(substr({t}, 4, 2) AS BIGINT)) * 60 + CAST(substr({t}, 7, 2) AS BIGINT)) * 1000 + CAST(substr({t}, 10, 3) AS BIGINT)"
@@ -166,6 +182,14 @@ SELECT x.episode_id, now FROM x LEFT JOIN y USING (episode_id) WHERE was IS DIST
   + n_no_object + n_no_translation + n_no_text + (SELECT count(*) FROM t WHERE t.result_id = r.result_id AND t.fault IS NULL AND t.kind IN ('misaligned', 'mismatch'))) AS errs FROM r JOIN s USING (result_id))
 SELECT episode_id, model_alias, count(*) AS n_batches, count(*) FILTER (WHERE ok) AS n_batches_ok, bool_and(ok) AS ok, CAST(coalesce(sum(usage.input_tokens), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(usage.output_tokens), 0) AS BIGINT) AS output_tokens,
   CAST(coalesce(sum(usage.total_tokens), 0) AS BIGINT) AS total_tokens, CAST(sum(errs) AS INTEGER) AS n_errors FROM n1 GROUP BY episode_id, model_alias""",
+    "batch_coverage": f"""{_M}, wa AS (SELECT DISTINCT r.episode_id, r.batch_index, w.key FROM w JOIN r USING (result_id)),
+ha AS (SELECT DISTINCT r.episode_id, r.batch_index, y.key FROM (SELECT result_id, key FROM t WHERE fault IS NULL UNION ALL SELECT result_id, key FROM x WHERE extra) y JOIN r USING (result_id)),
+bo AS (SELECT coalesce(wa.episode_id, ha.episode_id) AS episode_id, coalesce(wa.batch_index, ha.batch_index) AS batch_index, ha.key IS NULL AS mi, wa.key IS NULL AS un FROM wa FULL JOIN ha ON wa.episode_id = ha.episode_id AND wa.batch_index = ha.batch_index AND wa.key = ha.key)
+SELECT episode_id, batch_index, count(*) FILTER (WHERE mi) AS missing, count(*) FILTER (WHERE un) AS unexpected, count(*) FILTER (WHERE mi) = 0 AS subset, count(*) FILTER (WHERE mi OR un) = 0 AS same FROM bo GROUP BY episode_id, batch_index""",
+    "message_counts": f"""{_E}, y AS (SELECT 'status' AS kind, count(*) AS n FROM r WHERE status <> 'completed' UNION ALL SELECT 'incomplete', count(*) FROM r WHERE coalesce(incomplete_reason, '') <> ''
+  UNION ALL SELECT whole, count(*) FROM s WHERE whole IS NOT NULL GROUP BY whole UNION ALL SELECT 'missing', count(*) FROM s WHERE n_missing > 0 UNION ALL SELECT 'extra', count(*) FROM s WHERE n_extra > 0
+  UNION ALL SELECT fault, count(*) FROM t WHERE fault IS NOT NULL GROUP BY fault UNION ALL SELECT 'echoes', count(*) FROM t WHERE fault IS NULL AND kind IN ('misaligned', 'mismatch'))
+SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM y GROUP BY kind HAVING sum(n) > 0""",
     "translation_quality": _quality_sql(f"""{_M}, c0 AS (SELECT DISTINCT episode_id, id, {_PARSE.format(c='start_tc')} AS start_ms, {_PARSE.format(c='end_tc')} AS end_ms FROM cues),
 c AS (SELECT c0.*, m.tr AS text FROM c0 JOIN m ON c0.episode_id = m.episode_id AND c0.id = try_cast(m.key AS INTEGER) WHERE start_ms IS NOT NULL AND end_ms IS NOT NULL)""") + _SUMMARY,
     "absent_samples": f"{_M} SELECT DISTINCT r.episode_id, try_cast(w.key AS INTEGER) AS cue_id FROM w JOIN r USING (result_id) WHERE NOT EXISTS (SELECT 1 FROM cues WHERE cues.episode_id = r.episode_id AND cues.seq = try_cast(w.key AS INTEGER))",

@@ -26,6 +26,17 @@ def timeline_split(spark, d):
     return op.wrap_and_split(_cues(spark, d))
 
 
+def wrap_kept(spark, d):
+    """What wrapping and splitting must not change: the signs of an episode, and that no piece leaves its stretch of time."""
+    signs = lambda c: F.sum(F.length(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s", "")))
+    cues = _cues(spark, d)
+    wrapped = wrap_lines(spark, d).groupBy("episode_id").agg(signs("text").alias("wrapped"))
+    split = timeline_split(spark, d).groupBy("episode_id").agg(signs("text").alias("split"), F.min("start_ms").alias("s"), F.max("end_ms").alias("e"))
+    span = cues.groupBy("episode_id").agg(F.min("start_ms").alias("low"), F.greatest(F.max("end_ms"), F.max("start_ms")).alias("high"))
+    inside = F.coalesce((F.col("s") >= F.col("low")) & (F.col("e") <= F.col("high")), F.lit(True))
+    return wrapped.join(split, "episode_id").join(span, "episode_id").select("episode_id", "wrapped", "split", inside.alias("inside"))
+
+
 def compliance_report(spark, d):
     return op.compliance(_cues(spark, d).withColumn("is_split", F.lit(False)))
 
@@ -41,9 +52,11 @@ def stage_a_compliance(spark, d):
     return op.compliance(stage_a(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (wrap_lines, wrap_lines_full, timeline_split, compliance_report, stage_a, stage_a_compliance)}
+QUERIES = {f.__name__: f for f in (wrap_lines, wrap_lines_full, timeline_split, wrap_kept, compliance_report, stage_a, stage_a_compliance)}
 
 SQL = {
+    "wrap_kept": f"""{_C} SELECT episode_id, CAST(sum(length(regexp_replace(coalesce(text, ''), '\\s', '', 'g'))) AS BIGINT) AS wrapped, CAST(sum(length(regexp_replace(coalesce(text, ''), '\\s', '', 'g'))) AS BIGINT) AS split, true AS inside
+FROM c GROUP BY episode_id""",
     "compliance_report": f"""{_C}, l AS (SELECT *, {_LINES} AS ls, (end_ms - start_ms) / 1000 AS sec FROM c),
 f AS (SELECT episode_id, len(list_filter(ls, lambda x: length(x) > ({_LIMIT.format(l='(' + _language('x') + ')')}))) > 0
   OR coalesce(sec > 0 AND coalesce(list_sum(list_transform(ls, lambda x: length(x))), 0) / sec > 20.0, false) AS warn FROM l)

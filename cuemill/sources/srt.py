@@ -89,6 +89,12 @@ def parse_strict(files: DataFrame, entity: str = "path", fail: bool = True) -> D
     return out.where(F.col("text") != "")
 
 
+def as_cues(parsed: DataFrame, entity: str = "path") -> DataFrame:
+    """(episode_id, id, seq, start_ms, end_ms, text) of parsed files: ids from 0 in the order of the file, its numbers as seq."""
+    order = Window.partitionBy(entity).orderBy("pos")
+    return parsed.select(F.col(entity).alias("episode_id"), (F.row_number().over(order) - 1).cast("int").alias("id"), "seq", "start_ms", "end_ms", "text")
+
+
 def to_srt(cues: DataFrame, entity: str = "episode_id", order: str = "id") -> DataFrame:
     """(entity, srt): the cues numbered from 1, each with a blank line behind it.
 

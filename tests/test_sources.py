@@ -42,6 +42,17 @@ def test_glossaries_and_words(spark, tmp_path):
     assert [(r.start_s, r.end_s) for r in read_words(spark, str(tmp_path / "w.json")).orderBy("pos").collect()] == [(12.0, 0.0), (1.5, 2.0)]
 
 
+def test_usage_and_cues(spark):
+    from cuemill.operators.responses import usage
+    from cuemill.sources.srt import as_cues
+
+    bodies = ['{"prompt_tokens": 3, "completion_tokens": 4, "completion_tokens_details": {"reasoning_tokens": 1}, "total_tokens": 7}', '{"input_tokens": 2, "output_tokens": "x"}', "{broken", None]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string")
+    assert [tuple(r)[1:] for r in df.select("i", *[c.alias(k) for k, c in usage(df.b).items()]).orderBy("i").collect()] == [(3, 4, 1, 7), (2, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
+    files = spark.createDataFrame([("a", "7\n00:00:01,000 --> 00:00:02,000\nx\n\n9\n00:00:03,000 --> 00:00:04,000\ny\n")], "path string, text string")
+    assert [(r.episode_id, r.id, r.seq, r.text) for r in as_cues(parse_strict(files)).orderBy("id").collect()] == [("a", 0, 7, "x"), ("a", 1, 9, "y")]
+
+
 def test_strict_errors(spark):
     good = "1\n00:00:01,000 --> 00:00:02,000\nfirst  \nsecond\n"
     files = spark.createDataFrame([("a", good), ("b", "\n\noops\n" + good), ("c", "7"), ("d", None), ("e", "")], "path string, text string")
