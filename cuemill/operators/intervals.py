@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -133,10 +134,30 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block: inner periods (kind 0), the gaps between intervals (1), first and last interval (2)."""
-    tree = RunTree()
+    """Per block: inner periods (kind 0), the gaps between intervals (1), first and last interval (2).
+
+    The rows are sorted by entity and block, so no more than one batch and one
+    block's lists are held.
+    """
+    rest: pa.RecordBatch | None = None
     for batch in batches:
-        tree.add(batch)
+        if not batch.num_rows:
+            continue
+        whole = batch if rest is None else pa.concat_batches([rest, batch])
+        last = whole.num_rows - 1
+        entity, block = whole.column(0), whole.column(1)
+        same = pc.equal(block, block[last]).to_numpy(zero_copy_only=False)
+        same &= (pc.is_null(entity) if entity[last].as_py() is None else pc.fill_null(pc.equal(entity, entity[last]), False)).to_numpy(zero_copy_only=False)
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        yield from _finished(whole.slice(0, cut))
+        rest = whole.slice(cut)
+    if rest is not None:
+        yield from _finished(rest)
+
+
+def _finished(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    tree = RunTree()
+    tree.add(batch)
     keys, code, start, end = tree.result()
     if not len(code):
         return
@@ -181,6 +202,7 @@ def periods_and_gaps(
         runs = salted.drop("salt").mapInArrow(_partial, schema)
     parts = (
         runs.repartition("entity", "block")
+        .sortWithinPartitions("entity", "block")
         .mapInArrow(_emit, "entity string, block bigint, kind int, s bigint, e bigint")
         .select("entity", "block", "kind", (F.col("block") * block_ms + F.col("s")).alias("s"), (F.col("block") * block_ms + F.col("e")).alias("e"))
     )
