@@ -17,7 +17,7 @@ SPACE, NEWLINE, LETTER, HANGUL, IDEOGRAPH, DIGIT, BROKEN, OTHER = range(8)
 _LAST = 0x110000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-GRAM = 8
+GRAM, ENOUGH_GRAMS = 8, 4000
 
 # Signs by what they do in a line.
 STOPS, WIDE_STOPS = ".!?…", "。！？"
@@ -230,7 +230,11 @@ def _regular(t: Texts, count: np.ndarray, near: bool) -> tuple[np.ndarray, np.nd
 
 
 def _distinct_grams(t: Texts, group_of_line: np.ndarray, n: int) -> np.ndarray:
-    """Share of different grams among all of a group's text without white space; 1 for short ones."""
+    """Different grams of a group's text without white space, as a share of all or of ENOUGH_GRAMS; 1 for short ones.
+
+    Long texts repeat themselves without being repetitions: what counts is that
+    there are few different grams.
+    """
     at = np.flatnonzero(t.solid & (group_of_line[t.line] >= 0))
     group = group_of_line[t.line[at]]
     start = np.flatnonzero(group[: -GRAM + 1] == group[GRAM - 1 :]) if len(at) >= GRAM else np.zeros(0, np.int64)
@@ -242,7 +246,7 @@ def _distinct_grams(t: Texts, group_of_line: np.ndarray, n: int) -> np.ndarray:
     new = np.ones(len(order), bool)
     new[1:] = found[order][1:] != found[order][:-1]
     different = np.bincount(group[start][order[new]], minlength=n)
-    return np.where(total > 16, different / np.maximum(total, 1), 1.0)
+    return np.where(total > 16, np.minimum(different / np.clip(total, 1, ENOUGH_GRAMS), 1.0), 1.0)
 
 
 def measure(texts: list[str], common: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:

@@ -35,15 +35,16 @@ CHUNK = 2_000_000  # characters laid out at once
 
 Blocks = dict[str, np.ndarray]
 _flat: Callable[[Blocks], np.ndarray] = lambda b: (b["fields"] < 3) & (np.maximum(np.maximum(b["pipes"], b["tabs"]), b["aligned"]) < 0.5)
-_readable: Callable[[Blocks], np.ndarray] = lambda b: (b["common_words"] >= 0.5) & (b["letters_in_words"] > 0.3) & ((b["units_per_item"] >= 2.6) | (b["items"] < 4))
+_varied: Callable[[Blocks], np.ndarray] = lambda b: np.minimum(b["distinct_grams"], b["distinct_grams_of_document"]) >= 0.25
+_readable: Callable[[Blocks], np.ndarray] = lambda b: (b["common_words"] >= 0.5) & (b["letters_in_words"] > 0.3) & ((b["units_per_item"] >= 2.6) | (b["items"] < 4)) & _varied(b)
 _clean: Callable[[Blocks], np.ndarray] = lambda b: (b["broken"] < 0.2) & (b["mojibake"] < 0.2) & (b["symbol_ratio"] < 0.9)
 
 # (name, kind it votes for, where it fires)
 FUNCTIONS: tuple[tuple[str, str, Callable[[Blocks], np.ndarray]], ...] = (
     ("long_lines", "prose", lambda b: _readable(b) & (b["units_per_line"] >= 6.5) & (b["pairs"] < 0.6)),
     ("long_sentences", "prose", lambda b: _readable(b) & (b["units_per_sentence"] >= 5) & (b["fields"] < 3) & (b["pairs"] < 0.6)),
-    ("full_stops", "prose", lambda b: (b["end_punctuation"] >= 0.6) & (b["units_per_line"] >= 3.4) & (b["common_words"] > 0.4) & (b["pairs"] < 0.6) & _flat(b)),
-    ("fluent", "prose", lambda b: (b["common_words"] >= 0.7) & (b["symbol_ratio"] < 0.12) & (b["units_per_line"] >= 5.6) & (b["digit_ratio"] < 0.1) & (b["pairs"] < 0.6)),
+    ("full_stops", "prose", lambda b: _varied(b) & (b["end_punctuation"] >= 0.6) & (b["units_per_line"] >= 3.4) & (b["common_words"] > 0.4) & (b["pairs"] < 0.6) & _flat(b)),
+    ("fluent", "prose", lambda b: _varied(b) & (b["common_words"] >= 0.7) & (b["symbol_ratio"] < 0.12) & (b["units_per_line"] >= 5.6) & (b["digit_ratio"] < 0.1) & (b["pairs"] < 0.6)),
     ("a_long_line", "prose", lambda b: _readable(b) & (b["longest_line"] >= 8.5) & (b["fields"] < 3) & (b["pairs"] < 0.6)),
     ("long_clauses", "prose", lambda b: _readable(b) & (b["units_per_item"] >= 3.2) & (b["fields"] < 3)),
     ("bullets", "list", lambda b: (b["bullets"] >= 0.6) & (b["units_per_line"] < 5.6) & (b["end_punctuation"] < 0.6)),
@@ -66,7 +67,7 @@ FUNCTIONS: tuple[tuple[str, str, Callable[[Blocks], np.ndarray]], ...] = (
     ("markup", "junk", lambda b: b["markup"] > 0.5),
     ("tags", "junk", lambda b: b["tagged"] > 0.5),
     ("codes", "junk", lambda b: (b["hex"] > 0.5) | (b["blob"] > 0.5)),
-    ("repeats", "junk", lambda b: (np.minimum(b["distinct_grams"], b["distinct_grams_of_document"]) < 0.4) & (b["fields"] < 3)),
+    ("repeats", "junk", lambda b: ~_varied(b) & (b["fields"] < 3)),
 )
 _VOTES = np.array([KINDS.index(kind) for _, kind, _ in FUNCTIONS])
 
