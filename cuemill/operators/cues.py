@@ -178,11 +178,11 @@ def merge_fragments(pieces: DataFrame) -> DataFrame:
     return merged.select("episode_id", (F.col("run") - 1).cast("int").alias("id"), "first_id", "is_split", "start_ms", "end_ms", "text", "n")
 
 
-def context(cues: DataFrame, width: int = 5) -> DataFrame:
-    """The texts of up to ``width`` cues before and after each cue."""
+def context(cues: DataFrame, width: int = 5, *keep: str) -> DataFrame:
+    """The texts of up to ``width`` cues before and after each cue, beside the kept columns."""
     text = F.coalesce("text", F.lit(""))
     return cues.select(
-        "episode_id", "id",
+        "episode_id", "id", *keep,
         F.array_join(F.collect_list(text).over(order().rowsBetween(-width, -1)), "|").alias("before"),
         F.array_join(F.collect_list(text).over(order().rowsBetween(1, width)), "|").alias("after"),
     )

@@ -61,6 +61,18 @@ def overlay(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def beside(cues: DataFrame, translations: DataFrame) -> DataFrame:
+    """(episode_id, id, text, tr): every cue once with its translation, null if there is none.
+
+    ``cues`` may repeat rows. Both tables are brought together by episode, which
+    also serves windows over the result: one shuffle of either, and none behind.
+    """
+    left = cues.select("episode_id", "id", "text", F.lit(None).cast("string").alias("tr"), F.lit(1).alias("is_cue"))
+    right = translations.select("episode_id", "id", F.lit(None).cast("string").alias("text"), "tr", F.lit(0).alias("is_cue"))
+    both = left.unionByName(right).repartition("episode_id").groupBy("episode_id", "id")
+    return both.agg(F.max("text").alias("text"), F.max("tr").alias("tr"), F.max("is_cue").alias("is_cue")).where("is_cue = 1").drop("is_cue")
+
+
 def blinded(rows: DataFrame, secret: str) -> DataFrame:
     """Replaces the keys by a keyed hash and drops what would tell who made it; fails if something is left."""
     open_ = [c for c in rows.columns if c not in PRIVATE and c not in ("episode_id", "id")]

@@ -52,9 +52,9 @@ def upsert_repair(spark, d):
 
 def anon_inputs(spark, d):
     """Source, translation and context of each translated cue, without a trace of who made it."""
-    tr = responses.merged(_results(spark, d)).select("episode_id", F.expr("try_cast(key AS int)").alias("id"), F.col("tr").alias("target_text"))
-    cues = _cues(spark, d)
-    rows = cues.select("episode_id", "id", F.col("text").alias("source_text")).join(cue_op.context(cues, 2), ["episode_id", "id"]).join(tr, ["episode_id", "id"])
+    tr = responses.merged(_results(spark, d)).select("episode_id", F.expr("try_cast(key AS int)").alias("id"), "tr").where("id IS NOT NULL")
+    told = cue_op.context(op.beside(read(spark, d, "cues"), tr), 2, "text", "tr").where("tr IS NOT NULL")
+    rows = told.select("episode_id", "id", F.col("text").alias("source_text"), "before", "after", F.col("tr").alias("target_text"))
     return op.blinded(rows, "20260811")
 
 
