@@ -100,10 +100,11 @@ def quality(cues: DataFrame, tr: str = "text") -> DataFrame:
 
 
 def quality_summary(per_cue: DataFrame) -> DataFrame:
+    """Counts of issues, the highest speed and its 95th percentile, ties up whatever their binary form."""
     has = lambda *names: F.count_if(F.arrays_overlap("issues", F.array(*map(F.lit, names))))
     return per_cue.groupBy("episode_id").agg(
         F.count("*").alias("n"), has("missing").alias("n_missing"), has("cps").alias("n_cps_over"), has("line").alias("n_line_over"), has("lines").alias("n_lines_over"),
-        has("bad_duration", "too_short").alias("n_bad_duration"), F.round(F.max("cps"), 2).alias("max_cps"), F.round(F.percentile("cps", F.lit(0.95)), 2).alias("p95_cps"),
+        has("bad_duration", "too_short").alias("n_bad_duration"), F.round(F.max("cps"), 2).alias("max_cps"), (F.floor(F.round(F.percentile("cps", F.lit(0.95)) * 100, 6) + 0.5) / 100).alias("p95_cps"),
     )
 
 

@@ -205,7 +205,7 @@ q AS (SELECT episode_id, id, CASE WHEN n_lines > 0 THEN seconds END AS seconds,
 _QUALITY = _quality_sql(_C)
 _SUMMARY = """ SELECT episode_id, count(*) AS n, count(*) FILTER (WHERE list_contains(issues, 'missing')) AS n_missing, count(*) FILTER (WHERE list_contains(issues, 'cps')) AS n_cps_over,
   count(*) FILTER (WHERE list_contains(issues, 'line')) AS n_line_over, count(*) FILTER (WHERE list_contains(issues, 'lines')) AS n_lines_over,
-  count(*) FILTER (WHERE list_contains(issues, 'bad_duration') OR list_contains(issues, 'too_short')) AS n_bad_duration, round(max(cps), 2) AS max_cps, round(quantile_cont(cps, 0.95), 2) AS p95_cps
+  count(*) FILTER (WHERE list_contains(issues, 'bad_duration') OR list_contains(issues, 'too_short')) AS n_bad_duration, round(max(cps), 2) AS max_cps, floor(round(quantile_cont(cps, 0.95) * 100, 6) + 0.5) / 100 AS p95_cps
 FROM q GROUP BY episode_id"""
 
 _SDH_WHOLE = " OR ".join(f"regexp_matches(w, '{p}')" for p in fx.SDH_WHOLE)

@@ -141,12 +141,12 @@ def _norm(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace(lower(translate({x}, '{_WIDE}', '{_NARROW}')), '{_MARKS}', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-# Whole entries of a text that stops are found by their form, those of other texts by JSON functions.
+# Whole entries of a text that stops are found by their form, those of other texts by JSON functions; these let a comma before a brace pass, which isn't JSON.
 _E = rf"""{_R}, b0 AS (SELECT result_id, CASE WHEN starts_with({_BARE}, '```') THEN regexp_replace(regexp_replace(regexp_replace({_BARE}, '^```(json|JSON)?\s*\n?', ''), '\n?```\s*$', ''), '^\s+|\s+$', '', 'g') ELSE {_BARE} END AS body FROM r),
 b1 AS (SELECT *, regexp_replace(body, '([,{{]\s*)(\d+)"\s*:', '\1"\2":', 'g') AS quoted FROM b0),
 b2 AS (SELECT *, quoted || repeat('}}', greatest(0, length(replace(quoted, '}}', '')) - length(replace(quoted, '{{', '')))) AS closed,
   regexp_extract_all(quoted, '"\d+"\s*:\s*\{{(?:[^{{}}"]|{_STRING})*?{_STRING}\}}') AS whole, regexp_extract(quoted, '^(\{{"\d+":\{{"src":{_STRING}),"', 1) AS tight FROM b1),
-v AS (SELECT result_id, CASE WHEN json_valid(body) THEN body WHEN json_valid(quoted) THEN quoted WHEN json_valid(closed) THEN closed
+v AS (SELECT result_id, CASE WHEN json_valid(body) THEN body WHEN json_valid(quoted) THEN quoted WHEN json_valid(closed) AND NOT regexp_matches(quoted, ',\s*$') THEN closed
   WHEN starts_with(quoted, '{{') AND len(whole) > 0 THEN '{{' || array_to_string(whole, ',') || '}}' WHEN tight <> '' THEN tight || '}}}}' END AS body FROM b2),
 k AS (SELECT result_id, unnest(json_keys(body)) AS key, body FROM v WHERE json_type(body) = 'OBJECT'),
 e AS (SELECT result_id, key, json_extract_string(body, '$."' || key || '".src') AS src, json_extract_string(body, '$."' || key || '".tr') AS tr,
@@ -162,7 +162,7 @@ x AS (SELECT coalesce(w.result_id, f.result_id) AS result_id, coalesce(w.key, f.
 z AS (SELECT result_id, coalesce(list(key ORDER BY try_cast(key AS INTEGER), key) FILTER (WHERE missing), []) AS m, coalesce(list(key ORDER BY try_cast(key AS INTEGER), key) FILTER (WHERE extra), []) AS e FROM x GROUP BY result_id),
 g AS (SELECT result_id, count(*) FILTER (WHERE fault IS NULL) AS n_tr_ok, {", ".join(f"count(*) FILTER (WHERE fault = '{k}') AS n_{k}" for k in ("no_object", "no_translation", "no_text"))},
   {", ".join(f"count(*) FILTER (WHERE fault IS NULL AND kind = '{k}') AS {name}" for k, name in (("misaligned", "n_misaligned"), ("mismatch", "n_mismatch"), ("missing", "n_no_echo")))} FROM t GROUP BY result_id),
-s0 AS (SELECT r.result_id, CASE WHEN NOT {_visible('r.raw_text')} THEN 'empty' WHEN v.body IS NULL THEN 'unparsed' WHEN json_type(v.body) <> 'OBJECT' THEN 'no_object' END AS whole, len(map_keys(r.input_map)) AS n_in,
+s0 AS (SELECT r.result_id, CASE WHEN NOT {_visible('r.raw_text')} THEN 'empty' WHEN v.body IS NULL OR json_type(v.body) = 'NULL' THEN 'unparsed' WHEN json_type(v.body) <> 'OBJECT' THEN 'no_object' END AS whole, len(map_keys(r.input_map)) AS n_in,
   (SELECT count(*) FROM e WHERE e.result_id = r.result_id) AS n_out, coalesce(n_tr_ok, 0) AS n_tr_ok, len(coalesce(z.m, [])) AS n_missing, len(coalesce(z.e, [])) AS n_extra, coalesce(n_no_object, 0) AS n_no_object,
   coalesce(n_no_translation, 0) AS n_no_translation, coalesce(n_no_text, 0) AS n_no_text, coalesce(n_misaligned, 0) AS n_misaligned, coalesce(n_mismatch, 0) AS n_mismatch, 0 AS n_drift, coalesce(n_no_echo, 0) AS n_no_echo
   FROM r JOIN v USING (result_id) LEFT JOIN z USING (result_id) LEFT JOIN g USING (result_id)),
