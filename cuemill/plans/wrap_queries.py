@@ -26,9 +26,12 @@ def timeline_split(spark, d):
     return op.wrap_and_split(_cues(spark, d))
 
 
+_BLANKS = r"[\s\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def wrap_kept(spark, d):
     """What wrapping and splitting must not change: the signs of an episode, and that no piece leaves its stretch of time."""
-    signs = lambda c: F.sum(F.length(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s", "")))
+    signs = lambda c: F.sum(F.length(F.regexp_replace(F.coalesce(c, F.lit("")), _BLANKS, "")))
     cues = _cues(spark, d)
     wrapped = wrap_lines(spark, d).groupBy("episode_id").agg(signs("text").alias("wrapped"))
     split = timeline_split(spark, d).groupBy("episode_id").agg(signs("text").alias("split"), F.min("start_ms").alias("s"), F.max("end_ms").alias("e"))
@@ -55,7 +58,7 @@ def stage_a_compliance(spark, d):
 QUERIES = {f.__name__: f for f in (wrap_lines, wrap_lines_full, timeline_split, wrap_kept, compliance_report, stage_a, stage_a_compliance)}
 
 SQL = {
-    "wrap_kept": f"""{_C} SELECT episode_id, CAST(sum(length(regexp_replace(coalesce(text, ''), '\\s', '', 'g'))) AS BIGINT) AS wrapped, CAST(sum(length(regexp_replace(coalesce(text, ''), '\\s', '', 'g'))) AS BIGINT) AS split, true AS inside
+    "wrap_kept": f"""{_C} SELECT episode_id, CAST(sum(length(regexp_replace(coalesce(text, ''), '{_BLANKS}', '', 'g'))) AS BIGINT) AS wrapped, CAST(sum(length(regexp_replace(coalesce(text, ''), '{_BLANKS}', '', 'g'))) AS BIGINT) AS split, true AS inside
 FROM c GROUP BY episode_id""",
     "compliance_report": f"""{_C}, l AS (SELECT *, {_LINES} AS ls, (end_ms - start_ms) / 1000 AS sec FROM c),
 f AS (SELECT episode_id, len(list_filter(ls, lambda x: length(x) > ({_LIMIT.format(l='(' + _language('x') + ')')}))) > 0
