@@ -35,7 +35,7 @@ def wrap_kept(spark, d):
     cues = _cues(spark, d)
     wrapped = wrap_lines(spark, d).groupBy("episode_id").agg(signs("text").alias("wrapped"))
     split = timeline_split(spark, d).groupBy("episode_id").agg(signs("text").alias("split"), F.min("start_ms").alias("s"), F.max("end_ms").alias("e"))
-    span = cues.groupBy("episode_id").agg(F.min("start_ms").alias("low"), F.greatest(F.max("end_ms"), F.max("start_ms")).alias("high"))
+    span = cues.groupBy("episode_id").agg(F.least(F.min("start_ms"), F.min("end_ms")).alias("low"), F.greatest(F.max("end_ms"), F.max("start_ms")).alias("high"))
     inside = F.coalesce((F.col("s") >= F.col("low")) & (F.col("e") <= F.col("high")), F.lit(True))
     return wrapped.join(split, "episode_id").join(span, "episode_id").select("episode_id", "wrapped", "split", inside.alias("inside"))
 
