@@ -360,7 +360,7 @@ def find_garbled(df: DataFrame, keys: list[str], text: str, restore: bool = True
     each = suspects.select(*keys, *["__text"] * restore, F.explode(_words(F.col("__text"))).alias("word"))
     counted = each.groupBy("word").agg(F.count("*").alias("n"))
     words = materialize(counted.withColumn("wid", F.monotonically_increasing_id()))
-    plain = texts.where(~F.col("__text").rlike(_STRANGE)).select(F.explode(F.split("__text", "[ \t\r\n]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    plain = texts.select(F.explode(F.split("__text", "[ \t\r\n]+")).alias("word")).where((F.col("word") != "") & ~F.col("word").rlike(_STRANGE)).groupBy("word").agg(F.count("*").alias("n"))
     pairs = texts.select("__text").mapInArrow(_pair_counts, "unit string, kind string, script string, n bigint")
     bad, weak = garbled_words(words, pairs, plain, restore)
     bad = materialize(bad)

@@ -65,6 +65,13 @@ def test_rare_chains(spark):
     assert all(got[k] == t for k, (t, _) in cases.items() if t)
 
 
+def test_ascii_words_of_any_text_count(spark):
+    """The plain words of a text count, whatever else stands in it."""
+    rows = [(f"c{i}", 0, "we walked along the forêt") for i in range(5)] + [("wide", 1, "we walked along".encode("utf-16-le").decode("latin-1"))]
+    got = find_garbled(spark.createDataFrame(rows, "ep string, id int, text string"), ["ep", "id"], "text").collect()
+    assert [(r.ep, r.restored) for r in got] == [("wide", "we walked along")]
+
+
 def test_long_words_and_runs(spark):
     """No word or run is too long to be looked up."""
     word = "Donaudampfschifffahrtsgesellschaftskapitänsmützenständerüberzugsfarbenprüfer"
