@@ -78,3 +78,47 @@ def test_many_sources(spark):
     got = mix(df, targets, "id", "text", "source")
     rows = got.shares.collect()
     assert len(rows) == n and abs(sum(r.actual_share for r in rows) - 1) < 1e-9 and max(abs(r.actual_share - r.fitted_share) for r in rows) < 0.002
+
+
+def test_memberships_steer_however_many_sources(spark):
+    """Of every source three of nine documents read like the next one; odd sources are to give half of theirs, and must give those."""
+    word = lambda k: "w" + "".join(chr(97 + k // 26**i % 26) for i in range(3))
+    for n in (8, 66):
+        voice = [" ".join(word(20 * i + j) for j in range(16)) for i in range(n)]
+        rows = [(9 * i + k, voice[i if k < 6 else (i + 1) % n], f"s{i}") for i in range(n) for k in range(9)]
+        df = spark.createDataFrame(rows, "id int, text string, source string")
+        targets = spark.createDataFrame([(f"s{i}", (2.0 - i % 2) / (1.5 * n), 1) for i in range(n)], "source string, target_share double, max_repeats int")
+        got = mix(df, targets, "id", "text", "source")
+        assert got.shares.first().distance < 0.01
+        rates = {r.id: r.rate for r in got.documents.collect()}
+        odd = [9 * i + k for i in range(1, n, 2) for k in range(9)]
+        like_own, like_next = (np.mean([rates.get(i, 0) for i in odd if (i % 9 > 5) == other]) for other in (False, True))
+        assert like_next > 2 * like_own
+
+
+def test_parts_change_no_repeat(spark, monkeypatch):
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.5, 2), ("c", 0.1, 4)], "source string, target_share double, max_repeats int")
+    found = []
+    for rows, files in ((100_000, 4), (10, 4), (3, 7)):
+        monkeypatch.setattr("cuemill.llm.mixing.GROUP_ROWS", rows)
+        found.append(sorted((r.id, r.repeats) for r in mix(corpus(spark).repartition(files), targets, "id", "text", "source").documents.collect()))
+    assert found[0] == found[1] == found[2]
+
+
+def test_memberships_are_the_formula(monkeypatch):
+    rnd = np.random.default_rng(1)
+    counts = rnd.poisson(0.7, (5, 32)).astype(float)
+    lengths, source = rnd.integers(0, 20, 30), rnd.integers(0, 5, 30)
+    words = np.concatenate([rnd.choice(32, k, replace=False) for k in lengths])
+    whole = Classifier(counts).memberships(source, lengths, words)
+    monkeypatch.setattr("cuemill.llm.mixing.CHUNK_CELLS", 7)
+    assert np.allclose(Classifier(counts).memberships(source, lengths, words), whole)
+    size, at = counts.sum(1), 0
+    for s, k, p in zip(source, lengths, whole):
+        own, own_size = counts.copy(), size.copy()
+        mine = words[at : at + k]
+        own[s, mine] = np.maximum(own[s, mine] - 1, 0)
+        own_size[s] = max(own_size[s] - k, 0)
+        log = (np.log(own[:, mine] + 0.2) - np.log(own_size + 0.2 * 32)[:, None]).sum(1) * min(k, 12) / max(k, 1) + np.log((size + 1) / (size.sum() + 5))
+        assert np.allclose(p, np.exp(log) / np.exp(log).sum())
+        at += k
